@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, secrets
+    from . import bpe, fingerprints, packing, secrets, tokenfiles
 
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op5_packing": packing.op5_packing,
+        "op6_token_files": tokenfiles.op6_token_files,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import ChainMap, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +154,7 @@ def merge_many(pieces: list[bytes], first: np.ndarray, pairs: PairTable) -> list
 class Codec:
     """Encodes to little-endian uint32 bytes and back. STEP: characters whose new pieces are merged together."""
 
-    KEPT, LONGEST, STEP, TOGETHER = 500_000, 64, 1 << 20, 4096
+    KEPT, LONGEST, STEP, TOGETHER = 400_000, 64, 1 << 19, 4096
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
@@ -225,29 +225,42 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a binary column of ids (little-endian uint32). Rows stay where they are read."""
-    docs = docs.drop(out)
-    small_batches(docs.sparkSession)
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoding(path: str, pattern: str, text: str = "text", out: str = "ids") -> Callable[[Batches], Batches]:
+    """Adds a column of ids to Arrow batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         c = codec(path, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.encode_all(b.column(text).to_pylist()), pa.binary())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
+    return run
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with a binary column of the bytes that the ids stand for (null: empty)."""
-    docs = docs.drop(out)
+def decoding(path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> Callable[[Batches], Batches]:
+    """Adds a column of the bytes that the ids stand for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         c = codec(path, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x or b"") for x in b.column(ids).to_pylist()], pa.binary())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """docs with a binary column of ids (little-endian uint32). Rows stay where they are read."""
+    docs = docs.drop(out)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(encoding(path, pattern, text, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
+
+
+def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with a binary column of the bytes that the ids stand for (null: empty)."""
+    docs = docs.drop(out)
+    return docs.mapInArrow(decoding(path, pattern, ids, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +269,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs, path, pattern).select("doc_id", "ids"), path, pattern)
+    small_batches(spark)
+    there, back = encoding(path, pattern), decoding(path, pattern)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Batches) -> Batches:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in back(there(batches)):  # in one worker
             ids, text = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, text), pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return back.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -89,7 +89,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return hashes
     width = min(width, n)
-    out = hashes[: n - width + 1] + M1 * U(width)
+    out = hashes[: n - width + 1] + U(width)
     for j in range(1, width):
         out = (out ^ (out >> U(29))) * M1 + hashes[j : n - width + 1 + j]
     return mix(out)

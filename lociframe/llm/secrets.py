@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -143,6 +143,11 @@ def scan(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRules
     """
     docs = docs.drop(out)
     small_batches(docs.sparkSession)
+    return docs.mapInArrow(scanning(text, rules, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` {SPANS}"]))
+
+
+def scanning(text: str, rules: EntropyRules, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the column of spans to Arrow batches."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +156,7 @@ def scan(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRules
             spans = [[{"start": a, "end": e, "kind": k} for a, e, k in scanner.scan(t)[1]] for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, out])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` {SPANS}"])
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def redact(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRules(), mask: str = "<secret>") -> DataFrame:
@@ -181,10 +185,12 @@ def redact(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRul
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents: counts and digests of the spans."""
-    docs = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    small_batches(spark)
+    scanned = scanning("text", EntropyRules(), "secret_spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scanned(batches):  # in one worker
             rows = []
             for doc, spans in zip(b.column("doc_id").to_pylist(), b.column("secret_spans").to_pylist(), strict=True):
                 spans = [(s["start"], s["end"], s["kind"]) for s in spans]
@@ -193,4 +199,4 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),) * 2, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(),) * 4 + (pa.string(),) * 2], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "secret_spans").mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
