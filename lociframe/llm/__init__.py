@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, fingerprints, packing, secrets, tokenfiles
+    from . import bpe, fingerprints, ngramjoin, packing, secrets, substrings, tokenfiles
 
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_ngram_join": ngramjoin.op3_ngram_join,
+        "op4_substrings": substrings.op4_substrings,
         "op5_packing": packing.op5_packing,
         "op6_token_files": tokenfiles.op6_token_files,
         "op7_fingerprints": fingerprints.op7_fingerprints,
@@ -20,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import ngramjoin, substrings
+
+    return {"op3_ngram_join": ngramjoin.ORACLE, "op4_substrings": substrings.ORACLE}

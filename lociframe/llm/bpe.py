@@ -193,11 +193,12 @@ class Codec:
             if size < self.STEP and i < len(texts) - 1:
                 continue
             kept = self.kept
-            missing = {p for pieces in run for p in pieces if p not in kept}
+            found = set().union(*run)
+            missing = found - kept.keys()
             if missing:
                 if len(kept) + len(missing) > self.KEPT:
                     kept = {}
-                    missing = {p for pieces in run for p in pieces}
+                    missing = found
                 met = self._meet(list(missing))
                 short = {p: v for p, v in met.items() if len(p) <= self.LONGEST}
                 kept.update(short)

@@ -210,16 +210,25 @@ def _times(m: list[int], v: int) -> int:
     return s
 
 
-def crc32_joined(a: int, b: int, length: int) -> int:
-    """crc32 of x + y from crc32(x), crc32(y) and the bytes of y: a's register is carried over that many zero bytes by squaring the one-bit step."""
+def _steps() -> list[list[int]]:
+    """What carries a CRC register over 1, 2, 4, ... zero bytes: the one-bit step, squared again and again."""
     step = [0xEDB88320, *(1 << i for i in range(31))]
-    for _ in range(3):
+    out = []
+    for i in range(3 + 64):
+        if i >= 3:
+            out.append(step)
         step = [_times(step, r) for r in step]
-    while length:
-        if length & 1:
+    return out
+
+
+STEPS = _steps()
+
+
+def crc32_joined(a: int, b: int, length: int) -> int:
+    """crc32 of x + y from crc32(x), crc32(y) and the bytes of y: a's register is carried over as many zero bytes."""
+    for i, step in enumerate(STEPS):
+        if length >> i & 1:
             a = _times(step, a)
-        step = [_times(step, r) for r in step]
-        length >>= 1
     return a ^ b
 
 

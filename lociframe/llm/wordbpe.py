@@ -25,13 +25,6 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
 
 
-def _byte_letters() -> list[str]:
-    """The letter that a byte-level pre-tokenizer writes for each byte: itself if printable, else the next from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class WordTokenizer:
     """kept: ids of chunks met before, at most KEPT; STEP: characters whose new chunks are encoded together."""
 
@@ -42,15 +35,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        plain = json.loads(self.lib.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        plain = json.loads(self.lib.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][-1]]}
         self.pieces_only = Tokenizer.from_str(json.dumps(plain))  # the same model, for pieces that are cut already
-        self.letters = {b: x for b, x in enumerate(_byte_letters()) if chr(b) != x and b != 32}
         self.kept: dict[str, bytes] = {}
 
     def _model(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, by the library's model."""
         out = dict.fromkeys(pieces, b"")
-        enc = self.pieces_only.encode(" ".join(pieces).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+        enc = self.pieces_only.encode(" ".join(pieces), add_special_tokens=False)
         ids, words = np.array(enc.ids, "<u4"), np.array(enc.word_ids)
         ends = np.searchsorted(words, np.arange(len(pieces)), "right").tolist()
         data, at = ids.tobytes(), 0
@@ -89,11 +82,12 @@ class WordTokenizer:
         for some in _by_size(texts, self.STEP):
             cut = [[] if not t else t.split() if _CONTROL.search(t) is None else [c for c in _CUT.split(t) if c] for t in some]
             kept = self.kept
-            missing = {c for chunks in cut for c in chunks if c not in kept}
+            found = set().union(*cut)
+            missing = found - kept.keys()
             if missing:
                 if len(kept) + len(missing) > self.KEPT:
                     kept = {}
-                    missing = {c for chunks in cut for c in chunks}
+                    missing = found
                 met = self._meet(list(missing))
                 short = {c: v for c, v in met.items() if len(c) <= self.LONGEST}
                 kept.update(short)
