@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, fingerprints, ngramjoin, packing, secrets, substrings, tokenfiles
+    from . import bpe, embeddings, fingerprints, hosts, ngramjoin, packing, quality, secrets, substrings, tokenfiles
 
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_quality": quality.op2_quality,
         "op3_ngram_join": ngramjoin.op3_ngram_join,
         "op4_substrings": substrings.op4_substrings,
         "op5_packing": packing.op5_packing,
         "op6_token_files": tokenfiles.op6_token_files,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_near_embeddings": embeddings.op9_near_embeddings,
+        "op10_url_filter": hosts.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import ngramjoin, substrings
+    from . import embeddings, ngramjoin, substrings
 
-    return {"op3_ngram_join": ngramjoin.ORACLE, "op4_substrings": substrings.ORACLE}
+    return {"op3_ngram_join": ngramjoin.ORACLE, "op4_substrings": substrings.ORACLE, "op9_near_embeddings": embeddings.ORACLE}
