@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written as Parquet in the shared folder: a lost executor loses nothing of them, and they cut the lineage.
 
@@ -53,8 +56,14 @@ class Scratch:
             pass
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again. The shuffle files of the job go when it ends: nothing reads them any more."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -64,7 +73,7 @@ class Scratch:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words met before; starts anew when it holds too many."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

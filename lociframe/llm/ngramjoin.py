@@ -3,18 +3,23 @@
 A document's set holds the hashes of its five-word runs. Sets with equal contents are one node. For two sets
 with |A and B| >= t |A or B| the symmetric difference is at most (1-t)/(1+t) (|A| + |B|) =: k.
 
+Frequent hashes, which common lines and passages bring, are left out of the domain: a symmetric difference only
+shrinks by that, so the bound holds, and sets don't sign for what half the corpus shares. Which hashes count as
+frequent (a bounded list) bears on the cost only.
+
 Signatures. Sizes are cut into bands; a set signs for its own band and for the next one if a partner may be
 there, so any two similar sets sign for a common band with greatest size hi and k = (1-t)/(1+t) 2 hi. The
 domain of hashes is dealt to n1 parts of 3 cells each. k differences leave at least n1 - k//2 parts with one
 difference or none, and in such a part two of three cells agree. So each part gives three signatures, the
-contents of two of its cells, and similar sets share one. Empty contents aren't signed: they would be shared
-by all. A part is weak for a set if two of its cells are empty. A set with fewer than n1 - k//2 weak parts
-shares a signed signature with every partner. Sets with more (small ones, mostly) also sign the prefix of
-their hashes in ascending order, |A| - ceil(t |A|) + 1 of them, of which two similar sets share one. So no
-link is lost.
+contents of two of its cells, and similar sets share n1 - k//2. Empty contents aren't signed: they would be
+shared by all. A part is weak for a set if two of its cells are empty. A set with at most n1 - k//2 - SHARED
+weak parts shares SHARED signed signatures or more with every partner. Sets with more weak parts also sign the
+prefix of their hashes, frequent ones last, |A| - ceil(t |A|) + 1 of them, of which two such sets share one if
+they are similar. So no link is lost.
 
-Candidates. A signature links the sets that share it to the least of them, first within a task, then among
-the tasks' least ones; it never gives all pairs. All candidate pairs lie within the components of these links.
+Candidates. Sets that share a signature with few others are paired, and pairs that share fewer than SHARED are
+dropped. A signature of more than FEW sets links these to the least of them instead, first within a task, then
+among the tasks' least ones; it never gives all pairs. All similar pairs lie within the components of both.
 
 Verification. The sets of a component meet in blocks of bounded size, each pair of blocks in one task. There,
 sets that one set is similar to are joined with it at once; pairs that are in one class already are passed
@@ -40,6 +45,10 @@ from .common import M1, U, Scratch, WordHashes, mix, partitions, shingles, small
 from .components import components
 
 WORDS, CELLS = 5, 3
+#: Signatures that a pair of safe sets has to share; sets that a signature pairs one by one.
+SHARED, FEW = 3, 24
+#: A hash is frequent if tasks that see it twice or more among COUNTED hashes see it FREQUENT times in all; at most LISTED are taken.
+COUNTED, FREQUENT, LISTED = 4_000_000, 48, 1_000_000
 #: Similarity as a fraction, so that sizes are compared exactly.
 NUM, DEN = 80, 100
 #: Greatest size of a band over its least, signatures that a task gathers before it deals them out, and hashes in a block.
@@ -64,19 +73,31 @@ def differences(hi: int) -> int:
 
 
 def parts_of(hi: int) -> tuple[int, int]:
-    """n1 and the number of weak parts from which on a set isn't safe. Some parts more than k//2 + 1 allow for weak ones."""
+    """n1, and the most weak parts that a safe set may have. Some parts more than k//2 + SHARED allow for weak ones."""
     k = differences(hi)
     spare = 1 + k // 16
-    return k // 2 + 1 + spare, 1 + spare
+    return k // 2 + SHARED + spare, spare
 
 
 def shingle_set(hashes: WordHashes, text: str | None) -> np.ndarray:
     return np.unique(shingles(hashes.of(text.encode().lower().split()), WORDS)) if text else np.zeros(0, U)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, with the index of the set each belongs to."""
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
+def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets (the lowest bit is 1 for those of a prefix), and the index of the set each belongs to."""
     sizes = np.array([len(s) for s in sets])
+    common = _among(np.concatenate(sets), frequent)
+    ends = np.cumsum(sizes)
+    rare = [s[~common[e - len(s) : e]] for s, e in zip(sets, ends.tolist(), strict=True)]
+    left = np.array([len(r) for r in rare])
     own = np.searchsorted(BANDS, sizes)
     sigs, owners = [], []
     safe = np.ones(len(sets), bool)
@@ -91,58 +112,120 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             end += 1
         members = np.array([j[0] for j in jobs[at:end]])
         at = end
-        n1, weak_from = parts_of(int(BANDS[band]))
+        n1, weak_most = parts_of(int(BANDS[band]))
         seed = mix(np.array([band + 1], U) * M1)[0]
-        flat = np.concatenate([sets[i] for i in members])
-        row = np.repeat(np.arange(len(members)), sizes[members])
-        z = mix(flat ^ seed)
-        cell = row * (n1 * CELLS) + (z % U(n1 * CELLS)).astype(np.int64)
-        # the cell's contents as the sum of its hashes, in any order
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        first = np.nonzero(np.diff(cell, prepend=-1))[0]
+        flat = np.concatenate([rare[i] for i in members])
+        row = np.repeat(np.arange(len(members)), left[members])
         held = np.zeros(len(members) * n1 * CELLS, U)
-        held[cell[first]] = np.add.reduceat(mix(z[order] + U(band + 7)), first)
+        if len(flat):
+            z = mix(flat ^ seed)
+            cell = row * (n1 * CELLS) + (z % U(n1 * CELLS)).astype(np.int64)
+            # the cell's contents as the sum of its hashes, in any order
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.nonzero(np.diff(cell, prepend=-1))[0]
+            held[cell[first]] = np.add.reduceat(mix(z[order] + U(band + 7)), first)
         held = held.reshape(-1, n1, CELLS)
         full = held != 0  # a sum of hashes that is 0 by chance counts as empty, for all sets alike
-        safe[members[(full.sum(2) <= 1).sum(1) >= weak_from]] = False
+        safe[members[(full.sum(2) <= 1).sum(1) > weak_most]] = False
         tags = mix(np.arange(n1 * CELLS, dtype=np.uint64).reshape(n1, CELLS) ^ (seed + U(1)))
         for q, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             some = np.nonzero(full[:, :, a] | full[:, :, b])
-            sigs.append(mix(mix(held[:, :, a][some] + tags[some[1], q]) * M1 + held[:, :, b][some]))
+            sigs.append(mix(mix(held[:, :, a][some] + tags[some[1], q]) * M1 + held[:, :, b][some]) & ~U(1))
             owners.append(members[some[0]])
     for i in np.nonzero(~safe)[0].tolist():
         n = len(sets[i])
-        prefix = sets[i][: n - -(-n * NUM // DEN) + 1]  # sets are sorted
-        sigs.append(mix(prefix ^ M1))
+        last = common[ends[i] - n : ends[i]]
+        prefix = np.concatenate([sets[i][~last], sets[i][last]])[: n - -(-n * NUM // DEN) + 1]  # sets are sorted
+        sigs.append(mix(prefix ^ M1) | U(1))
         owners.append(np.full(len(prefix), i))
     return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each signature its least node; and links (node, least) of the others, each once."""
-    order = np.lexsort((nodes, sigs))
-    s, x = sigs[order], nodes[order]
-    first = np.ones(len(s), bool)
-    np.not_equal(s[1:], s[:-1], out=first[1:])
-    least = x[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
-    other = x != least
-    links = np.unique(np.stack([x[other], least[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return s[first], x[first], links
+NO_LINKS, NO_PAIRS = np.zeros((0, 2), np.int64), np.zeros((0, 3), np.int64)
+
 
+def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sigs, nodes, large) to hand on, links (node, least) of large groups, and if this is the last step pairs (a, b, shared) of the others.
 
-_OUT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())])
+    large: the node stands for more than FEW sets that a task has linked to it already.
+    """
+    order = np.lexsort((nodes, sigs))
+    s, x, big = sigs[order], nodes[order], large[order]
+    if not len(s):
+        return s, x, big, NO_LINKS, NO_PAIRS
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
+    big = np.logical_or.reduceat(big, np.nonzero(new)[0])  # one set from several tasks
+    s, x = s[new], x[new]
+    cuts = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0]
+    sizes = np.diff(np.append(cuts, len(s)))
+    wide = (sizes > FEW) | np.logical_or.reduceat(big, cuts)
+    in_wide, hub = np.repeat(wide, sizes), np.repeat(x[cuts], sizes)
+    other = in_wide & (x != hub)
+    links = np.unique(np.stack([x[other], hub[other]], 1), axis=0) if other.any() else NO_LINKS
+    if not last:
+        return s[~other], x[~other], in_wide[~other], links, NO_PAIRS
+    found = [NO_PAIRS]
+    for size in np.unique(sizes[~wide & (sizes > 1)]).tolist():
+        at = cuts[~wide & (sizes == size)]
+        found += [np.stack([x[at + i], x[at + j], np.where(s[at] & U(1), SHARED, 1)], 1) for i in range(size) for j in range(i + 1, size)]
+    found = np.concatenate(found)
+    if not len(found):
+        return s, x, in_wide, links, NO_PAIRS
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    first = np.nonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)]))[0]
+    return s, x, in_wide, links, np.column_stack([found[first, :2], np.add.reduceat(found[:, 2], first)])
+
+
+_OUT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("large", pa.binary()), ("sigs", pa.binary())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def sign(docs: DataFrame, parts: int) -> DataFrame:
-    """One pass over the texts. Rows of three kinds: m(embership) of documents in nodes, (l)inks, and after a shuffle by signature more links.
+def frequent_hashes(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes that many documents share, at most LISTED. Tasks name what they see twice or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [], 0
 
-    kind string, a long, b long, n long: m: doc_id, node (null: no set), size of the set; l: node, least node.
+        def out() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingle_set(hashes, t))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    # most frequent first, by powers of two: as far down as LISTED allows
+    steps = counts.groupBy(F.floor(F.log2(F.col("n") / FREQUENT)).alias("step")).agg(F.count("*").alias("c")).orderBy(F.desc("step")).collect()  # at most 64 rows
+    least, taken = None, 0
+    for r in steps:
+        taken += r.c
+        if taken > LISTED:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, U)
+    rows = counts.where(F.floor(F.log2(F.col("n") / FREQUENT)) >= least).select("h").toArrow()["h"].to_numpy()
+    return np.sort(rows.view(np.uint64))
+
+
+def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
+    """One pass over the texts. Rows of three kinds, the last two also after a shuffle by signature: m(embership) of documents in nodes, (l)inks, (p)airs.
+
+    kind string, a long, b long, n long: m: doc_id, node (null: no set), size of the set; l: node, least node; p: two nodes, signatures shared here.
     """
+    known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most LISTED hashes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -151,19 +234,19 @@ def sign(docs: DataFrame, parts: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             names = np.array(list(sets), np.int64)
-            sigs, owners = signatures(list(sets.values()))
-            sigs, nodes, links = _stars(sigs, names[owners])
+            sigs, owners = signatures(list(sets.values()), known.value)
+            sigs, nodes, large, links, _ = grouped(sigs, names[owners], np.zeros(len(sigs), bool), False)
             if len(links):
-                yield _rows([(0, b"", b"", links.tobytes(), b"", None)], _OUT)
+                yield _rows([(0, b"", b"", links.tobytes(), b"", b"", None)], _OUT)
             part = (mix(sigs ^ U(5)) % U(parts)).astype(np.int64)
             order = np.lexsort((nodes, part))
-            sigs, nodes, part = sigs[order], nodes[order], part[order]
+            sigs, nodes, large, part = sigs[order], nodes[order], large[order], part[order]
             cuts = np.nonzero(np.diff(part, prepend=-1))[0]
             rows, size = [], 0
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            for a, b in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
                 new = np.nonzero(np.diff(nodes[a:b], prepend=~nodes[a : a + 1]))[0]
                 counts = np.diff(np.append(new, b - a))
-                rows.append((int(part[a]), b"", b"", nodes[a:b][new].tobytes(), counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes(), sigs[a:b].tobytes()))
+                rows.append((int(part[a]), b"", b"", nodes[a:b][new].tobytes(), counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes(), np.packbits(large[a:b]).tobytes(), sigs[a:b].tobytes()))
                 size += 8 * (b - a)
                 if size > 1 << 21:
                     yield _rows(rows, _OUT)
@@ -191,9 +274,9 @@ def sign(docs: DataFrame, parts: int) -> DataFrame:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes = [], []
+        sigs, nodes, large = [], [], []
         for b in batches:
-            for ids, sizes, x, counts, s in zip(*(b.column(c).to_pylist() for c in _OUT.names[1:]), strict=True):
+            for ids, sizes, x, counts, big, s in zip(*(b.column(c).to_pylist() for c in _OUT.names[1:]), strict=True):
                 if ids:
                     d, known = np.frombuffer(ids, np.int64).reshape(2, -1)
                     n = np.frombuffer(sizes, np.int64)
@@ -207,11 +290,14 @@ def sign(docs: DataFrame, parts: int) -> DataFrame:
                     counts = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(x) else "<u4")
                     nodes.append(np.repeat(x, counts))
                     sigs.append(np.frombuffer(s, U))
+                    large.append(np.unpackbits(np.frombuffer(big, np.uint8), count=len(sigs[-1])).astype(bool))
         if sigs:
-            links = _stars(np.concatenate(sigs), np.concatenate(nodes))[2]
+            *_, links, pairs = grouped(np.concatenate(sigs), np.concatenate(nodes), np.concatenate(large), True)
             yield _kind("l", pa.array(links[:, 0]), pa.array(links[:, 1]), pa.nulls(len(links), pa.int64()))
+            for a in range(0, len(pairs), 100_000):
+                yield _kind("p", *(pa.array(np.ascontiguousarray(c)) for c in pairs[a : a + 100_000].T))
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, ids binary, sizes binary, nodes binary, counts binary, sigs binary")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, ids binary, sizes binary, nodes binary, counts binary, large binary, sigs binary")
     return dealt.repartitionById(parts, F.col("part")).mapInArrow(meet, "kind string, a long, b long, n long")
 
 
@@ -219,7 +305,7 @@ def _members(ids: list, nodes: list, sizes: list, parts: int) -> pa.RecordBatch:
     """One row, for some part; second half of ids: 1 if there is a node, 2 if there is no doc_id."""
     flags = [(x is not None) + 2 * (d is None) for d, x in zip(ids, nodes, strict=True)]
     data = np.array([[d or 0 for d in ids], flags], np.int64)
-    return _rows([(int(data.sum() % parts) if ids else 0, data.tobytes(), np.array(sizes, np.int64).tobytes(), np.array([x or 0 for x in nodes], np.int64).tobytes(), b"", None)] if ids else [], _OUT) if ids else pa.RecordBatch.from_pylist([], _OUT)
+    return _rows([(int(data.sum() % parts) if ids else 0, data.tobytes(), np.array(sizes, np.int64).tobytes(), np.array([x or 0 for x in nodes], np.int64).tobytes(), b"", b"", None)] if ids else [], _OUT) if ids else pa.RecordBatch.from_pylist([], _OUT)
 
 
 def _kind(kind: str, a: pa.Array, b: pa.Array, n: pa.Array) -> pa.RecordBatch:
@@ -342,10 +428,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-chars // 15_000_000))  # about 1.7 million signatures each
-    signed = scratch.table(sign(docs, parts), "signed")
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the signatures' shuffle files
+    signed = scratch.table(sign(docs, parts, frequent_hashes(docs)), "signed")
     members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
-    linked = components(signed.where("kind = 'l'").select("a", "b"), scratch, "candidates")
+    pairs = signed.where("kind = 'p'").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
+    linked = components(signed.where("kind = 'l'").select("a", "b").unionByName(pairs.select("a", "b")), scratch, "candidates")
 
     # one document of each node, whose text gives the set again
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))

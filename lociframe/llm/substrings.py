@@ -32,7 +32,7 @@ from .common import M1, U, Scratch, WordHashes, mix, partitions, shingles, small
 
 WINDOW = 13
 #: Suffixes in a group, and suffixes whose repeats a task looks for by itself; about 40 bytes each while sorted.
-GROUP, OWN = 2_500_000, 1_500_000
+GROUP, OWN = 2_000_000, 600_000
 #: Prefix lengths that are counted in one pass over the texts.
 AT_ONCE = 4
 
@@ -137,6 +137,28 @@ def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, d > d[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
 
 
+def _short(values: np.ndarray) -> bytes:
+    """Two bytes a value where they do."""
+    return values.astype("<u2" if not len(values) or values.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+
+
+def _documents(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The least id and what others are above it (four bytes each, where they do); keys; counts."""
+    above = ids - ids.min()
+    return ids.min().tobytes() + above.astype("<u4" if above.max() < 1 << 32 else "<i8").tobytes(), keys.astype("<u4").tobytes(), _short(counts)
+
+
+def _documents_of(ids: bytes, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = np.frombuffer(keys, "<u4").astype(np.int64)
+    n = len(keys)
+    ids = np.frombuffer(ids, "<i8", 1)[0] + np.frombuffer(ids, "<u4" if len(ids) == 8 + 4 * n else "<i8", n, 8).astype(np.int64)
+    return ids, keys, _long(counts, n)
+
+
 _LEAVES = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary()), ("hashes", pa.binary())])
 
 
@@ -169,17 +191,19 @@ def _deal(texts: _Texts, heavy: list[np.ndarray], parts: int, window: int) -> It
     part[own] = keys[row[own]] % parts  # marked leaves only pass through
     for mask, with_hashes in ((~own, True), (own, False)):
         leaves = np.nonzero(mask)[0]
+        if not len(leaves):
+            continue
         leaves = leaves[np.argsort(part[leaves], kind="stable")]
         cuts = np.nonzero(np.diff(part[leaves], prepend=-1))[0]
         for a, b in zip(cuts, [*cuts[1:], len(leaves)], strict=True):
             some = leaves[a:b]
             rows, counts = np.unique(row[some], return_counts=True)
             pos = position[some]
-            yield int(part[some[0]]), ids[rows].tobytes(), keys[rows].tobytes(), counts.astype("<u4").tobytes(), pos.astype("<u2" if pos.max() < 1 << 16 else "<u4").tobytes(), hashes[some].tobytes() if with_hashes else None
+            yield int(part[some[0]]), *_documents(ids[rows], keys[rows], counts), _short(pos), hashes[some].tobytes() if with_hashes else None
 
 
 def repeats(docs: DataFrame, key: str = "_row", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Marked window starts of documents(doc_id, key, text): doc_id, key, starts (binary, u32). A document may have several rows."""
+    """Marked window starts of documents(doc_id, key, text): doc_id, key, starts (binary, u32), one row a document. Keys (32 bits) tell texts of one doc_id apart."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -211,30 +235,61 @@ def repeats(docs: DataFrame, key: str = "_row", text: str = "text", window: int
         if texts.rows:
             yield from rows()
 
+    buckets = partitions(spark)
+
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, positions, hashes = [], [], [], []
         for b in batches:
             for docs, k, counts, pos, h in zip(*(b.column(c).to_pylist() for c in _LEAVES.names[1:]), strict=True):
-                counts = np.frombuffer(counts, "<u4")
-                n = int(counts.sum())
-                pos = np.frombuffer(pos, "<u2" if len(pos) == 2 * n else "<u4").astype("<u4")
-                docs, k = np.repeat(np.frombuffer(docs, np.int64), counts), np.repeat(np.frombuffer(k, np.int64), counts)
+                docs, k, counts = _documents_of(docs, k, counts)
+                docs, k, pos = np.repeat(docs, counts), np.repeat(k, counts), _long(pos, int(counts.sum()))
                 if h is None:
-                    yield from _starts(docs, k, pos)
+                    yield from _to_buckets(docs, k, pos, buckets)
                 else:
                     ids.append(docs)
-                    keys.append(k)
+                    keys.append(k.astype("<u4"))
                     positions.append(pos)
                     hashes.append(np.frombuffer(h, U))
         if ids:
-            docs, k, pos, h = map(np.concatenate, (ids, keys, positions, hashes))
-            ids, keys, positions, hashes = [], [], [], []
+            h, docs = np.concatenate(hashes), np.concatenate(ids)
+            hashes, ids = [], []
             order, marked = _least(h, docs)
             order = order[marked]
-            yield from _starts(docs[order], k[order], pos[order])
+            yield from _to_buckets(docs[order], np.concatenate(keys)[order].astype(np.int64), np.concatenate(positions)[order], buckets)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document, from all subtrees."""
+        parts = [[], [], []]
+        for b in batches:
+            for docs, k, counts, pos in zip(*(b.column(c).to_pylist() for c in _STARTS_IN.names[1:]), strict=True):
+                docs, k, counts = _documents_of(docs, k, counts)
+                for x, y in zip(parts, (np.repeat(docs, counts), np.repeat(k, counts).astype("<u4"), _long(pos, int(counts.sum()))), strict=True):
+                    x.append(y)
+        if parts[0]:
+            yield from _starts(*map(np.concatenate, parts))
 
     leaves = docs.select("doc_id", key, text).mapInArrow(deal, "part int, docs binary, keys binary, counts binary, positions binary, hashes binary")
-    return leaves.repartitionById(parts, F.col("part")).mapInArrow(subtree, "doc_id long, key long, starts binary")
+    marked = leaves.repartitionById(parts, F.col("part")).mapInArrow(subtree, "bucket int, docs binary, keys binary, counts binary, positions binary")
+    return marked.repartitionById(buckets, F.col("bucket")).mapInArrow(gather, "doc_id long, key long, starts binary")
+
+
+_STARTS_IN = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+
+
+def _to_buckets(docs: np.ndarray, keys: np.ndarray, positions: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marked starts on their way to the bucket of their document, one row a bucket."""
+    if not len(docs):
+        return
+    bucket = (mix(docs.astype(U)) % U(buckets)).astype(np.int64)
+    order = np.lexsort((positions, keys, docs, bucket))
+    docs, keys, positions, bucket = docs[order], keys[order], positions[order], bucket[order]
+    cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        new = np.nonzero((np.diff(docs[a:b], prepend=docs[a] - 1) != 0) | (np.diff(keys[a:b], prepend=keys[a]) != 0))[0]
+        rows.append((int(bucket[a]), *_documents(docs[a:b][new], keys[a:b][new], np.diff(np.append(new, b - a))), _short(positions[a:b])))
+    if rows:
+        yield _batch(rows, _STARTS_IN)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -247,8 +302,8 @@ _STARTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.
 def _starts(docs: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each document."""
     order = np.lexsort((positions, keys, docs))
-    docs, keys, positions = docs[order], keys[order], positions[order]
-    cuts = np.nonzero(np.diff(docs, prepend=docs[:1] - 1) | np.diff(keys, prepend=keys[:1]))[0] if len(docs) else np.zeros(0, int)
+    docs, keys, positions = docs[order], keys[order].astype(np.int64), positions[order]
+    cuts = np.nonzero((np.diff(docs, prepend=docs[:1] - 1) != 0) | (np.diff(keys, prepend=keys[:1]) != 0))[0]
     ends = [*cuts[1:], len(docs)]
     for a in range(0, len(cuts), 5000):
         some = [(int(docs[i]), int(keys[i]), positions[i:j].astype("<u4").tobytes()) for i, j in zip(cuts[a : a + 5000], ends[a : a + 5000], strict=True)]
@@ -259,10 +314,9 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     """docs with n_words, n_removed and kept (what is left, joined by one space) beside the text."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept")
-    keyed = docs.withColumn("_row", F.xxhash64(text))
+    keyed = docs.withColumn("_row", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
     found = Scratch(spark, "repeats").table(repeats(keyed, "_row", text, window), "starts")
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the leaves' shuffle files before the texts move
-    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list("starts").alias("_starts"))
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
     both = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_row"] == found["_key"]), "left").select(*docs.columns, "_starts")
     names = docs.columns
 
@@ -274,13 +328,13 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     return both.mapInArrow(cut, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "n_words long, n_removed long, kept string"]))
 
 
-def _kept(text: str | None, starts: list[bytes] | None, window: int) -> tuple[int, int, str]:
+def _kept(text: str | None, starts: bytes | None, window: int) -> tuple[int, int, str]:
     words = text.encode().split() if text else []
     n = len(words)
     if not starts:
         return n, 0, b" ".join(words).decode()
     edges = np.zeros(n + 1, np.int64)
-    at = np.unique(np.frombuffer(b"".join(starts), "<u4")).astype(np.int64)
+    at = np.unique(np.frombuffer(starts, "<u4")).astype(np.int64)
     edges[at] += 1
     edges[at + window] -= 1
     keep = np.cumsum(edges)[:n] == 0
