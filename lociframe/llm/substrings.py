@@ -202,7 +202,7 @@ def _deal(texts: _Texts, heavy: list[np.ndarray], parts: int, window: int) -> It
             yield int(part[some[0]]), *_documents(ids[rows], keys[rows], counts), _short(pos), hashes[some].tobytes() if with_hashes else None
 
 
-def repeats(docs: DataFrame, key: str = "_row", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "__repeats_key", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Marked window starts of documents(doc_id, key, text): doc_id, key, starts (binary, u32), one row a document. Keys (32 bits) tell texts of one doc_id apart."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -314,10 +314,10 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     """docs with n_words, n_removed and kept (what is left, joined by one space) beside the text."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept")
-    keyed = docs.withColumn("_row", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
-    found = Scratch(spark, "repeats").table(repeats(keyed, "_row", text, window), "starts")
+    keyed = docs.withColumn("__repeats_key", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    found = Scratch(spark, "repeats").table(repeats(keyed, "__repeats_key", text, window), "starts")
     found = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
-    both = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_row"] == found["_key"]), "left").select(*docs.columns, "_starts")
+    both = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["__repeats_key"] == found["_key"]), "left").select(*docs.columns, "_starts")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
