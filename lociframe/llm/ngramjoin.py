@@ -184,7 +184,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def frequent_hashes(docs: DataFrame) -> np.ndarray:
+def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
     """Sorted hashes that many documents share, at most LISTED. Tasks name what they see twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +206,7 @@ def frequent_hashes(docs: DataFrame) -> np.ndarray:
             yield out()
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = scratch.table(counts, "counts")
     # most frequent first, by powers of two: as far down as LISTED allows
     steps = counts.groupBy(F.floor(F.log2(F.col("n") / FREQUENT)).alias("step")).agg(F.count("*").alias("c")).orderBy(F.desc("step")).collect()  # at most 64 rows
     least, taken = None, 0
@@ -428,7 +429,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-chars // 15_000_000))  # about 1.7 million signatures each
-    signed = scratch.table(sign(docs, parts, frequent_hashes(docs)), "signed")
+    signed = scratch.table(sign(docs, parts, frequent_hashes(docs, scratch)), "signed")
     members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     pairs = signed.where("kind = 'p'").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
     linked = components(signed.where("kind = 'l'").select("a", "b").unionByName(pairs.select("a", "b")), scratch, "candidates")
