@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by cross-polytope hashing after fast Hadamard rotations.
 
 Vectors are scaled to length one, and equal vectors of one label become one point. A rotation flips signs at
-random and applies the fast Hadamard transform, three times over. A point's hash in a table is, for each of two
-rotations, the closest signed axis. For multiprobe, a point is also put into the buckets of its next closest
-axes: for each rotation the two closest are considered, which gives the table four buckets.
+random and applies the fast Hadamard transform, three times over. A point's hash in a table is, for each of the
+table's rotations, the closest signed axis. For multiprobe, a point is also put into the buckets of its next
+closest axes: for each rotation the two closest are considered. A table has two rotations, or as many more as it
+takes for a bucket of unrelated points to stay small, so that the work follows the number of points.
 
 Two points meet in a bucket of a table and label. A bucket's points are dealt to blocks of bounded size and
 each pair of blocks meets in one task, so no bucket is gathered whole and no pairs are written: a task returns
@@ -40,29 +41,36 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotations(dim: int, tables: int = TABLES) -> np.ndarray:
-    """Signs for three flips, of two rotations a table, over the next power of two."""
+def rotations(dim: int, tables: int = TABLES, each: int = 2) -> np.ndarray:
+    """Signs for three flips, of each rotation of each table, over the next power of two."""
     size = 1 << max(1, (dim - 1).bit_length())
-    return np.random.default_rng(SEED + dim).choice([-1.0, 1.0], (tables, 2, 3, size))
+    return np.random.default_rng(SEED + dim).choice([-1.0, 1.0], (tables, each, 3, size))
+
+
+def rotations_for(points: int, dim: int) -> int:
+    """Rotations of a table for so many points: unrelated ones are to meet about sixteen in a bucket at most."""
+    axes, each = 2 << max(1, (dim - 1).bit_length()), 2
+    while points * 2**each / float(axes) ** each > 16 and each < 8:
+        each += 1
+    return each
 
 
 def probes(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Buckets of each point in each table, the own one first: (points, tables, 4)."""
-    size = signs.shape[-1]
+    """Buckets of each point in each table, the own one first: (points, tables, 2 ** rotations)."""
+    each, size = signs.shape[1], signs.shape[-1]
     padded = np.zeros((len(x), size))
     padded[:, : x.shape[1]] = x
-    out = np.empty((len(x), len(signs), 4), np.int64)
+    out = np.zeros((len(x), len(signs), 2**each), np.int64)
     rows = np.arange(len(x))
-    for t, pair in enumerate(signs):
-        two = []
-        for flips in pair:
+    for t, table in enumerate(signs):
+        for k, flips in enumerate(table):
             y = padded
             for s in flips:
                 y = hadamard(y * s)
             near = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :2]
-            two.append([2 * near[:, i] + (y[rows, near[:, i]] < 0) for i in range(2)])
-        for i in range(4):
-            out[:, t, i] = two[0][i // 2] * (2 * size) + two[1][i % 2]
+            axis = [2 * near[:, i] + (y[rows, near[:, i]] < 0) for i in range(2)]
+            for i in range(2**each):
+                out[:, t, i] = out[:, t, i] * (2 * size) + axis[i >> k & 1]
     return out
 
 
@@ -84,6 +92,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     rows = points(vectors)
     groups = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
     groups = scratch.table(groups, "points")
+    about = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    each = rotations_for(about.n, about.dim or 1)
+    ways = 2**each
 
     def hashed(pdfs):
         for pdf in pdfs:
@@ -92,12 +103,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
                 big = np.abs(x).max(1, keepdims=True)
                 x = x / big  # so that squares neither overflow nor vanish
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = probes(x, rotations(dim, tables))
+                found = probes(x, rotations(dim, tables, each))
                 n = len(part)
                 yield pd.DataFrame({"point": part["point"].to_numpy(), "label": part["label"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": list(x), "codes": list(found.reshape(n, -1))})
 
     coded = groups.mapInPandas(hashed, "point long, label long, copies long, unit array<double>, codes array<long>")
-    buckets = coded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(4 * tables - 1)))).select("point", "label", "copies", "unit", "codes", F.floor(F.col("at") / 4).cast("int").alias("table"), F.col("codes")[F.col("at")].alias("bucket"), F.size("unit").alias("dim"))
+    buckets = coded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ways * tables - 1)))).select("point", "label", "copies", "unit", "codes", F.floor(F.col("at") / ways).cast("int").alias("table"), F.col("codes")[F.col("at")].alias("bucket"), F.size("unit").alias("dim"))
     key = ["label", "dim", "table", "bucket"]
     # buckets of one point hold no pair; sizes are counted before vectors move
     sizes = buckets.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
@@ -110,7 +121,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
         table, bucket = int(pdf["table"].iloc[0]), int(pdf["bucket"].iloc[0])
         across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
         x, own = np.stack(pdf["unit"].to_numpy()), pdf["own"].to_numpy()
-        codes = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), -1, 4)
+        codes = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), -1, ways)
         points, copies = pdf["point"].to_numpy(), pdf["copies"].to_numpy()
         n = len(pdf)
         links = np.zeros(n, np.int64)

@@ -248,6 +248,13 @@ def test_near_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_more_rotations_for_more_points():
+    assert [embeddings.rotations_for(n, 64) for n in (0, 50_000, 3_000_000, 10**9)] == [2, 2, 3, 5]
+    x = np.random.default_rng(1).normal(size=(40, 24))
+    codes = embeddings.probes(x, embeddings.rotations(24, 6, 3))
+    assert codes.shape == (40, 6, 8) and all(len(set(c)) == 8 for c in codes[:, 0])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(embeddings.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
