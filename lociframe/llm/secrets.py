@@ -4,7 +4,8 @@ Candidates are maximal runs of one character class (hexadecimal, base64-like) of
 characters. A window slides over a run; the counts of its characters, and the sum of n*log2(n) over
 them, are updated for the character that leaves and the one that enters, so a run of any length takes
 time in proportion to its length. Windows above the threshold of their class are joined into spans.
-Spans on the allow list, and spans that a base span already covers, are suppressed.
+Spans on the allow list, and spans that base spans together cover from end to end, are suppressed; a span that
+reaches beyond them is reported whole.
 
 Null and empty texts have no spans; repeated rows are scanned one by one; an empty table gives an
 empty table. Extra columns are kept, but for one named like the new column, which gives way to it.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -89,6 +91,18 @@ def high_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
     return spans
 
 
+def joined(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover together."""
+    starts, ends = [], []
+    for a, b, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 class Scanner:
     def __init__(self, rules: EntropyRules):
         self.rules = rules
@@ -111,6 +125,7 @@ class Scanner:
         if not any(len(w) >= self.rules.window for w in text.split()):
             return []
         found = []
+        starts, ends = joined(base)
         for m in self.runs.finditer(text):
             run = m.group()
             if self.allow is not None and self.allow.fullmatch(run):
@@ -118,7 +133,8 @@ class Scanner:
             least = self.rules.hexadecimal if self.hex.fullmatch(run) else self.rules.base64
             for a, b in high_windows(run, self.rules.window, least):
                 a, b = a + m.start(), b + m.start()
-                if not any(s < b and a < e for s, e, _ in base) and not (self.allow is not None and self.allow.fullmatch(text[a:b])):
+                i = bisect_right(starts, a) - 1
+                if not (i >= 0 and b <= ends[i]) and not (self.allow is not None and self.allow.fullmatch(text[a:b])):
                     found.append((a, b, "entropy"))
         return found
 
