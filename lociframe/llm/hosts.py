@@ -4,21 +4,24 @@ Rules. A rule fits its host and all subdomains where the url's path starts with
 (of equal ones the longer host, then block). Rules are a table; hosts meet it by their suffixes, so neither side
 needs to be small. A host's rules are kept as one short list, longest first, and a page takes the first that fits.
 
-Method. Hosts and the links between them, counted, form a graph. Blocked seeds are hosts whose root a rule
-blocks; trusted seeds are other hosts that a rule allows something on. Personalised PageRank carries trust from
-trusted seeds along the links, and distrust from blocked seeds against them: who links to a blocked host earns
+Method. Hosts, with or without pages, and the links between them, counted, form a graph. Blocked seeds are hosts
+whose root a rule blocks; trusted seeds are other hosts that a rule allows something on. Personalised PageRank
+carries trust from trusted seeds along the links, and distrust from blocked seeds against them: who links to a blocked host earns
 a share of its distrust. A seed starts with 1. A host is blocked if its distrust is at least `least` and above
 its trust; hosts that neither reaches are allowed. Each step is a join and a sum over edges in Spark, with the
 ranks written to the shared folder; a host with very many links is summed in parts first.
 
 Null urls and those without "://" have an empty host and path; their pages are allowed unless a rule of the
-empty host blocks them, and take no part in the graph. Null html has no links. Links within a host, or to hosts
-that have no page, carry nothing on but count among a host's links. Repeated rows count as often as they occur.
+empty host blocks them, and take no part in the graph. Null html has no links. Links within a host count nowhere.
+A host that is only linked to is a seed if the rules say so and passes distrust back to who links to it; without
+links of its own it passes no trust on. Repeated rows count as often as they occur.
 An empty table gives an empty table. Extra columns aren't used.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +62,16 @@ def host_links(pages: DataFrame) -> DataFrame:
     return edges.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("ahead"), (F.col("n") / F.col("i")).alias("back"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = 0.85, steps: int = 30, enough: float = 1e-6) -> DataFrame:
-    """hosts(host, trusted, blocked: seed weights) with trust and distrust. Ends when no rank moves by more than `enough`, or after `steps`."""
-    edges = scratch.table(edges, "edges")
+def propagate(hosts: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = 0.85, enough: float = 1e-6) -> DataFrame:
+    """hosts(host, trusted, blocked: seed weights) with trust and distrust, when no rank moves by more than `enough`.
+
+    What moves in all shrinks by `damping` (below 1) a step at least, so this ends: after some 85 steps and, where
+    cycles pass on what many seeds give, a few more.
+    """
     ranks = scratch.table(hosts.select("host", "trusted", "blocked", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust")), "ranks-0")
     if edges.isEmpty():
         return ranks
-    for i in range(1, steps + 1):
+    for i in count(1):
         ahead = edges.join(ranks.select(F.col("host").alias("src"), "trust").where("trust > 0"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "distrust").where("distrust > 0"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         sums = ahead.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -84,13 +90,14 @@ def judge(pages: DataFrame, rules: DataFrame, least: float = 0.01, damping: floa
     spark = pages.sparkSession
     scratch = Scratch(spark, "hosts")
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    hosts = placed.select("host").distinct()
+    links = scratch.table(host_links(placed), "edges")
+    hosts = placed.select("host").unionByName(links.select(F.col("src").alias("host"))).unionByName(links.select(F.col("dst").alias("host"))).distinct()
     known = hosts.join(rules_of_hosts(hosts, rules), "host", "left")
     root = first_fit(F.col("rules"), F.lit("/"))["verdict"]
     blocked = F.coalesce(root == "block", F.lit(False)) & (F.col("host") != "")
     trusted = F.coalesce(F.exists("rules", lambda r: r["verdict"] == "allow"), F.lit(False)) & ~blocked & (F.col("host") != "")
     known = scratch.table(known.withColumns({"trusted": trusted.cast("double"), "blocked": blocked.cast("double")}), "known")
-    ranks = propagate(known, host_links(placed), scratch, damping)
+    ranks = propagate(known, links, scratch, damping)
     method = F.when((F.col("distrust") >= least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     of_host = known.select("host", "rules").join(ranks.select("host", "trust", "distrust", method.alias("method")), "host")
     judged = placed.drop("html").join(of_host, "host", "left").withColumn("_rule", first_fit(F.col("rules"), F.col("path")))

@@ -298,6 +298,19 @@ def test_url_rules_and_propagation(spark):
     assert hosts.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_seeds_without_pages_and_cycles(spark):
+    link = lambda *hs: "".join(f'<a href="https://{h}/x">' for h in hs)
+    pages = [(1, "http://farm.test/a", link("never.net", "never.net")), (2, "http://fine.test/a", link("other.test")), (3, "http://one.test/", link("two.test")), (4, "http://two.test/", link("one.test", "ring.net")), (5, "http://t.org/fr/", link("c1.test")), (6, "http://c1.test/", link("c2.test")), (7, "http://c2.test/", link("c1.test"))]
+    rules = spark.createDataFrame(hosts.RULES, "host string, path string, verdict string")
+    got = {r.page_id: r for r in hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert len(got) == len(pages) and [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "allow", "block", "block"]
+    assert abs(got[1].distrust - 0.85 * 0.15) < 1e-5  # never.net has one linking host and keeps 0.15
+    d2 = 0.85 * 0.15 / (1 - 0.85**2)  # two.test links to ring.net; each of the two alone links to the other
+    assert abs(got[4].distrust - d2) < 1e-5 and abs(got[3].distrust - 0.85 * d2) < 1e-5
+    t1 = 0.85 * 0.15 / (1 - 0.85**2)  # t.org gives all to c1.test, c2.test gives all back to it
+    assert abs(got[6].trust - t1) < 1e-5 and abs(got[7].trust - 0.85 * t1) < 1e-5
+
+
 # --- pipeline
 
 
