@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.support import rates_differ
+from .intervals import point_join
 
 
 def swapped(dir_: Column) -> Column:
@@ -13,6 +14,31 @@ def swapped(dir_: Column) -> Column:
     return F.shiftright(dir_, 1).bitwiseOR(F.shiftleft(dir_.bitwiseAND(1), 1))
 
 
+#: Nodes are sequence * NUMBERS + number of the block along it, so that no two sequences share a node.
+NUMBERS = 1 << 40
+
+
+def mate_graph(reads: DataFrame, exons: DataFrame, limit: DataFrame) -> DataFrame:
+    """Edges between gene blocks by the places of a read and its mate: u, v, dir (bit 1: read is reverse, bit 0: mate is), with support.
+
+    reads(tid, pos, rev, mtid, mpos, mrev, nh, nm), exons(tid, gid, start, end, left_splice, right_splice; disjoint),
+    limit(residual: one row). Both places lie in exons, of different blocks, and the exons beyond them on the way that
+    each strand points, trimmed at splices, come to at most the limit; a limit of null, as of no pairs to estimate it from, keeps all.
+    """
+    length = F.coalesce("right_splice", "end") - F.coalesce("left_splice", "start") + 1
+    w = Window.partitionBy("tid", "gid").orderBy("start")
+    side = lambda *rows: F.coalesce(F.sum(length).over(w.rowsBetween(*rows)), F.lit(0))
+    e = exons.withColumns({"_after": side(1, Window.unboundedFollowing), "_before": side(Window.unboundedPreceding, -1)})
+    node = F.col("tid") * NUMBERS + F.col("gid")
+    ends = lambda x, tid: e.select(F.col("tid").alias(tid), node.alias(x), F.col("start").alias(f"_{x}s"), F.col("end").alias(f"_{x}e"), F.col("_after").alias(f"_{x}after"), F.col("_before").alias(f"_{x}before"))
+    r = point_join(reads.select("tid", "pos", "rev", "mtid", "mpos", "mrev", "nh", "nm"), "pos", ends("u", "tid"), "_us", "_ue", "tid")
+    r = point_join(r, "mpos", ends("v", "mtid"), "_vs", "_ve", "mtid").where("u <> v")
+    residual = F.when(F.col("rev") == 1, F.col("_ubefore")).otherwise(F.col("_uafter")) + F.when(F.col("mrev") == 1, F.col("_vbefore")).otherwise(F.col("_vafter"))
+    r = r.crossJoin(F.broadcast(limit.select("residual"))).where(F.coalesce(residual <= F.col("residual"), F.lit(True)))
+    r = r.withColumn("dir", (2 * F.col("rev") + F.col("mrev")).cast("int"))
+    return r.groupBy("u", "v", "dir").agg(F.count("*").alias("n"), F.sum(F.when(F.col("nh") <= 1, 1).otherwise(0)).alias("uniq"), F.sum("nm").alias("nm_sum"), F.min("pos").alias("left_pos"), F.max("mpos").alias("right_pos"), F.countDistinct("pos").alias("coords"))
+
+
 def best_orientation(edges: DataFrame, length: int) -> DataFrame:
     """edges(u, v, dir, n): u, v, best dir or -1 if the second is too near, and both counts. Ties go to the lower dir."""
     w = Window.partitionBy("u", "v").orderBy(F.desc("n"), "dir")

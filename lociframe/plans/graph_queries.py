@@ -1,7 +1,14 @@
-"""Graph queries: mate edges between coarse nodes of a read's place, and what is done with them."""
+"""Graph queries: mate edges between nodes of a read's place, and what is done with them.
+
+`mate_edges` and what is named after it here follow their SQL: nodes are fixed stretches, most orders take their
+strands from the numbers of their nodes, and from 1,000 stretches a sequence on nodes of two sequences meet. The
+queries whose names begin with gene_ are the whole operator: nodes are gene blocks, strands are the reads' own.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +38,16 @@ edges as (select u, v, dir, count(*) n, sum(case when nh <= 1 then 1 else 0 end)
 MATE_EDGES = f"with {EDGES_SQL} select * from edges"
 
 
-def good_edges(spark, sf_dir, least: int = 3) -> DataFrame:
-    e = mate_edges(spark, sf_dir)
+def good_edges(spark, sf_dir, least: int = 3, edges=mate_edges) -> DataFrame:
+    e = edges(spark, sf_dir)
     return e.where((F.col("n") >= least) & S.good(F.col("uniq"), F.col("n") - F.col("uniq"), F.col("nm_sum")))
 
 
 GOOD_SQL = f"{EDGES_SQL},\ngood as (select * from edges where n >= 3 and uniq > 0 and uniq >= 0.1 * n and nm_sum // n < 2.5)"
 
 
-def edge_orientation(spark, sf_dir):
-    return G.best_orientation(good_edges(spark, sf_dir), 400)
+def edge_orientation(spark, sf_dir, edges=mate_edges):
+    return G.best_orientation(good_edges(spark, sf_dir, edges=edges), 400)
 
 
 BEST_SQL = f"""{GOOD_SQL},
@@ -50,32 +57,36 @@ best as (select u, v, case when (n_second = 1 and n = 2) or (n_second > 1 and no
 EDGE_ORIENTATION = f"with {BEST_SQL} select * from best"
 
 
-def oriented(spark, sf_dir):
-    return edge_orientation(spark, sf_dir).where("best >= 0").select("u", "v", F.col("best").alias("dir"), "n")
+def oriented(spark, sf_dir, edges=mate_edges):
+    return edge_orientation(spark, sf_dir, edges).where("best >= 0").select("u", "v", F.col("best").alias("dir"), "n")
 
 
-def reciprocal_edges(spark, sf_dir):
-    return G.reciprocal(oriented(spark, sf_dir))
+def reciprocal_edges(spark, sf_dir, edges=mate_edges):
+    return G.reciprocal(oriented(spark, sf_dir, edges))
 
 
 RECIPROCAL_SQL = f"{BEST_SQL},\nkept as (select u, v, best dir, n from best a where best >= 0 and exists (select 1 from best b where b.u = a.v and b.v = a.u and b.best = ((a.best >> 1) | ((a.best & 1) << 1))))"
 RECIPROCAL = f"with {RECIPROCAL_SQL} select * from kept"
 
 
-def one_way_edges(spark, sf_dir):
+def one_way_edges(spark, sf_dir, edges=mate_edges):
     """Edges that fall because their reverse is missing or turned another way."""
-    o = oriented(spark, sf_dir)
+    o = oriented(spark, sf_dir, edges)
     return o.join(G.reciprocal(o).select("u", "v"), ["u", "v"], "left_anti")
 
 
 ONE_WAY = f"with {RECIPROCAL_SQL} select u, v, best dir, n from best b where best >= 0 and not exists (select 1 from kept k where k.u = b.u and k.v = b.v)"
 
 
-def strand_consistency(spark, sf_dir):
-    """Edges whose orientation agrees with the strands of their nodes: like strands need one bit set, unlike ones none or both."""
+def _stretch_strands(spark, sf_dir):
     node = F.col("tid") * 1000 + F.floor(F.col("pos") / NODE)
-    strands = R.raw(spark, sf_dir).where(R.admitted()).groupBy(node.alias("node")).agg(F.sum(F.when(F.col("rev") == 0, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("rev") == 1, 1.0).otherwise(0.0)).alias("q")).select("node", S.strand_vote(F.col("p"), F.col("q")).alias("s"))
-    e = oriented(spark, sf_dir).join(strands.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(strands.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    return R.raw(spark, sf_dir).where(R.admitted()).groupBy(node.alias("node")).agg(F.sum(F.when(F.col("rev") == 0, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("rev") == 1, 1.0).otherwise(0.0)).alias("q"))
+
+
+def strand_consistency(spark, sf_dir, edges=mate_edges, votes=_stretch_strands):
+    """Edges whose orientation agrees with the strands of their nodes: like strands need one bit set, unlike ones none or both."""
+    strands = votes(spark, sf_dir).select("node", S.strand_vote(F.col("p"), F.col("q")).alias("s"))
+    e = oriented(spark, sf_dir, edges).join(strands.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(strands.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     ok = F.when((F.col("su") == 0) | (F.col("sv") == 0), F.lit(True)).when(F.col("su") == F.col("sv"), F.col("dir").isin(1, 2)).otherwise(F.col("dir").isin(0, 3))
     return e.select("u", "v", "dir", "su", "sv", ok.alias("consistent"))
 
@@ -86,9 +97,9 @@ st as (select node, case when ((abs(p - q) <= 6 * sqrt(p) or abs(p - q) <= 6 * s
 select u, v, best dir, a.s su, b.s sv, case when a.s = 0 or b.s = 0 then true when a.s = b.s then best in (1, 2) else best in (0, 3) end consistent from best join st a on a.node = u join st b on b.node = v where best >= 0"""
 
 
-def single_coordinate_edges(spark, sf_dir):
+def single_coordinate_edges(spark, sf_dir, edges=mate_edges):
     """Edges that fall because neither direction has reads from two places."""
-    e = mate_edges(spark, sf_dir).groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("coords").alias("c"))
+    e = edges(spark, sf_dir).groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("coords").alias("c"))
     back = e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("c").alias("rc"))
     return e.join(back, ["u", "v"], "left").where("c <= 1 and coalesce(rc, 1) <= 1").select("u", "v", "n")
 
@@ -97,9 +108,9 @@ SINGLE_COORDINATE = f"""with {EDGES_SQL}, e as (select u, v, sum(n)::bigint n, m
 select e.u, e.v, e.n from e left join e b on b.u = e.v and b.v = e.u where e.c <= 1 and coalesce(b.c, 1) <= 1"""
 
 
-def ambiguous_sides(spark, sf_dir):
+def ambiguous_sides(spark, sf_dir, edges=mate_edges):
     """Of each node and side (left: bit 1 of dir) the best edge, the next one, and whether they are too alike to choose."""
-    e = oriented(spark, sf_dir).withColumn("side", F.shiftright("dir", 1))
+    e = oriented(spark, sf_dir, edges).withColumn("side", F.shiftright("dir", 1))
     w = Window.partitionBy("u", "side").orderBy(F.desc("n"), "v")
     top = e.withColumns({"r": F.row_number().over(w), "n2": F.coalesce(F.lead("n").over(w), F.lit(0))}).where("r = 1")
     alike = (F.col("n2") > 0) & ~S.rates_differ(F.col("n"), F.lit(400), F.col("n2"), F.lit(400))
@@ -112,9 +123,9 @@ c as (select *, sqrt((n + n2) / 800.0) * 400 e, sqrt(n / 400.0) * 400 ca, sqrt(n
 select u, side, v, n, n2, n2 > 0 and not (pow(ca - e, 2) / e + pow(cb - e, 2) / e > 3.841) ambiguous from c"""
 
 
-def bubble_triangles(spark, sf_dir):
+def bubble_triangles(spark, sf_dir, edges=mate_edges):
     """Nodes u < v < w joined by three edges: candidates for a simple bubble. Edges are pointed at their greater node, so each triangle is found once."""
-    e = oriented(spark, sf_dir).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
+    e = oriented(spark, sf_dir, edges).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
     two = e.join(e.select(F.col("x").alias("y"), F.col("y").alias("z")), "y")
     return two.join(e.select("x", F.col("y").alias("z")), ["x", "z"], "left_semi").groupBy(F.col("x").alias("u")).agg(F.count("*").alias("triangles"))
 
@@ -133,9 +144,9 @@ def boundary_edges(spark, sf_dir):
 BOUNDARY_EDGES = f"with {EDGES_SQL} select u, v, dir, left_pos - (u % 1000) * {NODE} <= 12000 and (v % 1000 + 1) * {NODE} - right_pos <= 12000 near from edges"
 
 
-def terminal_nodes(spark, sf_dir):
+def terminal_nodes(spark, sf_dir, edges=mate_edges):
     """Nodes that have no reciprocal edge at one of their sides."""
-    e = reciprocal_edges(spark, sf_dir).withColumn("side", F.shiftright("dir", 1))
+    e = reciprocal_edges(spark, sf_dir, edges).withColumn("side", F.shiftright("dir", 1))
     return e.groupBy(F.col("u").alias("node")).agg(F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("right")).where("left = 0 or right = 0")
 
 
@@ -158,43 +169,62 @@ def component_validity(spark, sf_dir):
     return q.join(labels.select("node", "root"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("n"), F.sum("g").alias("good")).withColumn("valid", (F.col("good") >= 1) & (F.col("good") >= 0.2 * F.col("n")))
 
 
-def gene_blocks(spark, sf_dir):
-    """Runs of valid islands of one class along a sequence: a new block begins where the class changes."""
+def block_exons(spark, sf_dir):
+    """Valid islands with the number of their gene block."""
     labels = island_components(spark, sf_dir).select("node", "root")
     valid = component_validity(spark, sf_dir).where("valid").select("root")
     b = Q.exon_blocks(spark, sf_dir).withColumn("node", F.col("tid") * 10_000_000 + F.col("bid"))
     b = b.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).join(valid, "root", "left_semi")
     w = Window.partitionBy("tid").orderBy("bid")
-    b = b.withColumn("new", F.when(F.lag("root").over(w).eqNullSafe(F.col("root")), 0).otherwise(1)).withColumn("gid", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.withColumn("new", F.when(F.lag("root").over(w).eqNullSafe(F.col("root")), 0).otherwise(1)).withColumn("gid", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def gene_blocks(spark, sf_dir):
+    """Runs of valid islands of one class along a sequence: a new block begins where the class changes."""
+    b = block_exons(spark, sf_dir)
     return b.groupBy("tid", "gid", "root").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("islands"), F.sum("n").alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("effective"))
 
 
-def _ends(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def gene_mate_edges(spark, sf_dir):
+    """Edges between gene blocks by the strands of each read and its mate, whose residuals come to at most a fragment and two deviations over all pairs inside islands."""
+    write = writer(spark)
+    exons = write(block_exons(spark, sf_dir).select("tid", "gid", "start", "end", "left_splice", "right_splice"), "exons")
+    s = Q.inner_pairs(spark, sf_dir).agg(F.floor(F.avg("f")).alias("f"), F.avg(F.col("f") * F.col("f")).alias("sq"))
+    limit = s.select((F.col("f") + 2 * F.floor(F.sqrt(F.greatest(F.col("sq") - F.col("f") * F.col("f"), F.lit(0.0))))).alias("residual"))
+    return write(G.mate_graph(R.reads(spark, sf_dir).where(R.admitted() & F.col("mtid").isNotNull()), exons, limit), "mates")
+
+
+def _gene_votes(spark, sf_dir):
+    node = F.col("tid") * G.NUMBERS + F.col("gid")
+    return block_exons(spark, sf_dir).groupBy(node.alias("node")).agg(F.sum("plus").alias("p"), F.sum("minus").alias("q"))
+
+
+def _ends(spark, sf_dir, edges=mate_edges) -> tuple[DataFrame, DataFrame]:
     """Reciprocal edges, each once, between node ends (0 left, 1 right), and their classes."""
-    e = reciprocal_edges(spark, sf_dir).where("u < v")
+    e = reciprocal_edges(spark, sf_dir, edges).where("u < v")
     e = e.select("u", F.when(F.col("dir") >= 2, 0).otherwise(1).alias("du"), "v", F.when(F.col("dir") % 2 == 1, 0).otherwise(1).alias("dv"), "n")
     return e, G.components(e.select("u", "v"), writer(spark))
 
 
-def greedy_paths(spark, sf_dir):
-    return G.greedy_paths(*_ends(spark, sf_dir))
+def greedy_paths(spark, sf_dir, edges=mate_edges):
+    return G.greedy_paths(*_ends(spark, sf_dir, edges))
 
 
-def scaffold_order(spark, sf_dir):
+def scaffold_order(spark, sf_dir, edges=mate_edges):
     """Paths by support, longest first among equals."""
-    p = greedy_paths(spark, sf_dir).groupBy("root", "path").agg(F.min("support").alias("support"), F.count("*").alias("nodes"))
+    p = greedy_paths(spark, sf_dir, edges).groupBy("root", "path").agg(F.min("support").alias("support"), F.count("*").alias("nodes"))
     return p.orderBy(F.desc("support"), F.desc("nodes"), "root", "path")
 
 
-def path_layers(spark, sf_dir):
+def path_layers(spark, sf_dir, edges=mate_edges):
     """Layers of the nodes in the order of their sequences; edges point at the greater node."""
-    e, labels = _ends(spark, sf_dir)
+    e, labels = _ends(spark, sf_dir, edges)
     return G.path_order(e.select("u", "v"), labels)
 
 
-def end_assignment(spark, sf_dir):
+def end_assignment(spark, sf_dir, edges=mate_edges):
     """Of each node end the edge with most support; an end whose second edge is too near gets none."""
-    e = reciprocal_edges(spark, sf_dir)
+    e = reciprocal_edges(spark, sf_dir, edges)
     e = e.select("u", F.when(F.col("dir") >= 2, 0).otherwise(1).alias("side"), "v", "n")
     w = Window.partitionBy("u", "side").orderBy(F.desc("n"), "v")
     top = e.withColumns({"r": F.row_number().over(w), "n2": F.lead("n").over(w)}).where("r = 1")
@@ -250,10 +280,10 @@ e as (select least(a, b) a, greatest(a, b) b from l where b is not null and a <>
 select * from e where b = a + 1 or (a % 7 <> 0 and b % 7 <> 0)"""
 
 
-def reachability(spark, sf_dir):
+def reachability(spark, sf_dir, edges=mate_edges, numbers: int = 1000):
     """Stretches that reciprocal edges lead to from the least of each sequence, going up."""
-    e = reciprocal_edges(spark, sf_dir).where("u < v").select("u", "v").distinct()
-    seeds = e.groupBy(F.floor(F.col("u") / 1000).alias("t")).agg(F.min("u").alias("node"))
+    e = reciprocal_edges(spark, sf_dir, edges).where("u < v").select("u", "v").distinct()
+    seeds = e.groupBy(F.floor(F.col("u") / numbers).alias("t")).agg(F.min("u").alias("node"))
     return G.reachable(e, seeds.select("node"), writer(spark))
 
 
@@ -267,3 +297,10 @@ QUERIES = {
     "component_validity": (component_validity, None), "gene_blocks": (gene_blocks, None), "greedy_paths": (greedy_paths, None), "scaffold_order": (scaffold_order, None), "path_layers": (path_layers, None),
     "end_assignment": (end_assignment, END_ASSIGNMENT), "chain_split": (chain_split, CHAIN_SPLIT), "edge_union": (edge_union, EDGE_UNION), "raw_edges_of_marked": (raw_edges_of_marked, RAW_EDGES), "reachability": (reachability, REACHABILITY),
 }
+
+#: What is built on mate edges, over gene blocks.
+QUERIES |= {f"gene_{q.__name__}": (partial(q, edges=gene_mate_edges), None) for q in (edge_orientation, reciprocal_edges, one_way_edges, single_coordinate_edges, ambiguous_sides, bubble_triangles, terminal_nodes, greedy_paths, scaffold_order, path_layers, end_assignment)}
+QUERIES |= {
+    "gene_mate_edges": (gene_mate_edges, None), "gene_strand_consistency": (partial(strand_consistency, edges=gene_mate_edges, votes=_gene_votes), None),
+    "gene_reachability": (partial(reachability, edges=gene_mate_edges, numbers=G.NUMBERS), None),
+}

@@ -186,14 +186,19 @@ select tid, bid, g, coalesce(sum(len) over (w rows between 1 following and unbou
  sum(len) over (partition by tid, g)::bigint effective from b window w as (partition by tid, g order by "start")"""
 
 
-def insert_sizes(spark, sf_dir):
-    """Read length, fragment length and its deviation, by sequence: pairs inside one island, the mate not before the read."""
+def inner_pairs(spark, sf_dir):
+    """Read and fragment lengths of pairs inside one island, the mate not before the read."""
     segs = R.segs(spark, sf_dir).where(R.admitted() & (F.col("i") == F.col("n") - 1) & (F.col("mtid") == F.col("tid"))).select("qname", "ord", "tid", "a", "b", "mpos")
     blocks = exon_blocks(spark, sf_dir).select("tid", "bid", "start", "end")
     held = I.point_join(segs, "a", blocks, "start", "end", "tid").where("b <= end and mpos between start and end and mpos >= a")
     rl = F.col("b") - F.col("a") + 1
     frag = 2 * rl + F.col("mpos") - F.col("a") - 1
-    s = held.select("tid", rl.alias("rl"), frag.alias("f")).groupBy("tid").agg(F.count("*").alias("n"), F.floor(F.avg("rl")).alias("read_length"), F.floor(F.avg("f")).alias("frag_length"), F.avg(F.col("f") * F.col("f")).alias("sq"))
+    return held.select("tid", rl.alias("rl"), frag.alias("f"))
+
+
+def insert_sizes(spark, sf_dir):
+    """Read length, fragment length and its deviation, by sequence: pairs inside one island, the mate not before the read."""
+    s = inner_pairs(spark, sf_dir).groupBy("tid").agg(F.count("*").alias("n"), F.floor(F.avg("rl")).alias("read_length"), F.floor(F.avg("f")).alias("frag_length"), F.avg(F.col("f") * F.col("f")).alias("sq"))
     return s.select("tid", "n", "read_length", "frag_length", F.floor(F.sqrt(F.greatest(F.col("sq") - F.col("frag_length") * F.col("frag_length"), F.lit(0.0)))).alias("frag_std"))
 
 
