@@ -208,6 +208,22 @@ FIXMATE = f"""with {R.READS_SQL}, f as (select *, case when rev = 1 then end_pos
 select a.qname, a.ln, a.pk, a.sk, a.pos, a.ord::int ord, b.tid mate_tid, b.pos mate_pos, b.rev mate_rev, case when a.tid = b.tid then b.five - a.five else 0 end isize from f a left join f b on a.qname = b.qname and a.ord <> b.ord"""
 
 
+def fixmate_all(spark, sf_dir):
+    """All reads: of one name, secondary ones aside, the first and second, third and fourth and so on exchange place, strand and insert size; the rest stay without a mate.
+
+    `fixmate` follows its SQL, which has the first two reads of a name only. An insert size needs both reads, and what they say of their mates, mapped.
+    """
+    five = F.when(F.col("rev") == 1, F.col("end_pos") + 1).otherwise(F.col("pos"))
+    second = F.col("flag").bitwiseAND(256) != 0
+    r = R.reads(spark, sf_dir).select(*KEY, "tid", "rev", "ord", five.alias("five"), (F.col("flag").bitwiseAND(12) == 0).alias("mapped"), second.alias("second"))
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("qname", "second").orderBy("ord")) - 1)
+    w = Window.partitionBy("qname", "second", F.expr("case when second then place else place div 2 end")).orderBy("ord")
+    other = lambda c: F.coalesce(F.lead(c).over(w), F.lag(c).over(w))
+    r = r.withColumns({f"mate_{c}": other(c) for c in ("tid", "pos", "rev", "five", "mapped")})
+    isize = F.when((F.col("tid") == F.col("mate_tid")) & F.col("mapped") & F.col("mate_mapped"), F.col("mate_five") - F.col("five")).otherwise(0)
+    return r.select(*KEY, "ord", "mate_tid", "mate_pos", "mate_rev", isize.alias("isize"))
+
+
 def rmdup_pe(spark, sf_dir):
     """Pairs by library, sequence, place and insert size: the one of greatest quality stays, the first of equals."""
     r = R.reads(spark, sf_dir).where("mtid = tid and mpos >= pos").withColumns({"lib": F.col("sk") % 3, "isize": F.col("mpos") - F.col("pos")})
@@ -308,10 +324,20 @@ select qname, ln, score, least(floor(250.0 * (score - n2) / score)::bigint, 250)
 
 def compare_aligners(spark, sf_dir):
     """Two sets of placements by read name: found by both, one or the other, and whether they agree (one sequence and strand, less than 100 apart), by quality."""
-    r = R.reads(spark, sf_dir)
-    a = r.where("ord = 1").select("qname", "tid", "pos", "rev", (F.col("mapq") >= 30).alias("hi"))
-    b = r.where("ord = 2 and sk % 4 <> 0").select("qname", F.col("tid").alias("t2"), F.col("pos").alias("p2"), F.col("rev").alias("r2"), (F.col("mapq") >= 30).alias("hi2"))
-    both = a.join(b, "qname", "full_outer")
+    r = R.reads(spark, sf_dir).withColumn("k", F.lit(0))
+    return _compared(r.where("ord = 1"), r.where("ord = 2 and sk % 4 <> 0"))
+
+
+def compare_aligners_all(spark, sf_dir):
+    """The same over all reads: those at odd places of their name against those that follow them."""
+    r = R.reads(spark, sf_dir).withColumn("k", F.expr("(ord - 1) div 2"))
+    return _compared(r.where("ord % 2 = 1"), r.where("ord % 2 = 0"))
+
+
+def _compared(a, b):
+    a = a.select("qname", "k", "tid", "pos", "rev", (F.col("mapq") >= 30).alias("hi"))
+    b = b.select("qname", "k", F.col("tid").alias("t2"), F.col("pos").alias("p2"), F.col("rev").alias("r2"), (F.col("mapq") >= 30).alias("hi2"))
+    both = a.join(b, ["qname", "k"], "full_outer")
     kind = F.when(F.col("t2").isNull(), "first").when(F.col("tid").isNull(), "second").when((F.col("tid") == F.col("t2")) & (F.col("rev") == F.col("r2")) & (F.abs(F.col("pos") - F.col("p2")) < 100), "agree").otherwise("differ")
     return both.groupBy(kind.alias("kind"), F.coalesce("hi", F.lit(False)).alias("hi"), F.coalesce("hi2", F.lit(False)).alias("hi2")).agg(F.count("*").alias("n"))
 
@@ -322,7 +348,16 @@ select case when t2 is null then 'first' when tid is null then 'second' when tid
 
 def insert_histogram(spark, sf_dir):
     """Insert sizes by orientation of pairs on one sequence, up to 8,000."""
-    r = R.reads(spark, sf_dir).where("mtid = tid").withColumn("size", F.abs(F.col("mpos") - F.col("pos"))).where("size <= 8000")
+    return _sizes(spark, sf_dir, lambda r: r.where("size <= 8000"))
+
+
+def insert_histogram_all(spark, sf_dir):
+    """All pairs on one sequence: sizes of 7,999 and more are in the last bin."""
+    return _sizes(spark, sf_dir, lambda r: r.withColumn("size", F.least("size", F.lit(7999))))
+
+
+def _sizes(spark, sf_dir, bins):
+    r = bins(R.reads(spark, sf_dir).where("mtid = tid").withColumn("size", F.abs(F.col("mpos") - F.col("pos"))))
     first, second = F.when(F.col("pos") <= F.col("mpos"), F.col("rev")).otherwise(F.col("mrev")), F.when(F.col("pos") <= F.col("mpos"), F.col("mrev")).otherwise(F.col("rev"))
     way = F.when((first == 0) & (second == 1), "inward").when((first == 1) & (second == 0), "outward").otherwise("other")
     return r.groupBy("size", way.alias("way")).agg(F.count("*").alias("n"))
@@ -347,7 +382,7 @@ QUERIES = {
     "alignment_admission": (alignment_admission, ALIGNMENT_ADMISSION), "mate_in_intron": (mate_in_intron, MATE_IN_INTRON), "low_complexity": (low_complexity, LOW_COMPLEXITY), "view_filter": (view_filter, VIEW_FILTER),
     "hash_subsample": (hash_subsample, HASH_SUBSAMPLE), "pileup_read_filter": (pileup_read_filter, PILEUP_READ_FILTER), "region_parse": (region_parse, REGION_PARSE), "flag_letters": (flag_letters, FLAG_LETTERS),
     "strand_weights": (strand_weights, STRAND_WEIGHTS), "flagstat": (flagstat, FLAGSTAT), "idxstats": (idxstats, IDXSTATS), "sort_coord": (sort_coord, SORT_COORD), "sort_name": (sort_name, SORT_NAME),
-    "merge_sorted": (merge_sorted, MERGE_SORTED), "depth": (depth, DEPTH), "depth_histogram": (depth_histogram, DEPTH_HISTOGRAM), "fixmate": (fixmate, FIXMATE), "rmdup_pe": (rmdup_pe, RMDUP_PE), "rmdup_se": (rmdup_se, RMDUP_SE),
+    "merge_sorted": (merge_sorted, MERGE_SORTED), "depth": (depth, DEPTH), "depth_histogram": (depth_histogram, DEPTH_HISTOGRAM), "fixmate": (fixmate, FIXMATE), "fixmate_all": (fixmate_all, None), "rmdup_pe": (rmdup_pe, RMDUP_PE), "rmdup_se": (rmdup_se, RMDUP_SE),
     "shuffled_names": (shuffled_names, SHUFFLED_NAMES), "cigar_segments": (cigar_segments, CIGAR_SEGMENTS), "cigar_lengths": (cigar_lengths, CIGAR_LENGTHS), "supplementary_split": (supplementary_split, SUPPLEMENTARY_SPLIT),
-    "bam_to_bed": (bam_to_bed, BAM_TO_BED), "unique_hits": (unique_hits, UNIQUE_HITS), "compare_aligners": (compare_aligners, COMPARE_ALIGNERS), "insert_histogram": (insert_histogram, INSERT_HISTOGRAM), "placement_errors": (placement_errors, PLACEMENT_ERRORS),
+    "bam_to_bed": (bam_to_bed, BAM_TO_BED), "unique_hits": (unique_hits, UNIQUE_HITS), "compare_aligners": (compare_aligners, COMPARE_ALIGNERS), "insert_histogram": (insert_histogram, INSERT_HISTOGRAM), "compare_aligners_all": (compare_aligners_all, None), "insert_histogram_all": (insert_histogram_all, None), "placement_errors": (placement_errors, PLACEMENT_ERRORS),
 }
