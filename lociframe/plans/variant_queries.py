@@ -104,15 +104,6 @@ s as (select a.site, count(*) n, sum(a.g) sx, sum(b.g) sy, sum(a.g * a.g) xx, su
 select site, n, round(case when n * xx - sx * sx > 1e-9 and n * yy - sy * sy > 1e-9 then pow(n * xy - sx * sy, 2) / ((n * xx - sx * sx) * (n * yy - sy * sy)) else -1.0 end, 6) r2 from s where n > 1"""
 
 
-def linkage_em(spark, sf_dir):
-    """Linkage of neighbouring sites from likelihoods of the samples that both have, by expectation and maximisation over haplotypes."""
-    miss = F.pow(F.lit(10.0), -F.col("gq") / 10)
-    one = samples(spark, sf_dir).withColumn("s", F.col("sample") % 50)
-    w = Window.partitionBy("site", "s").orderBy("sample", "o", "ln", "sd", "ep")
-    one = one.withColumn("r", F.row_number().over(w)).where("r = 1").select("site", "s", F.array(*(F.when(F.col("gt") == g, 1 - miss).otherwise(miss / 2) for g in range(3))).alias("l"))
-    return _linked(one)
-
-
 def sample_likelihoods(lines):
     """lines(site, s, gt, gq): likelihoods of the three genotypes from all lines of a sample at a site, the greatest as 1."""
     miss = F.pow(F.lit(10.0), -F.col("gq") / 10)
@@ -121,8 +112,8 @@ def sample_likelihoods(lines):
     return sums.select("site", "s", F.array(*(F.exp(F.col(f"l{g}") - F.greatest("l0", "l1", "l2")) for g in range(3))).alias("l"))
 
 
-def linkage_em_all(spark, sf_dir):
-    """The same with all lines of a sample at a site, not its first one only."""
+def linkage_em(spark, sf_dir):
+    """Linkage of neighbouring sites from likelihoods of the samples that both have, all lines of a sample combined, by expectation and maximisation over haplotypes."""
     return _linked(sample_likelihoods(samples(spark, sf_dir).withColumn("s", F.col("sample") % 50)))
 
 
@@ -216,6 +207,6 @@ select *, round(case when (a + b) * (c + d) * (a + c) * (b + d) > 0 then (a + b
 
 QUERIES = {
     "allele_counts": (allele_counts, ALLELE_COUNTS), "strand_tables": (strand_tables, STRAND_TABLES), "strand_bias": (strand_bias, STRAND_BIAS), "hwe": (hwe, HWE), "em_frequency": (em_frequency, None), "frequency_posterior": (frequency_posterior, None),
-    "linkage_r2": (linkage_r2, LINKAGE_R2), "linkage_em": (linkage_em, None), "linkage_em_all": (linkage_em_all, None), "genotype_quality": (genotype_quality, GENOTYPE_QUALITY), "trio_constraint": (trio_constraint, TRIO), "quality_steps": (quality_steps, QUALITY_STEPS),
+    "linkage_r2": (linkage_r2, LINKAGE_R2), "linkage_em": (linkage_em, None), "genotype_quality": (genotype_quality, GENOTYPE_QUALITY), "trio_constraint": (trio_constraint, TRIO), "quality_steps": (quality_steps, QUALITY_STEPS),
     "variant_filter": (variant_filter, VARIANT_FILTER), "contrast": (contrast, CONTRAST),
 }

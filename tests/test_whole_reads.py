@@ -53,11 +53,11 @@ def test_compare_aligners_all(spark, reads):
     assert n == +Counter(agree=agree, differ=len(both) - agree, first=sum(len(rows) % 2 for rows in reads))
 
 
-def test_linkage_em_all_combines_lines(spark):
+def test_linkage_em_combines_lines(spark):
     lines = spark.createDataFrame([(1, 1, 0, 10), (1, 1, 1, 20), (1, 2, 2, 10)], "site long, s long, gt int, gq int")
     got = {r.s: r.l for r in V.sample_likelihoods(lines).collect()}
     like = lambda gt, gq: [1 - 10 ** (-gq / 10) if g == gt else 10 ** (-gq / 10) / 2 for g in range(3)]
     both = [a * b for a, b in zip(like(0, 10), like(1, 20), strict=True)]
     assert all(math.isclose(x, y / max(both)) for x, y in zip(got[1], both, strict=True))
     assert all(math.isclose(x, y / 0.9) for x, y in zip(got[2], like(2, 10), strict=True))
-    assert all(-1.001 <= r.r <= 1.001 for r in V.linkage_em_all(spark, SF).collect())
+    assert all(-1.001 <= r.r <= 1.001 for r in V.linkage_em(spark, SF).collect())
