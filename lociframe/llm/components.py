@@ -7,6 +7,7 @@ with very many links isn't gathered anywhere; the join that hands it on is one t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     e = scratch.table(pairs.mapInArrow(contract, "a long, b long").distinct(), f"{name}-0")
     seen = None
-    for i in range(1, 200):
+    for i in count(1):  # the number of edges off their star falls in each round
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -12,23 +12,30 @@ there, so any two similar sets sign for a common band with greatest size hi and
 domain of hashes is dealt to n1 parts of 3 cells each. k differences leave at least n1 - k//2 parts with one
 difference or none, and in such a part two of three cells agree. So each part gives three signatures, the
 contents of two of its cells, and similar sets share n1 - k//2. Empty contents aren't signed: they would be
-shared by all. A part is weak for a set if two of its cells are empty. A set with at most n1 - k//2 - SHARED
-weak parts shares SHARED signed signatures or more with every partner. Sets with more weak parts also sign the
-prefix of their hashes, frequent ones last, |A| - ceil(t |A|) + 1 of them, of which two such sets share one if
-they are similar. So no link is lost.
-
-Candidates. Sets that share a signature with few others are paired, and pairs that share fewer than SHARED are
-dropped. A signature of more than FEW sets links these to the least of them instead, first within a task, then
-among the tasks' least ones; it never gives all pairs. All similar pairs lie within the components of both.
+shared by all. A part is weak for a set if two of its cells are empty. A set with fewer than n1 - k//2 weak
+parts shares a signed signature with every partner. Sets with more weak parts also sign the prefix of their
+hashes, frequent ones last, |A| - ceil(t |A|) + 1 of them, of which two such sets share one if they are similar.
+So no link is lost. Signatures travel as four bytes within the part of the shuffle that all eight chose; what
+meets by chance there is pruned below.
+
+Candidates. Sets that share a signature with few others are paired. A signature of more than FEW sets links these
+to the least of them instead, first within a task, then among the tasks' least ones; it never gives all pairs.
+Pairs and links travel packed by bucket, where repeated ones fall away. A distinct pair stays if its sizes and
+its sketches allow it: a sketch has the parities of a set's hashes by bit, and two sketches differ in no more
+bits than the sets do in hashes, so no similar pair is dropped. All similar pairs lie within the components of
+the links and of the pairs that stay.
 
 Verification. The sets of a component meet in blocks of bounded size, each pair of blocks in one task. There,
 sets that one set is similar to are joined with it at once; pairs that are in one class already are passed
 over; the rest is found by an index over prefixes, rarest hashes first, and counted exactly. Blocks return
-classes as stars, not pairs.
+classes as stars, not pairs. Before that, the sets of a component of several blocks are held against its least
+set, block by block: those similar to it are one class, and only the rest meets everything. So a large group
+around one text costs what it holds, not its square.
 
 Null texts and those without words have no set and no link. Repeated rows are copies of one another. Rows
-without doc_id take part, but give no class its id. Ties don't arise: ids are compared as numbers. An empty
-table gives an empty table. Extra columns aren't used.
+without doc_id take part and may bridge others, but give no class its id; a class of such rows only has none.
+Ties don't arise: ids are compared as numbers. Very long texts are one set each; a block holds at least one. An
+empty table gives an empty table. Extra columns aren't used.
 """
 
 from __future__ import annotations
@@ -41,12 +48,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, U, Scratch, WordHashes, mix, partitions, shingles, small_batches
+from .common import M1, M2, U, Scratch, WordHashes, mix, partitions, shingles, small_batches
 from .components import components
 
 WORDS, CELLS = 5, 3
-#: Signatures that a pair of safe sets has to share; sets that a signature pairs one by one.
-SHARED, FEW = 3, 24
+#: Sets that a signature pairs one by one.
+FEW = 24
 #: A hash is frequent if tasks that see it twice or more among COUNTED hashes see it FREQUENT times in all; at most LISTED are taken.
 COUNTED, FREQUENT, LISTED = 4_000_000, 48, 1_000_000
 #: Similarity as a fraction, so that sizes are compared exactly.
@@ -73,10 +80,10 @@ def differences(hi: int) -> int:
 
 
 def parts_of(hi: int) -> tuple[int, int]:
-    """n1, and the most weak parts that a safe set may have. Some parts more than k//2 + SHARED allow for weak ones."""
+    """n1, and the most weak parts that a safe set may have. Some parts more than k//2 + 1 allow for weak ones."""
     k = differences(hi)
-    spare = 1 + k // 16
-    return k // 2 + SHARED + spare, spare
+    spare = 2 + k // 16
+    return k // 2 + 1 + spare, spare
 
 
 def shingle_set(hashes: WordHashes, text: str | None) -> np.ndarray:
@@ -92,7 +99,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets (the lowest bit is 1 for those of a prefix), and the index of the set each belongs to."""
+    """Signatures of non-empty sets, and the index of the set each belongs to."""
     sizes = np.array([len(s) for s in sets])
     common = _among(np.concatenate(sets), frequent)
     ends = np.cumsum(sizes)
@@ -131,29 +138,29 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
         tags = mix(np.arange(n1 * CELLS, dtype=np.uint64).reshape(n1, CELLS) ^ (seed + U(1)))
         for q, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             some = np.nonzero(full[:, :, a] | full[:, :, b])
-            sigs.append(mix(mix(held[:, :, a][some] + tags[some[1], q]) * M1 + held[:, :, b][some]) & ~U(1))
+            sigs.append(mix(mix(held[:, :, a][some] + tags[some[1], q]) * M1 + held[:, :, b][some]))
             owners.append(members[some[0]])
     for i in np.nonzero(~safe)[0].tolist():
         n = len(sets[i])
         last = common[ends[i] - n : ends[i]]
         prefix = np.concatenate([sets[i][~last], sets[i][last]])[: n - -(-n * NUM // DEN) + 1]  # sets are sorted
-        sigs.append(mix(prefix ^ M1) | U(1))
+        sigs.append(mix(prefix ^ M1))
         owners.append(np.full(len(prefix), i))
     return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-NO_LINKS, NO_PAIRS = np.zeros((0, 2), np.int64), np.zeros((0, 3), np.int64)
+NONE = np.zeros((0, 2), np.int64)
 
 
 def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sigs, nodes, large) to hand on, links (node, least) of large groups, and if this is the last step pairs (a, b, shared) of the others.
+    """(sigs, nodes, large) to hand on, links (node, least) of large groups, and if this is the last step pairs (a, b) of the others.
 
     large: the node stands for more than FEW sets that a task has linked to it already.
     """
     order = np.lexsort((nodes, sigs))
     s, x, big = sigs[order], nodes[order], large[order]
     if not len(s):
-        return s, x, big, NO_LINKS, NO_PAIRS
+        return s, x, big, NONE, NONE
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
     big = np.logical_or.reduceat(big, np.nonzero(new)[0])  # one set from several tasks
     s, x = s[new], x[new]
@@ -162,28 +169,67 @@ def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool)
     wide = (sizes > FEW) | np.logical_or.reduceat(big, cuts)
     in_wide, hub = np.repeat(wide, sizes), np.repeat(x[cuts], sizes)
     other = in_wide & (x != hub)
-    links = np.unique(np.stack([x[other], hub[other]], 1), axis=0) if other.any() else NO_LINKS
+    links = distinct(np.stack([x[other], hub[other]], 1))
     if not last:
-        return s[~other], x[~other], in_wide[~other], links, NO_PAIRS
-    found = [NO_PAIRS]
+        return s[~other], x[~other], in_wide[~other], links, NONE
+    found = [NONE]
     for size in np.unique(sizes[~wide & (sizes > 1)]).tolist():
         at = cuts[~wide & (sizes == size)]
-        found += [np.stack([x[at + i], x[at + j], np.where(s[at] & U(1), SHARED, 1)], 1) for i in range(size) for j in range(i + 1, size)]
-    found = np.concatenate(found)
-    if not len(found):
-        return s, x, in_wide, links, NO_PAIRS
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    first = np.nonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)]))[0]
-    return s, x, in_wide, links, np.column_stack([found[first, :2], np.add.reduceat(found[:, 2], first)])
+        found += [np.stack([x[at + i], x[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
+    return s, x, in_wide, links, distinct(np.concatenate(found))
+
+
+def distinct(pairs: np.ndarray) -> np.ndarray:
+    if len(pairs) < 2:
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of a set's hashes by bit, over the power of two bits from twice the set's size on."""
+    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((mix(hashes ^ M2) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
-_OUT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("large", pa.binary()), ("sigs", pa.binary())])
 
+def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether sizes n, m and the sketches x, y leave room for similar sets. The longer sketch folds to the shorter."""
+    if DEN * min(n, m) < NUM * max(n, m):
+        return False
+    a, b = sorted((np.frombuffer(x, U), np.frombuffer(y, U)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)
+    return int(np.bitwise_count(a ^ b).sum()) * (DEN + NUM) <= (DEN - NUM) * (n + m)
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+
+#: What travels: kind s(ignatures), m(embers), k (sketches), l(inks) or p(airs), and their arrays.
+_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.string()), *((f"c{i}", pa.binary()) for i in range(4))])
+PACKED = "part int, kind string, c0 binary, c1 binary, c2 binary, c3 binary"
+#: m: doc_id, node (null: no set), size, hash of the text; k: node, -, size, -, sketch; l and p: two nodes.
+FOUND = "kind string, a long, b long, n long, text_hash long, sketch binary"
+_FOUND = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("text_hash", pa.int64()), ("sketch", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema = _PACKED) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _found(kind: str, rows: int, **columns) -> pa.RecordBatch:
+    given = {"kind": [kind] * rows} | columns
+    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(rows, f.type) for f in _FOUND], schema=_FOUND)
+
+
+def _dealt(kind: str, pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Links or pairs on their way to a bucket, one row each."""
+    if not len(pairs):
+        return
+    bucket = (mix(pairs[:, 0].view(U) ^ mix(pairs[:, 1].view(U))) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    pairs, bucket = pairs[order], bucket[order]
+    cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+    yield _rows([(int(bucket[a]), kind, pairs[a:b].tobytes(), b"", b"", b"") for a, b in zip(cuts, np.append(cuts, len(pairs))[1:], strict=True)])
+
+
 def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
     """Sorted hashes that many documents share, at most LISTED. Tasks name what they see twice or more."""
 
@@ -222,10 +268,7 @@ def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
 
 
 def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
-    """One pass over the texts. Rows of three kinds, the last two also after a shuffle by signature: m(embership) of documents in nodes, (l)inks, (p)airs.
-
-    kind string, a long, b long, n long: m: doc_id, node (null: no set), size of the set; l: node, least node; p: two nodes, signatures shared here.
-    """
+    """One pass over documents(doc_id, text, text_hash), a shuffle by signature and one of what was found. Columns as in FOUND."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most LISTED hashes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +278,13 @@ def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             names = np.array(list(sets), np.int64)
+            for a in range(0, len(names), 1000):
+                some, held = names[a : a + 1000], list(sets.values())[a : a + 1000]
+                sizes = np.array([len(s) for s in held], np.int64)
+                yield _rows([(int(some[0]) % parts, "k", some.tobytes(), sizes.tobytes(), b"".join(map(sketch, held)), b"")])
             sigs, owners = signatures(list(sets.values()), known.value)
             sigs, nodes, large, links, _ = grouped(sigs, names[owners], np.zeros(len(sigs), bool), False)
-            if len(links):
-                yield _rows([(0, b"", b"", links.tobytes(), b"", b"", None)], _OUT)
+            yield from _dealt("l", links, parts)
             part = (mix(sigs ^ U(5)) % U(parts)).astype(np.int64)
             order = np.lexsort((nodes, part))
             sigs, nodes, large, part = sigs[order], nodes[order], large[order], part[order]
@@ -247,19 +293,18 @@ def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
             for a, b in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
                 new = np.nonzero(np.diff(nodes[a:b], prepend=~nodes[a : a + 1]))[0]
                 counts = np.diff(np.append(new, b - a))
-                rows.append((int(part[a]), b"", b"", nodes[a:b][new].tobytes(), counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes(), np.packbits(large[a:b]).tobytes(), sigs[a:b].tobytes()))
+                rows.append((int(part[a]), "s", nodes[a:b][new].tobytes(), counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes(), np.packbits(large[a:b]).tobytes(), (sigs[a:b] >> U(32)).astype("<u4").tobytes()))
                 size += 8 * (b - a)
                 if size > 1 << 21:
-                    yield _rows(rows, _OUT)
+                    yield _rows(rows)
                     rows, size = [], 0
             if rows:
-                yield _rows(rows, _OUT)
+                yield _rows(rows)
 
         for b in batches:
-            ids, sizes, nodes = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids, sizes, nodes = b.column("doc_id"), [], []
+            for text in b.column("text").to_pylist():
                 s = shingle_set(hashes, text)
-                ids.append(doc)
                 sizes.append(len(s))
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                 nodes.append(node)
@@ -270,54 +315,78 @@ def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
                     yield from out()
                     sets.clear()
                     gathered = 0
-            yield _members(ids, nodes, sizes, parts)
+            if sizes:
+                # no set and no doc_id are flags
+                flags = np.array([(x is not None) + 2 * (d is None) for d, x in zip(ids.to_pylist(), nodes, strict=True)], np.int64)
+                doc = np.array([d or 0 for d in ids.to_pylist()], np.int64)
+                yield _rows([(int(doc.sum() % parts), "m", np.stack([doc, flags]).tobytes(), np.array([x or 0 for x in nodes], np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), np.array(b.column("text_hash").to_pylist(), np.int64).tobytes())])
         if sets:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, large = [], [], []
         for b in batches:
-            for ids, sizes, x, counts, big, s in zip(*(b.column(c).to_pylist() for c in _OUT.names[1:]), strict=True):
-                if ids:
-                    d, known = np.frombuffer(ids, np.int64).reshape(2, -1)
-                    n = np.frombuffer(sizes, np.int64)
-                    no_doc = (known & 2) > 0
-                    yield _kind("m", pa.array(d, mask=no_doc), pa.array(np.frombuffer(x, np.int64), mask=(known & 1) == 0), pa.array(n))
-                elif s is None:
-                    links = np.frombuffer(x, np.int64).reshape(-1, 2)
-                    yield _kind("l", pa.array(links[:, 0]), pa.array(links[:, 1]), pa.nulls(len(links), pa.int64()))
-                else:
-                    x = np.frombuffer(x, np.int64)
-                    counts = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(x) else "<u4")
-                    nodes.append(np.repeat(x, counts))
-                    sigs.append(np.frombuffer(s, U))
-                    large.append(np.unpackbits(np.frombuffer(big, np.uint8), count=len(sigs[-1])).astype(bool))
+            signed = pa.compute.equal(b.column("kind"), "s")
+            rest = b.filter(pa.compute.invert(signed))
+            if rest.num_rows:
+                yield rest
+            for x, counts, big, s in zip(*(b.filter(signed).column(f"c{i}").to_pylist() for i in range(4)), strict=True):
+                x = np.frombuffer(x, np.int64)
+                counts = np.frombuffer(counts, "<u2" if len(counts) == 2 * len(x) else "<u4")
+                nodes.append(np.repeat(x, counts))
+                sigs.append(np.frombuffer(s, "<u4"))
+                large.append(np.unpackbits(np.frombuffer(big, np.uint8), count=len(sigs[-1])).astype(bool))
         if sigs:
-            *_, links, pairs = grouped(np.concatenate(sigs), np.concatenate(nodes), np.concatenate(large), True)
-            yield _kind("l", pa.array(links[:, 0]), pa.array(links[:, 1]), pa.nulls(len(links), pa.int64()))
-            for a in range(0, len(pairs), 100_000):
-                yield _kind("p", *(pa.array(np.ascontiguousarray(c)) for c in pairs[a : a + 100_000].T))
-
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, ids binary, sizes binary, nodes binary, counts binary, large binary, sigs binary")
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(meet, "kind string, a long, b long, n long")
-
-
-def _members(ids: list, nodes: list, sizes: list, parts: int) -> pa.RecordBatch:
-    """One row, for some part; second half of ids: 1 if there is a node, 2 if there is no doc_id."""
-    flags = [(x is not None) + 2 * (d is None) for d, x in zip(ids, nodes, strict=True)]
-    data = np.array([[d or 0 for d in ids], flags], np.int64)
-    return _rows([(int(data.sum() % parts) if ids else 0, data.tobytes(), np.array(sizes, np.int64).tobytes(), np.array([x or 0 for x in nodes], np.int64).tobytes(), b"", b"", None)] if ids else [], _OUT) if ids else pa.RecordBatch.from_pylist([], _OUT)
+            sigs, nodes, large = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(large)
+            *_, links, pairs = grouped(sigs, nodes, large, True)
+            yield from _dealt("l", links, parts)
+            yield from _dealt("p", pairs, parts)
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict[str, list[np.ndarray]] = {"l": [], "p": []}
+        for b in batches:
+            for kind, *c in zip(*(b.column(x).to_pylist() for x in _PACKED.names[1:]), strict=True):
+                if kind in pairs:
+                    pairs[kind].append(np.frombuffer(c[0], np.int64).reshape(-1, 2))
+                elif kind == "m":
+                    docs, flags = np.frombuffer(c[0], np.int64).reshape(2, -1)
+                    node, size, text = (np.frombuffer(x, np.int64) for x in c[1:])
+                    yield _found("m", len(docs), a=pa.array(docs, mask=(flags & 2) > 0), b=pa.array(node, mask=(flags & 1) == 0), n=size, text_hash=text)
+                else:
+                    node, size = np.frombuffer(c[0], np.int64), np.frombuffer(c[1], np.int64)
+                    ends = np.cumsum([1 << max(3, (2 * n - 1).bit_length() - 3) for n in size.tolist()]).tolist()
+                    yield _found("k", len(node), a=node, n=size, sketch=[c[2][i:j] for i, j in zip([0, *ends], ends, strict=False)])
+        for kind, some in pairs.items():
+            some = distinct(np.concatenate(some)) if some else NONE
+            for a in range(0, len(some), 100_000):
+                x, y = np.ascontiguousarray(some[a : a + 100_000].T)
+                yield _found(kind, len(x), a=x, b=y)
+
+    dealt = docs.mapInArrow(deal, PACKED).repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(meet, PACKED).repartitionById(parts, F.col("part")).mapInArrow(gather, FOUND)
+
+
+def pruned(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+    pairs = found.where("kind = 'p'").select("a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = found.where("kind = 'k'").select(F.col("a").alias("node"), "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    known = scratch.table(known, "sketches")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_be_similar(*x) for x in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _kind(kind: str, a: pa.Array, b: pa.Array, n: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), a, b, n], names=["kind", "a", "b", "n"])
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible, "a long, b long")
 
 
 class BlockJoin:
     """Classes of similar sets among those of one task."""
 
-    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray]):
-        self.nodes, self.sizes = nodes, np.array([len(s) for s in sets])
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         values, self.rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -329,7 +398,14 @@ class BlockJoin:
         row = np.repeat(np.arange(len(sets)), self.sizes)
         self.rank = self.rank[np.lexsort((self.rank, row))]
         self.row = row
-        self.class_ = np.arange(len(sets))
+        self.above = np.arange(len(sets))
+
+    def classes(self, of: np.ndarray) -> np.ndarray:
+        """The least set of each one's class."""
+        found = self.above[of]
+        while (higher := self.above[found]) is not None and (higher != found).any():
+            found = higher
+        return found
 
     def similar(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that set i is similar to, by exact counts."""
@@ -347,9 +423,9 @@ class BlockJoin:
         return others[DEN * small >= NUM * large]
 
     def join(self, i: int, found: np.ndarray) -> None:
-        classes = np.unique(self.class_[np.append(found, i)])
-        if len(classes) > 1:
-            self.class_[np.isin(self.class_, classes)] = classes[0]
+        some = np.append(found, i)
+        roots = self.classes(some)
+        self.above[roots] = self.above[some] = roots.min()
 
     def run(self) -> np.ndarray:
         n = len(self.sizes)
@@ -357,7 +433,8 @@ class BlockJoin:
         # sets around which many lie: one look each at all others
         tried: set[int] = set()
         for _ in range(16 if n > 64 else 0):
-            alone = everyone[np.bincount(self.class_, minlength=n)[self.class_] == 1]
+            classes = self.classes(everyone)
+            alone = everyone[np.bincount(classes, minlength=n)[classes] == 1]
             if len(alone) < 64:
                 break
             weight = np.add.reduceat(self.count_of(), self.starts) / self.sizes
@@ -390,13 +467,13 @@ class BlockJoin:
                 continue
             others = np.unique(np.concatenate([row[cuts[r] : ends[r]] for r in runs]))
             others = others[others > i]
-            others = others[self.class_[others] != self.class_[i]]
+            others = others[self.classes(others) != self.classes(np.array([i]))]
             others = self.fits(i, others)
             if len(others):
                 found = self.similar(i, others)
                 if len(found):
                     self.join(i, found)
-        return self.class_
+        return self.classes(everyone)
 
     def count_of(self) -> np.ndarray:
         if not hasattr(self, "_held"):
@@ -404,56 +481,87 @@ class BlockJoin:
         return self._held
 
 
-def verify(candidates: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span the classes of similar sets. candidates: block key columns c, i, j, then node, hashes (binary)."""
+def near_least(blocks: DataFrame) -> DataFrame:
+    """(node, c): the sets similar to their component's least one. blocks: c, own, node, hashes; the least set is in each block."""
+
+    def run(pdf):
+        import pandas as pd
+
+        nodes, c = pdf["node"].to_numpy(), int(pdf["c"].iloc[0])
+        block = BlockJoin([np.frombuffer(h, U) for h in pdf["hashes"]])
+        least, others = int(np.nonzero(nodes == c)[0][0]), np.nonzero(nodes != c)[0]
+        others = block.fits(least, others)
+        found = nodes[block.similar(least, others)] if len(others) else nodes[:0]
+        return pd.DataFrame({"node": found, "c": np.full(len(found), c)})
+
+    return blocks.groupBy("c", "own").applyInPandas(run, "node long, c long")
+
+
+def verify(candidates: DataFrame) -> DataFrame:
+    """Links (a, b) that span the classes of similar sets. candidates: block key columns c, i, j, then node, hashes, near (of one class already)."""
 
     def run(pdf):
         import pandas as pd
 
-        nodes = pdf["node"].to_numpy()
-        order = np.argsort(nodes)
-        sets = [np.frombuffer(pdf["hashes"].iloc[k], U) for k in order]
-        nodes = nodes[order]
-        classes = BlockJoin(nodes, sets).run() if len(nodes) > 1 else np.zeros(1, np.int64)
+        pdf = pdf.sort_values("node")
+        nodes, near = pdf["node"].to_numpy(), np.nonzero(pdf["near"].to_numpy())[0]
+        block = BlockJoin([np.frombuffer(h, U) for h in pdf["hashes"]])
+        if len(near):
+            block.join(int(near[0]), near)
+        classes = block.run() if len(nodes) > 1 else np.zeros(1, np.int64)
         other = np.nonzero(classes != np.arange(len(nodes)))[0]
         return pd.DataFrame({"a": nodes[other], "b": nodes[classes[other]]})
 
     return candidates.groupBy("c", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def similar_sets(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that span the classes of similar sets within components. sets: node, c (its component's least node), blocks, hashes."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    wide = sets.where("blocks > 1").withColumn("own", block)
+    least = wide.where("node = c").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = scratch.table(near_least(wide.where("node <> c").unionByName(least).select("c", "own", "node", "hashes")), "near")
+    flagged = sets.join(near.select("node", F.lit(True).alias("near")), "node", "left").withColumn("near", F.coalesce("near", (F.col("node") == F.col("c")) & (F.col("blocks") > 1)))
+    # what is not near the least set meets everything, so a set goes to as many tasks as there are blocks of the rest
+    rest = flagged.where("not near").groupBy("c").agg(F.ceil(F.sum(F.octet_length("hashes") / 8) / BLOCK).cast("int").alias("rests"))
+    own = F.when(F.col("near"), F.col("rests") + block).otherwise(F.pmod(F.xxhash64("node"), F.col("rests")).cast("int"))
+    ends = F.when(F.col("near") | (F.col("blocks") == 1), F.col("rests")).otherwise(F.col("rests") + F.col("blocks"))
+    dealt = flagged.join(rest, "c").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), ends - 1)))
+    dealt = dealt.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes", "near")
+    return scratch.table(verify(dealt), "links").unionByName(near.toDF("a", "b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text): doc_id, n_shingles, component_id, one row for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngrams")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-chars // 15_000_000))  # about 1.7 million signatures each
     signed = scratch.table(sign(docs, parts, frequent_hashes(docs, scratch)), "signed")
-    members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
-    pairs = signed.where("kind = 'p'").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
-    linked = components(signed.where("kind = 'l'").select("a", "b").unionByName(pairs.select("a", "b")), scratch, "candidates")
+    members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "text_hash")
+    candidates = signed.where("kind = 'l'").select("a", "b").unionByName(pruned(signed, scratch))
+    linked = components(candidates, scratch, "candidates")
 
-    # one document of each node, whose text gives the set again
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    # one document of each node, whose text gives the set again: that of the least id, of those without if there is no other
+    nodes = members.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"))
+    nodes = nodes.select("node", "first.doc_id", "first.text_hash", "n")
     held = scratch.table(linked.join(nodes, "node"), "held")
     sizes = held.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    held = held.join(sizes, "component").select("doc_id", "node", F.col("component").alias("c"), "blocks")
+    held = held.join(sizes, "component").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "node", F.col("component").alias("c"), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             found = [shingle_set(hashes, t).tobytes() for t in b.column("text").to_pylist()]
-            # rows of a doc_id that occurs with several texts: the one whose set is meant
+            # texts of one doc_id and hash: the one whose set is meant
             meant = pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) == x for s, x in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "c", "blocks")), pa.array(found, pa.binary())], names=["node", "c", "blocks", "hashes"]).filter(meant)
 
-    texts = docs.join(held, "doc_id").mapInArrow(sets, "node long, c long, blocks int, hashes binary").dropDuplicates(["node"])
-    # a component of several blocks: each pair of blocks meets once, so a set goes to as many tasks as there are blocks
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = texts.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
-    links = scratch.table(verify(dealt, scratch), "links")
+    texts = docs.join(held, (docs["text_hash"] == held["_text"]) & docs["doc_id"].eqNullSafe(held["_doc"]))
+    texts = texts.select("text", "node", "c", "blocks").mapInArrow(sets, "node long, c long, blocks int, hashes binary").dropDuplicates(["node"])
+    links = similar_sets(scratch.table(texts, "sets"), scratch)
 
     classes = components(links, scratch, "classes")
     least = classes.join(nodes.select("node", "doc_id"), "node")

@@ -180,7 +180,8 @@ def test_signatures_lose_no_similar_pair():
             if 100 * both >= 80 * (len(a) + len(x) - both) and len(x) and not np.array_equal(a, x):
                 sigs, owner = ngramjoin.signatures([a, x], frequent)
                 *_, links, pairs = ngramjoin.grouped(sigs, owner, np.zeros(len(sigs), bool), True)
-                assert len(pairs) and pairs[0, 2] >= ngramjoin.SHARED, n
+                assert len(pairs), n
+                assert ngramjoin.may_be_similar(len(a), len(x), ngramjoin.sketch(a), ngramjoin.sketch(x)), n
 
 
 def test_block_join_is_exact():
@@ -189,7 +190,7 @@ def test_block_join_is_exact():
     texts = [edited(words, rng.randrange(0, 14), rng) for _ in range(150)]
     hashes = ngramjoin.WordHashes()
     sets = [ngramjoin.shingle_set(hashes, t) for t in texts]
-    got = ngramjoin.BlockJoin(np.arange(150), sets).run()
+    got = ngramjoin.BlockJoin(sets).run()
     want = near_brute(list(enumerate(texts)))
     first = {}
     for i, c in enumerate(got.tolist()):
@@ -348,3 +349,23 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns
+
+
+def test_near_copies_without_ids_bridge_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = words[:56], words[2:58], words[4:60]  # neighbours are similar, a and c aren't
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (5, "other text"), (5, "other text"), (None, None)]
+    got = ngramjoin.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (2, 1), (5, 5), (5, 5)]
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (52, 1)]
+
+
+def test_components_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 400)  # some eight sets
+    rng = random.Random(31)
+    base, rows = [f"x{i}" for i in range(60)], []
+    for i in range(60):
+        base = edited(base, 1, rng).split() if i % 3 == 0 else base  # the group drifts away from its first text
+        rows.append((i, edited(base, rng.randrange(0, 3), rng)))
+    got = ngramjoin.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(near_brute(rows))
