@@ -83,12 +83,12 @@ class WordTokenizer:
             cut = [[] if not t else t.split() if _CONTROL.search(t) is None else [c for c in _CUT.split(t) if c] for t in some]
             kept = self.kept
             found = set().union(*cut)
-            missing = found - kept.keys()
+            missing = [c for c in found if c not in kept]  # a set less a dictionary's keys would go through all of these
             if missing:
                 if len(kept) + len(missing) > self.KEPT:
                     kept = {}
-                    missing = found
-                met = self._meet(list(missing))
+                    missing = list(found)
+                met = self._meet(missing)
                 short = {c: v for c, v in met.items() if len(c) <= self.LONGEST}
                 kept.update(short)
                 self.kept = kept
