@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut by rows and by bytes, so that very long texts don't meet in one batch.
@@ -124,6 +124,23 @@ def _bisect(col, splits: list, lo: int, hi: int):
     return F.when(col >= F.lit(splits[mid]), _bisect(col, splits, mid + 1, hi)).otherwise(_bisect(col, splits, lo, mid))
 
 
+#: Rows of the table of may_occur, 64 bits each: some 4 MB at most, whatever the input.
+WORDS = 1 << 18
+
+
+def may_occur(df: DataFrame, key: Column, keys: DataFrame, name: str = "_may") -> DataFrame:
+    """df with a boolean that is true where key is among the values of keys' only column, and seldom elsewhere.
+
+    The values set bits of a table of bounded size, which is broadcast. So rows that surely have no partner needn't
+    be shuffled; the others are joined as ever. Where the values are very many, all rows count as possible.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
+    at = place(keys[keys.columns[0]])
+    bits = keys.select(F.shiftright(at, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    placed = df.withColumn("_place", place(key)).join(F.broadcast(bits), F.shiftright("_place", 6) == F.col("_word"), "left")
+    return placed.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod("_place", F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_place", "_word", "_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

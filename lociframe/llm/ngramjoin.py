@@ -15,8 +15,8 @@ contents of two of its cells, and similar sets share n1 - k//2. Empty contents a
 shared by all. A part is weak for a set if two of its cells are empty. A set with fewer than n1 - k//2 weak
 parts shares a signed signature with every partner. Sets with more weak parts also sign the prefix of their
 hashes, frequent ones last, |A| - ceil(t |A|) + 1 of them, of which two such sets share one if they are similar.
-So no link is lost. Signatures travel as four bytes within the part of the shuffle that all eight chose; what
-meets by chance there is pruned below.
+So no link is lost. Signatures travel as four bytes within the part of the shuffle that all eight chose, and a
+band has parts of its own, so a pair meets in few of them. What meets by chance is pruned below.
 
 Candidates. Sets that share a signature with few others are paired. A signature of more than FEW sets links these
 to the least of them instead, first within a task, then among the tasks' least ones; it never gives all pairs.
@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U, Scratch, WordHashes, mix, partitions, shingles, small_batches
+from .common import M1, M2, U, Scratch, WordHashes, may_occur, mix, partitions, shingles, small_batches
 from .components import components
 
 WORDS, CELLS = 5, 3
@@ -59,7 +59,7 @@ COUNTED, FREQUENT, LISTED = 4_000_000, 48, 1_000_000
 #: Similarity as a fraction, so that sizes are compared exactly.
 NUM, DEN = 80, 100
 #: Greatest size of a band over its least, signatures that a task gathers before it deals them out, and hashes in a block.
-BAND, GATHERED, BLOCK = 1.35, 1_500_000, 1 << 21
+BAND, GATHERED, BLOCK = 1.35, 800_000, 1 << 21
 
 
 def _bands(upto: int = 1 << 40) -> np.ndarray:
@@ -86,6 +86,34 @@ def parts_of(hi: int) -> tuple[int, int]:
     return k // 2 + 1 + spare, spare
 
 
+class Routes:
+    """Which part of the shuffle a signature goes to. A band has parts of its own, as many as its share of all signatures asks for, so a set's
+    signatures go to few parts. The last ones are for prefixes. sets: (band, sets in it, hashes of their prefixes).
+    """
+
+    def __init__(self, sets: list[tuple[int, int, int]], parts: int):
+        weight, prefixes = np.zeros(len(BANDS) + 1), 0.0
+        for band, n, prefix in sets:
+            weight[band] += n * CELLS * parts_of(int(BANDS[band]))[0]
+            weight[band + 1] += n * CELLS * parts_of(int(BANDS[band + 1]))[0] / 2  # about half of them sign there too
+            prefixes += prefix
+        weight[-1] = prefixes
+        self.counts = np.maximum(1, np.round(parts * weight / max(1.0, weight.sum()))).astype(np.int64) * (weight > 0)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.parts = max(1, int(self.counts.sum()))
+
+    def of(self, sigs: np.ndarray, bands: np.ndarray) -> np.ndarray:
+        return self.starts[bands] + (mix(sigs ^ U(5)) % np.maximum(self.counts[bands], 1).astype(U)).astype(np.int64)
+
+
+#: The band of prefixes.
+PREFIXES = len(BANDS)
+
+
+def prefix_length(n: np.ndarray | int):
+    return n - -(-n * NUM // DEN) + 1
+
+
 def shingle_set(hashes: WordHashes, text: str | None) -> np.ndarray:
     return np.unique(shingles(hashes.of(text.encode().lower().split()), WORDS)) if text else np.zeros(0, U)
 
@@ -98,15 +126,15 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, and the index of the set each belongs to."""
+def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, the index of the set each belongs to, and the band."""
     sizes = np.array([len(s) for s in sets])
     common = _among(np.concatenate(sets), frequent)
     ends = np.cumsum(sizes)
     rare = [s[~common[e - len(s) : e]] for s, e in zip(sets, ends.tolist(), strict=True)]
     left = np.array([len(r) for r in rare])
     own = np.searchsorted(BANDS, sizes)
-    sigs, owners = [], []
+    sigs, owners, bands = [], [], []
     safe = np.ones(len(sets), bool)
     # the band, and the next one for sets that may have a larger partner there
     jobs = [(i, int(b)) for i, b in enumerate(own)] + [(i, int(b) + 1) for i, b in enumerate(own) if sizes[i] * DEN // NUM > BANDS[b]]
@@ -140,30 +168,33 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
             some = np.nonzero(full[:, :, a] | full[:, :, b])
             sigs.append(mix(mix(held[:, :, a][some] + tags[some[1], q]) * M1 + held[:, :, b][some]))
             owners.append(members[some[0]])
+            bands.append(np.full(len(some[0]), band))
     for i in np.nonzero(~safe)[0].tolist():
         n = len(sets[i])
         last = common[ends[i] - n : ends[i]]
-        prefix = np.concatenate([sets[i][~last], sets[i][last]])[: n - -(-n * NUM // DEN) + 1]  # sets are sorted
+        prefix = np.concatenate([sets[i][~last], sets[i][last]])[: prefix_length(n)]  # sets are sorted
         sigs.append(mix(prefix ^ M1))
         owners.append(np.full(len(prefix), i))
-    return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
+        bands.append(np.full(len(prefix), PREFIXES))
+    return (np.concatenate(sigs), np.concatenate(owners), np.concatenate(bands)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 NONE = np.zeros((0, 2), np.int64)
 
 
-def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sigs, nodes, large) to hand on, links (node, least) of large groups, and if this is the last step pairs (a, b) of the others.
+def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool, bands: np.ndarray | None = None) -> tuple:
+    """(sigs, nodes, large) to hand on, links (node, least) of large groups, if this is the last step pairs (a, b) of the others, and the bands handed on.
 
     large: the node stands for more than FEW sets that a task has linked to it already.
     """
+    bands = np.zeros(len(sigs), np.int64) if bands is None else bands
     order = np.lexsort((nodes, sigs))
-    s, x, big = sigs[order], nodes[order], large[order]
+    s, x, big, bands = sigs[order], nodes[order], large[order], bands[order]
     if not len(s):
-        return s, x, big, NONE, NONE
+        return s, x, big, NONE, NONE, bands
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
     big = np.logical_or.reduceat(big, np.nonzero(new)[0])  # one set from several tasks
-    s, x = s[new], x[new]
+    s, x, bands = s[new], x[new], bands[new]
     cuts = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0]
     sizes = np.diff(np.append(cuts, len(s)))
     wide = (sizes > FEW) | np.logical_or.reduceat(big, cuts)
@@ -171,12 +202,12 @@ def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool)
     other = in_wide & (x != hub)
     links = distinct(np.stack([x[other], hub[other]], 1))
     if not last:
-        return s[~other], x[~other], in_wide[~other], links, NONE
+        return s[~other], x[~other], in_wide[~other], links, NONE, bands[~other]
     found = [NONE]
     for size in np.unique(sizes[~wide & (sizes > 1)]).tolist():
         at = cuts[~wide & (sizes == size)]
         found += [np.stack([x[at + i], x[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
-    return s, x, in_wide, links, distinct(np.concatenate(found))
+    return s, x, in_wide, links, distinct(np.concatenate(found)), bands
 
 
 def distinct(pairs: np.ndarray) -> np.ndarray:
@@ -230,8 +261,8 @@ def _dealt(kind: str, pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatc
     yield _rows([(int(bucket[a]), kind, pairs[a:b].tobytes(), b"", b"", b"") for a, b in zip(cuts, np.append(cuts, len(pairs))[1:], strict=True)])
 
 
-def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Sorted hashes that many documents share, at most LISTED. Tasks name what they see twice or more."""
+def census(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Sorted hashes that many documents share, at most LISTED, and for each band its sets and the hashes of their prefixes. Tasks name what they see twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -239,7 +270,12 @@ def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
         def out() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             some = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+            sizes = np.array([len(s) for s in held if len(s)], np.int64)
+            bands, at, sets = np.unique(np.searchsorted(BANDS, sizes), return_inverse=True, return_counts=True)
+            prefixes = np.bincount(at, prefix_length(sizes), len(bands)).astype(np.int64)
+            n = int(some.sum())
+            columns = (np.full(n, -1), bands, bands), (values[some].view(np.int64), np.zeros(len(bands)), np.ones(len(bands))), (counts[some], sets, prefixes)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["band", "h", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -251,8 +287,11 @@ def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    counts = scratch.table(counts, "counts")
+    counts = docs.select("text").mapInArrow(count, "band long, h long, n long")
+    # of a band, h is 0 for the number of sets and 1 for that of hashes
+    counts = scratch.table(counts.groupBy("band", "h").agg(F.sum("n").alias("n")).where((F.col("band") >= 0) | (F.col("n") >= FREQUENT)), "counts")
+    bands = counts.where("band >= 0").groupBy("band").agg(F.sum(F.col("n") * (1 - F.col("h"))).alias("sets"), F.sum(F.col("n") * F.col("h")).alias("prefixes")).collect()  # at most len(BANDS) rows
+    counts = counts.where("band < 0")
     # most frequent first, by powers of two: as far down as LISTED allows
     steps = counts.groupBy(F.floor(F.log2(F.col("n") / FREQUENT)).alias("step")).agg(F.count("*").alias("c")).orderBy(F.desc("step")).collect()  # at most 64 rows
     least, taken = None, 0
@@ -261,15 +300,16 @@ def frequent_hashes(docs: DataFrame, scratch: Scratch) -> np.ndarray:
         if taken > LISTED:
             break
         least = r.step
-    if least is None:
-        return np.zeros(0, U)
-    rows = counts.where(F.floor(F.log2(F.col("n") / FREQUENT)) >= least).select("h").toArrow()["h"].to_numpy()
-    return np.sort(rows.view(np.uint64))
+    found = np.zeros(0, U)
+    if least is not None:
+        rows = counts.where(F.floor(F.log2(F.col("n") / FREQUENT)) >= least).select("h").toArrow()["h"].to_numpy()
+        found = np.sort(rows.view(np.uint64))
+    return found, [tuple(r) for r in bands]
 
 
-def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
+def sign(docs: DataFrame, routes: Routes, frequent: np.ndarray) -> DataFrame:
     """One pass over documents(doc_id, text, text_hash), a shuffle by signature and one of what was found. Columns as in FOUND."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most LISTED hashes
+    known, parts = docs.sparkSession.sparkContext.broadcast(frequent), routes.parts  # at most LISTED hashes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -282,10 +322,10 @@ def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
                 some, held = names[a : a + 1000], list(sets.values())[a : a + 1000]
                 sizes = np.array([len(s) for s in held], np.int64)
                 yield _rows([(int(some[0]) % parts, "k", some.tobytes(), sizes.tobytes(), b"".join(map(sketch, held)), b"")])
-            sigs, owners = signatures(list(sets.values()), known.value)
-            sigs, nodes, large, links, _ = grouped(sigs, names[owners], np.zeros(len(sigs), bool), False)
+            sigs, owners, bands = signatures(list(sets.values()), known.value)
+            sigs, nodes, large, links, _, bands = grouped(sigs, names[owners], np.zeros(len(sigs), bool), False, bands)
             yield from _dealt("l", links, parts)
-            part = (mix(sigs ^ U(5)) % U(parts)).astype(np.int64)
+            part = routes.of(sigs, bands)
             order = np.lexsort((nodes, part))
             sigs, nodes, large, part = sigs[order], nodes[order], large[order], part[order]
             cuts = np.nonzero(np.diff(part, prepend=-1))[0]
@@ -338,7 +378,7 @@ def sign(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
                 large.append(np.unpackbits(np.frombuffer(big, np.uint8), count=len(sigs[-1])).astype(bool))
         if sigs:
             sigs, nodes, large = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(large)
-            *_, links, pairs = grouped(sigs, nodes, large, True)
+            *_, links, pairs, _ = grouped(sigs, nodes, large, True)
             yield from _dealt("l", links, parts)
             yield from _dealt("p", pairs, parts)
 
@@ -448,7 +488,7 @@ class BlockJoin:
             if len(found) * 50 < len(alone):
                 break
         # the rest by shared prefix hashes
-        prefix = self.sizes - -(-self.sizes * NUM // DEN) + 1
+        prefix = prefix_length(self.sizes)
         within = np.arange(len(self.rank)) - np.repeat(self.starts, self.sizes)
         some = within < np.repeat(prefix, self.sizes)
         rank, row = self.rank[some], self.row[some]
@@ -539,7 +579,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-chars // 15_000_000))  # about 1.7 million signatures each
-    signed = scratch.table(sign(docs, parts, frequent_hashes(docs, scratch)), "signed")
+    frequent, bands = census(docs, scratch)
+    signed = scratch.table(sign(docs, Routes(bands, parts), frequent), "signed")
     members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "text_hash")
     candidates = signed.where("kind = 'l'").select("a", "b").unionByName(pruned(signed, scratch))
     linked = components(candidates, scratch, "candidates")
@@ -559,6 +600,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             meant = pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) == x for s, x in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "c", "blocks")), pa.array(found, pa.binary())], names=["node", "c", "blocks", "hashes"]).filter(meant)
 
+    docs = may_occur(docs, F.col("text_hash"), held.select("_text")).where("_may")  # most texts needn't move
     texts = docs.join(held, (docs["text_hash"] == held["_text"]) & docs["doc_id"].eqNullSafe(held["_doc"]))
     texts = texts.select("text", "node", "c", "blocks").mapInArrow(sets, "node long, c long, blocks int, hashes binary").dropDuplicates(["node"])
     links = similar_sets(scratch.table(texts, "sets"), scratch)
