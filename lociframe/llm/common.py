@@ -124,6 +124,17 @@ def _bisect(col, splits: list, lo: int, hi: int):
     return F.when(col >= F.lit(splits[mid]), _bisect(col, splits, mid + 1, hi)).otherwise(_bisect(col, splits, lo, mid))
 
 
+def carried(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct `carried`, so that names of ours can't clash with them."""
+    others = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in used]
+    return docs.select(*used, F.struct(*others, F.lit(0).alias("none")).alias("carried"))
+
+
+def restored(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return df.select(*(F.col(c) if c in used else F.col("carried")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
+
+
 #: Rows of the table of may_occur, 64 bits each: some 4 MB at most, whatever the input.
 WORDS = 1 << 18
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U, Scratch, WordHashes, may_occur, mix, partitions, shingles, small_batches
+from .common import M1, M2, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches
 from .components import components
 
 WORDS, CELLS = 5, 3
@@ -571,8 +571,8 @@ def similar_sets(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(verify(dealt), "links").unionByName(near.toDF("a", "b"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """documents(doc_id, text): doc_id, n_shingles, component_id, one row for each row."""
+def classes_of(docs: DataFrame) -> DataFrame:
+    """documents(doc_id, text): doc_id, text_hash, n_shingles, class (null: no set), component_id (the class's least doc_id, or the own one), one row for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngrams")
@@ -608,8 +608,37 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = components(links, scratch, "classes")
     least = classes.join(nodes.select("node", "doc_id"), "node")
     firsts = least.groupBy("component").agg(F.min("doc_id").alias("first"))
-    of_node = nodes.join(least.join(firsts, "component").select("node", "first"), "node", "left").select("node", F.least("doc_id", "first").alias("component_id"))
-    return members.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = nodes.join(least.join(firsts, "component").select("node", "component", "first"), "node", "left")
+    of_node = of_node.select("node", F.coalesce("component", "node").alias("class"), F.least("doc_id", "first").alias("component_id"))
+    return members.join(of_node, "node", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """documents(doc_id, text): doc_id, n_shingles, component_id, one row for each row."""
+    return classes_of(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each class: that of the least doc_id, rows without one last, then of the least hash of the text.
+
+    Rows without words are in no class and all stay. Of rows equal in doc_id and text any one stays, whatever their
+    other columns. Only rows that may go are shuffled. An empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    rows = scratch.table(classes_of(docs.select("doc_id", "text")).where("class is not null"), "classes")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select("class", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"))
+    each = rows.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(first, "class")
+    each = each.withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_text"))))
+    moved = scratch.table(each.where("goes or n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"), "goes"), "moved")
+    gone = moved.where("goes")
+
+    held = carried(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    held = may_occur(held, F.xxhash64(F.col("doc_id").cast("long"), F.col("text_hash")), moved.select(F.xxhash64("gone_id", "gone_text").alias("key")))
+    doubtful = held.where("_may")
+    doubtful = doubtful.join(gone, (doubtful["text_hash"] == gone["gone_text"]) & doubtful["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    stay = held.where("not _may").unionByName(doubtful.where(~words)).unionByName(doubtful.where(words).dropDuplicates(["doc_id", "text_hash"]))
+    return restored(stay, docs, "doc_id", "text")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import M1, U, Scratch, WordHashes, mix, partitions, shingles, small_batches
+from .common import M1, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches
 
 WINDOW = 13
 #: Suffixes in a group, and suffixes whose repeats a task looks for by itself; about 40 bytes each while sorted.
@@ -314,18 +315,24 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     """docs with n_words, n_removed and kept (what is left, joined by one space) beside the text."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept")
-    keyed = docs.withColumn("__repeats_key", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
-    found = Scratch(spark, "repeats").table(repeats(keyed, "__repeats_key", text, window), "starts")
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
-    both = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["__repeats_key"] == found["_key"]), "left").select(*docs.columns, "_starts")
-    names = docs.columns
+    used = tuple(dict.fromkeys(("doc_id", text)))
+    keyed = carried(docs, *used).withColumn("text_key", F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    found = Scratch(spark, "repeats").table(repeats(keyed, "text_key", text, window), "starts")
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), "starts")
+    # only documents that may have repeats are shuffled
+    keyed = may_occur(keyed, F.xxhash64(F.col("doc_id").cast("long"), F.col("text_key")), found.select(F.xxhash64("found_id", "found_key").alias("key")))
+    some = keyed.where("_may")
+    some = some.join(found, (some["doc_id"] == found["found_id"]) & (some["text_key"] == found["found_key"]), "left").select(*used, "carried", "starts")
+    both = some.unionByName(keyed.where("not _may").select(*used, "carried", F.lit(None).cast("binary").alias("starts")))
+    schema = StructType([*both.schema.fields[:-1], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_kept(t, s, window) for t, s in zip(b.column(text).to_pylist(), b.column("_starts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=[*names, "n_words", "n_removed", "kept"])
+            rows = [_kept(t, s, window) for t, s in zip(b.column(text).to_pylist(), b.column("starts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=schema.names)
 
-    return both.mapInArrow(cut, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "n_words long, n_removed long, kept string"]))
+    new = ("n_words", "n_removed", "kept")
+    return restored(both.mapInArrow(cut, schema), docs.withColumns(dict.fromkeys(new, F.lit(0))), *used, *new)
 
 
 def _kept(text: str | None, starts: bytes | None, window: int) -> tuple[int, int, str]:

@@ -369,3 +369,25 @@ def test_components_of_many_blocks(spark, monkeypatch):
         rows.append((i, edited(base, rng.randrange(0, 3), rng)))
     got = ngramjoin.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted(near_brute(rows))
+
+
+def test_stages_carry_odd_columns_and_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    odd = ["_score", "score", "_before", "before", "_starts", "starts", "n_words", "kept", "carried", "text_hash", "_may", "row"]
+    rows = [(1, a), (2, a), (2, b), (3, None), (3, None), (None, a), (None, "c d e f g h"), (None, "c d e f g h"), (4, ""), (5, "x " + b + " y password=abcdefgh12")]
+    docs = spark.createDataFrame([(d, t, "en", len(t or ""), *(f"{c}!" for c in odd)) for d, t in rows], "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in odd))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        left[name] = out.collect()
+        assert all(r[c] == f"{c}!" for r in left[name] for c in odd), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    near = sorted(((r.doc_id, r.text) for r in left["n-gram Jaccard join"]), key=str)
+    assert near == sorted([(1, a), (2, b), (3, None), (3, None), (None, "c d e f g h"), (4, "")], key=str)
+    cut = {(r.doc_id, r.text) for r in left["substring dedup"]}
+    assert {(1, a), (2, ""), (2, b), (3, None), (None, a), (5, "x y password=abcdefgh12")} <= cut
+    assert {r.text for r in left["secret scans"] if r.doc_id == 5} == {"x " + b + " y <secret>"}
