@@ -55,11 +55,11 @@ WORDS, CELLS = 5, 3
 #: Sets that a signature pairs one by one.
 FEW = 24
 #: A hash is frequent if tasks that see it twice or more among COUNTED hashes see it FREQUENT times in all; at most LISTED are taken.
-COUNTED, FREQUENT, LISTED = 4_000_000, 48, 1_000_000
+COUNTED, FREQUENT, LISTED = 1_500_000, 48, 1_000_000
 #: Similarity as a fraction, so that sizes are compared exactly.
 NUM, DEN = 80, 100
 #: Greatest size of a band over its least, signatures that a task gathers before it deals them out, and hashes in a block.
-BAND, GATHERED, BLOCK = 1.35, 800_000, 1 << 21
+BAND, GATHERED, BLOCK = 1.35, 500_000, 1 << 21
 
 
 def _bands(upto: int = 1 << 40) -> np.ndarray:
@@ -187,7 +187,7 @@ def grouped(sigs: np.ndarray, nodes: np.ndarray, large: np.ndarray, last: bool,
 
     large: the node stands for more than FEW sets that a task has linked to it already.
     """
-    bands = np.zeros(len(sigs), np.int64) if bands is None else bands
+    bands = np.zeros(len(sigs), np.int8) if bands is None else bands
     order = np.lexsort((nodes, sigs))
     s, x, big, bands = sigs[order], nodes[order], large[order], bands[order]
     if not len(s):
@@ -578,7 +578,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(partitions(spark), -(-chars // 15_000_000))  # about 1.7 million signatures each
+    parts = max(partitions(spark), -(-chars // 6_000_000))  # about 700,000 signatures each
     frequent, bands = census(docs, scratch)
     signed = scratch.table(sign(docs, Routes(bands, parts), frequent), "signed")
     members = signed.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "text_hash")
