@@ -55,7 +55,7 @@ WORDS, CELLS = 5, 3
 #: Sets that a signature pairs one by one.
 FEW = 24
 #: A hash is frequent if tasks that see it twice or more among COUNTED hashes see it FREQUENT times in all; at most LISTED are taken.
-COUNTED, FREQUENT, LISTED = 1_500_000, 48, 1_000_000
+COUNTED, FREQUENT, LISTED = 4_000_000, 48, 1_000_000
 #: Similarity as a fraction, so that sizes are compared exactly.
 NUM, DEN = 80, 100
 #: Greatest size of a band over its least, signatures that a task gathers before it deals them out, and hashes in a block.
@@ -268,13 +268,15 @@ def census(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, list[tuple[in
         hashes, held, size = WordHashes(), [], 0
 
         def out() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts > 1
             sizes = np.array([len(s) for s in held if len(s)], np.int64)
             bands, at, sets = np.unique(np.searchsorted(BANDS, sizes), return_inverse=True, return_counts=True)
             prefixes = np.bincount(at, prefix_length(sizes), len(bands)).astype(np.int64)
-            n = int(some.sum())
-            columns = (np.full(n, -1), bands, bands), (values[some].view(np.int64), np.zeros(len(bands)), np.ones(len(bands))), (counts[some], sets, prefixes)
+            met = np.concatenate(held)
+            held.clear()
+            met.sort()  # in place
+            values, counts = np.unique(met[1:][met[1:] == met[:-1]], return_counts=True)
+            counts, n = counts + 1, len(values)
+            columns = (np.full(n, -1), bands, bands), (values.view(np.int64), np.zeros(len(bands), np.int64), np.ones(len(bands), np.int64)), (counts, sets, prefixes)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["band", "h", "n"])
 
         for b in batches:
@@ -283,7 +285,7 @@ def census(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, list[tuple[in
                 size += len(held[-1])
                 if size >= COUNTED:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield out()
 
