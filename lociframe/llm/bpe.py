@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 NONE = 1 << 40
 
@@ -255,13 +255,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     """docs with a binary column of ids (little-endian uint32). Rows stay where they are read."""
     docs = docs.drop(out)
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(encoding(path, pattern, text, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
+    return docs.mapInArrow(tidy(encoding(path, pattern, text, out)), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a binary column of the bytes that the ids stand for (null: empty)."""
     docs = docs.drop(out)
-    return docs.mapInArrow(decoding(path, pattern, ids, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
+    return docs.mapInArrow(tidy(decoding(path, pattern, ids, out)), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` binary"]))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,4 +279,4 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             ids, text = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, text), pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,24 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, in a worker that hands large arrays back to the system when they are freed, and the rest when its task ends. Workers outlive tasks, and an executor's share of memory has to hold all of them."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        steady = hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")  # of the GNU library only
+        if steady:
+            libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on have memory of their own
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if steady:
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words met before; starts anew when it holds too many."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import M1, U, WordHashes, bucket_of, id_buckets, mix, partitions, shingles, small_batches
+from .common import M1, U, WordHashes, bucket_of, id_buckets, mix, partitions, shingles, small_batches, tidy
 
 WORDS, SAMPLES = 5, 64
 #: Terms whose draws are made together, so that the arrays stay in a core's cache.
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES, ou
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(written, s.signatures(b.column(text).to_pylist())), pa.string())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` string"]))
+    return docs.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` string"]))
 
 
 def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -171,7 +171,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         if held and not done:
             yield alone(s, held, sig)
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches
+from .common import M1, M2, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches, tidy
 from .components import components
 
 WORDS, CELLS = 5, 3
@@ -289,7 +289,7 @@ def census(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, list[tuple[in
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "band long, h long, n long")
+    counts = docs.select("text").mapInArrow(tidy(count), "band long, h long, n long")
     # of a band, h is 0 for the number of sets and 1 for that of hashes
     counts = scratch.table(counts.groupBy("band", "h").agg(F.sum("n").alias("n")).where((F.col("band") >= 0) | (F.col("n") >= FREQUENT)), "counts")
     bands = counts.where("band >= 0").groupBy("band").agg(F.sum(F.col("n") * (1 - F.col("h"))).alias("sets"), F.sum(F.col("n") * F.col("h")).alias("prefixes")).collect()  # at most len(BANDS) rows
@@ -404,8 +404,8 @@ def sign(docs: DataFrame, routes: Routes, frequent: np.ndarray) -> DataFrame:
                 x, y = np.ascontiguousarray(some[a : a + 100_000].T)
                 yield _found(kind, len(x), a=x, b=y)
 
-    dealt = docs.mapInArrow(deal, PACKED).repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(meet, PACKED).repartitionById(parts, F.col("part")).mapInArrow(gather, FOUND)
+    dealt = docs.mapInArrow(tidy(deal), PACKED).repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(tidy(meet), PACKED).repartitionById(parts, F.col("part")).mapInArrow(tidy(gather), FOUND)
 
 
 def pruned(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -421,7 +421,7 @@ def pruned(found: DataFrame, scratch: Scratch) -> DataFrame:
             keep = [may_be_similar(*x) for x in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(possible), "a long, b long")
 
 
 class BlockJoin:
@@ -604,7 +604,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
     docs = may_occur(docs, F.col("text_hash"), held.select("_text")).where("_may")  # most texts needn't move
     texts = docs.join(held, (docs["text_hash"] == held["_text"]) & docs["doc_id"].eqNullSafe(held["_doc"]))
-    texts = texts.select("text", "node", "c", "blocks").mapInArrow(sets, "node long, c long, blocks int, hashes binary").dropDuplicates(["node"])
+    texts = texts.select("text", "node", "c", "blocks").mapInArrow(tidy(sets), "node long, c long, blocks int, hashes binary").dropDuplicates(["node"])
     links = similar_sets(scratch.table(texts, "sets"), scratch)
 
     classes = components(links, scratch, "classes")

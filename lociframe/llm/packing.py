@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import Scratch, partitions, small_batches
+from .common import Scratch, partitions, small_batches, tidy
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), descending
 
@@ -226,7 +226,7 @@ def pack(pieces: DataFrame, capacity: int, keys: list[str], length: str = "lengt
             sequence, offset = layout.place(b.column(length).to_numpy(zero_copy_only=False).astype(np.int64), b.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "_rank").mapInArrow(place, ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"]))
+    return ranked.select(*kept, "_rank").mapInArrow(tidy(place), ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"]))
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -248,7 +248,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, with_i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int, end_id: int = 1) -> DataFrame:

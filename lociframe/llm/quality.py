@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 PASSAGE, HASHED, HIDDEN, ATTENTION = 96, 32, 24, 12
 SAMPLE, BAG, STEPS = 5000, 48, 160
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, label double, bag binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(tidy(run), "doc_id long, label double, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     # rows of one doc_id may be many; the first is enough
     rows = [r for i, r in enumerate(rows) if not i or r.doc_id != rows[i - 1].doc_id]
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """docs with the score of each whole text."""
     docs = docs.drop(out)
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(scoring(model, text, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` double"]))
+    return docs.mapInArrow(tidy(scoring(model, text, out)), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` double"]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 # The three base patterns and the least length of what counts, as the contract has them.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRules
     """
     docs = docs.drop(out)
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(scanning(text, rules, out), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` {SPANS}"]))
+    return docs.mapInArrow(tidy(scanning(text, rules, out)), ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` {SPANS}"]))
 
 
 def scanning(text: str, rules: EntropyRules, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -196,7 +196,7 @@ def redact(docs: DataFrame, text: str = "text", rules: EntropyRules = EntropyRul
             i = b.schema.get_field_index(text)
             yield b.set_column(i, b.schema.field(i), pa.array([clean(t, scanner) for t in b.column(i).to_pylist()], b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +215,4 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),) * 2, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(),) * 4 + (pa.string(),) * 2], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(tidy(digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

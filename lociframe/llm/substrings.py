@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import M1, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches
+from .common import M1, U, Scratch, WordHashes, carried, may_occur, mix, partitions, restored, shingles, small_batches, tidy
 
 WINDOW = 13
 #: Suffixes in a group, and suffixes whose repeats a task looks for by itself; about 40 bytes each while sorted.
@@ -120,7 +120,7 @@ def heavy_prefixes(docs: DataFrame, text: str, window: int, limit: int, total: i
             if texts.rows:
                 yield counted()
 
-        found = docs.select(text).mapInArrow(count, "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("depth", "prefix").collect()
+        found = docs.select(text).mapInArrow(tidy(count), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("depth", "prefix").collect()
         for d in range(base + 1, min(base + AT_ONCE, window - 1) + 1):
             heavy.append(np.sort(np.array([r.prefix for r in found if r.depth == d], np.int64).astype(np.uint64)))
             if not len(heavy[-1]):
@@ -269,9 +269,9 @@ def repeats(docs: DataFrame, key: str = "__repeats_key", text: str = "text", win
         if parts[0]:
             yield from _starts(*map(np.concatenate, parts))
 
-    leaves = docs.select("doc_id", key, text).mapInArrow(deal, "part int, docs binary, keys binary, counts binary, positions binary, hashes binary")
-    marked = leaves.repartitionById(parts, F.col("part")).mapInArrow(subtree, "bucket int, docs binary, keys binary, counts binary, positions binary")
-    return marked.repartitionById(buckets, F.col("bucket")).mapInArrow(gather, "doc_id long, key long, starts binary")
+    leaves = docs.select("doc_id", key, text).mapInArrow(tidy(deal), "part int, docs binary, keys binary, counts binary, positions binary, hashes binary")
+    marked = leaves.repartitionById(parts, F.col("part")).mapInArrow(tidy(subtree), "bucket int, docs binary, keys binary, counts binary, positions binary")
+    return marked.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(gather), "doc_id long, key long, starts binary")
 
 
 _STARTS_IN = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
@@ -332,7 +332,7 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=schema.names)
 
     new = ("n_words", "n_removed", "kept")
-    return restored(both.mapInArrow(cut, schema), docs.withColumns(dict.fromkeys(new, F.lit(0))), *used, *new)
+    return restored(both.mapInArrow(tidy(cut), schema), docs.withColumns(dict.fromkeys(new, F.lit(0))), *used, *new)
 
 
 def _kept(text: str | None, starts: bytes | None, window: int) -> tuple[int, int, str]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import Scratch, bucket_of, id_buckets, partitions, small_batches
+from .common import Scratch, bucket_of, id_buckets, partitions, small_batches, tidy
 
 BLOCK, PERCENTILE = 16384, 95
 HEADER = struct.Struct("<IIIB")
@@ -140,8 +140,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> Non
         if out:
             yield _rows(out)
 
-    ids = docs.select(bucket_of("doc_id", splits).alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "file int, doc_id long, wide boolean, ids binary")
-    ids.repartitionById(n, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    ids = docs.select(bucket_of("doc_id", splits).alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), "file int, doc_id long, wide boolean, ids binary")
+    ids.repartitionById(n, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(tidy(blocks), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     files = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("file").agg(F.sum("count").alias("tokens"))
     # one row a file, so the window over all of them stays small
     files = files.withColumn("first_token", F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
@@ -160,7 +160,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of documents as the blocks hold them: doc_id, start (of the document), length (of the document), at (of the piece in it), ids (binary, u32)."""
 
     blocks, files = _tables(spark, folder)
-    found = blocks.mapInArrow(pieces, "file int, doc_id long, start long, length long, at long, ids binary")
+    found = blocks.mapInArrow(tidy(pieces), "file int, doc_id long, start long, length long, at long, ids binary")
     return _numbered(found, files).select("doc_id", "start", "length", "at", "ids")
 
 
@@ -255,7 +255,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     blocks, files = _tables(spark, folder)
-    parts = _numbered(blocks.mapInArrow(sums, "file int, doc_id long, start long, length long, at long, size long, crc long"), files)
+    parts = _numbered(blocks.mapInArrow(tidy(sums), "file int, doc_id long, start long, length long, at long, size long, crc long"), files)
     # a document has a part for each block that it touches
     whole = parts.groupBy("doc_id", "start", F.col("length").alias("n_tokens")).agg(F.sort_array(F.collect_list(F.struct("at", "size", "crc"))).alias("parts"))
-    return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.mapInArrow(tidy(joined), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -28,7 +28,7 @@ _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
 class WordTokenizer:
     """kept: ids of chunks met before, at most KEPT; STEP: characters whose new chunks are encoded together."""
 
-    KEPT, LONGEST, STEP = 800_000, 48, 1 << 20
+    KEPT, LONGEST, STEP = 400_000, 48, 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
