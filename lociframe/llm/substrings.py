@@ -33,7 +33,7 @@ from .common import M1, U, Scratch, WordHashes, carried, may_occur, mix, partiti
 
 WINDOW = 13
 #: Suffixes in a group, and suffixes whose repeats a task looks for by itself; about 40 bytes each while sorted.
-GROUP, OWN = 2_000_000, 600_000
+GROUP, OWN = 1_200_000, 300_000
 #: Prefix lengths that are counted in one pass over the texts.
 AT_ONCE = 4
 
