@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_folder
+
 #: Arrow batches are cut by rows and by bytes, so that very long texts don't meet in one batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -27,15 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lociframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -46,7 +38,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._delete, self.root)
 
     def _delete(self, path: str) -> None:
@@ -92,7 +84,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words met before; starts anew when it holds too many."""
 
-    LIMIT = 200_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
