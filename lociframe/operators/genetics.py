@@ -70,20 +70,21 @@ def allele_frequency(likelihoods: list[np.ndarray], steps: int = 50, enough: flo
 
 def frequency_posterior(g: np.ndarray, theta: float = 1e-3) -> np.ndarray:
     """Posterior of the number of second alleles in diploid samples, (samples, 3) likelihoods, under a prior of theta / count."""
-    z = np.ones(1)
-    for n, like in enumerate(g):
-        k = np.arange(2 * n + 3)
-        new = np.zeros(2 * n + 3)
-        new[: len(z)] += like[0] * z
-        new[1 : len(z) + 1] += 2 * like[1] * z
-        new[2 : len(z) + 2] += like[2] * z
-        z = new / new.max()
-    m = len(g) * 2
-    k = np.arange(m + 1)
-    lf = _log_factorials(m)
-    choose = np.exp(lf[m] - lf[k] - lf[m - k])
-    prior = np.concatenate([[1 - theta * (1 / np.arange(1, m + 1)).sum()], theta / np.arange(1, m + 1)])
-    p = z / choose * prior
+    with np.errstate(divide="ignore"):
+        logs = np.log(np.asarray(g, float)) + np.log([1.0, 2.0, 1.0])
+        z = np.zeros(1)  # all in logarithms: counts of many samples leave the range of doubles
+        for like in logs:
+            new = np.full((3, len(z) + 2), -np.inf)
+            for copies in range(3):
+                new[copies, copies : copies + len(z)] = z + like[copies]
+            z = np.logaddexp.reduce(new)
+            z -= z.max()
+        m = len(logs) * 2
+        k = np.arange(m + 1)
+        lf = _log_factorials(m)
+        prior = np.concatenate([[1 - theta * (1 / np.arange(1, m + 1)).sum()], theta / np.arange(1, m + 1)])
+        p = z - (lf[m] - lf[k] - lf[m - k]) + np.log(prior)
+    p = np.exp(p - p.max())
     return p / p.sum()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def components(edges: DataFrame, write, a: str = "u", b: str = "v") -> DataFrame
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     both = write(both, "edges")
     labels = write(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")), "labels-0")
-    for i in range(1, 100):
+    for i in count(1):  # ends, as labels only fall
         near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("near"))
         step = labels.join(near, "x").select("x", F.least("l", "near").alias("l"), F.col("l").alias("old"))
         above = step.select(F.col("x").alias("l"), F.col("l").alias("up"))
@@ -73,11 +75,11 @@ def components(edges: DataFrame, write, a: str = "u", b: str = "v") -> DataFrame
     return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, write, steps: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, write) -> DataFrame:
     """(seed, node) pairs: all nodes that directed edges(u, v) lead to from each seed(node). The frontier is joined with the edges until it adds nothing."""
     seen = write(seeds.select(F.col("node").alias("seed"), "node").distinct(), "seen-0")
     front = seen
-    for i in range(1, steps):
+    for i in count(1):  # ends, as a pair is new once
         new = front.join(edges.select(F.col("u").alias("node"), "v"), "node").select("seed", F.col("v").alias("node")).distinct()
         front = write(new.join(seen, ["seed", "node"], "left_anti"), f"front-{i}")
         if front.isEmpty():

@@ -40,13 +40,13 @@ def contig_runs(spark, sf_dir):
     """Runs of known letters between gaps of three or more N: the pieces that a sequence is cut into, with their place."""
     d = docs_dna(spark, sf_dir)
     gap = "N{3,}"
-    pieces = F.split("seq", gap)
-    d = d.select("doc_id", pieces.alias("p"), F.regexp_extract_all("seq", F.lit(f"({gap})"), 1).alias("g"))
-    d = d.select("doc_id", F.posexplode("p").alias("i", "piece"), "g")
-    w = Window.partitionBy("doc_id").orderBy("i")
-    length = F.length("piece") + F.coalesce(F.length(F.get("g", F.col("i"))), F.lit(0))
-    d = d.withColumn("start", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.where("piece <> ''").select("doc_id", "start", F.length("piece").alias("n"))
+    lengths = lambda texts: F.transform(texts, F.length)
+    pairs = F.arrays_zip(lengths(F.split("seq", gap)).alias("n"), lengths(F.regexp_extract_all("seq", F.lit(f"({gap})"), 1)).alias("g"))
+    # lengths only are unfolded, each with the gap behind it, so rows stay small and places are sums within a text's rows
+    d = d.select("doc_id", F.posexplode(pairs).alias("i", "x"))
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("x")["n"] + F.coalesce(F.col("x")["g"], F.lit(0))).over(w), F.lit(0))
+    return d.withColumn("start", start).where("x.n > 0").select("doc_id", "start", F.col("x")["n"].alias("n"))
 
 
 CONTIG_RUNS = f"""with {DNA_SQL}, p as (select doc_id, string_split_regex(seq, 'N{{3,}}') p, regexp_extract_all(seq, 'N{{3,}}') g from dna),
