@@ -26,9 +26,9 @@ _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
 
 
 class WordTokenizer:
-    """kept: ids of chunks met before, at most KEPT; STEP: characters whose new chunks are encoded together."""
+    """kept and before: ids of chunks met of late, at most about KEPT; STEP: characters whose new chunks are encoded together."""
 
-    KEPT, LONGEST, STEP = 400_000, 48, 1 << 20
+    KEPT, LONGEST, STEP = 600_000, 48, 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,6 +39,7 @@ class WordTokenizer:
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][-1]]}
         self.pieces_only = Tokenizer.from_str(json.dumps(plain))  # the same model, for pieces that are cut already
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _model(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, by the library's model."""
@@ -81,17 +82,17 @@ class WordTokenizer:
         out: list[bytes] = []
         for some in _by_size(texts, self.STEP):
             cut = [[] if not t else t.split() if _CONTROL.search(t) is None else [c for c in _CUT.split(t) if c] for t in some]
-            kept = self.kept
-            found = set().union(*cut)
-            missing = [c for c in found if c not in kept]  # a set less a dictionary's keys would go through all of these
+            if len(self.kept) > self.KEPT // 2:  # what isn't met again for as long goes
+                self.kept, self.before = {}, self.kept
+            kept, before = self.kept, self.before
+            missing = [c for c in set().union(*cut) if c not in kept]  # a set less a dictionary's keys would go through all of these
+            if before:
+                kept.update((c, before[c]) for c in missing if c in before)
+                missing = [c for c in missing if c not in before]
             if missing:
-                if len(kept) + len(missing) > self.KEPT:
-                    kept = {}
-                    missing = list(found)
                 met = self._meet(missing)
                 short = {c: v for c, v in met.items() if len(c) <= self.LONGEST}
                 kept.update(short)
-                self.kept = kept
                 if len(short) < len(met):
                     kept = ChainMap(met, kept)
             out += [b"".join(map(kept.__getitem__, chunks)) for chunks in cut]
