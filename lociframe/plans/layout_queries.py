@@ -49,15 +49,15 @@ p as (select qname, ln, pk, sk, tid, pos "at", pos // 50000 g from raw), near as
 select qname, ln, pk, sk, tid, "at", g, case when "at" <= e then ordinal else -1 end::int ordinal from near where exists (select 1 from b where b.tid = near.tid and b.g = near.g)"""
 
 
-def compacted_edges(spark, sf_dir, edges=G.mate_edges):
-    """Reciprocal edges whose nodes both have edges at either side."""
+def compacted_edges(spark, sf_dir, edges=G.mate_edges, least: int = 860):
+    """Reciprocal edges whose nodes are both valid: all edges of a node together have at least so much support."""
     e = G.reciprocal_edges(spark, sf_dir, edges)
-    gone = G.terminal_nodes(spark, sf_dir, edges).select("node")
-    return e.join(gone.select(F.col("node").alias("u")), "u", "left_anti").join(gone.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v", "dir", "n")
+    valid = e.groupBy("u").agg(F.sum("n").alias("support")).where(F.col("support") >= least).select("u")
+    return e.join(valid, "u", "left_semi").join(valid.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "dir", "n")
 
 
-COMPACTED_EDGES = f"""with {G.RECIPROCAL_SQL}, t as (select u node from kept group by u having count_if(dir >> 1 = 1) = 0 or count_if(dir >> 1 = 0) = 0)
-select u, v, dir, n from kept where u not in (select node from t) and v not in (select node from t)"""
+COMPACTED_EDGES = f"""with {G.RECIPROCAL_SQL}, t as (select u node from kept group by u having sum(n) >= 860)
+select u, v, dir, n from kept where u in (select node from t) and v in (select node from t)"""
 
 
 def order_faults(spark, sf_dir, edges=G.mate_edges, numbers: int = 1000):
@@ -116,13 +116,13 @@ SCAFFOLD_INFO = f"""with c as ({G.CHAIN_SPLIT}), s as (select c.*, p_size::bigin
 select chain, piece, count(*) parts, (sum(len) + 17 * (count(*) - 1))::bigint length, string_agg('(' || pk || ' ' || strand || ')', ' ' order by ord) info, md5(string_agg(repeat('A', len), repeat('N', 17) order by ord)) md5 from s group by chain, piece"""
 
 
-def unreported_parts(spark, sf_dir):
-    """Parts that are in no chain."""
+def unreported_parts(spark, sf_dir, least: int = 7):
+    """Parts that are in no chain of at least so many."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("pk"), F.col("p_size").alias("size"))
-    return parts.join(G.chain_split(spark, sf_dir).select("pk").distinct(), "pk", "left_anti")
+    return parts.join(G.chain_split(spark, sf_dir).where(F.col("size") >= least).select("pk").distinct(), "pk", "left_anti")
 
 
-UNREPORTED_PARTS = f"select p_partkey pk, p_size size from part where p_partkey not in (select pk from ({G.CHAIN_SPLIT}))"
+UNREPORTED_PARTS = f"select p_partkey pk, p_size size from part where p_partkey not in (select pk from ({G.CHAIN_SPLIT}) where size >= 7)"
 
 
 def overlap_lists(spark, sf_dir):
