@@ -1,9 +1,10 @@
 """Ids of the public word BPE, as the tokenizers library gives them, with the work per distinct piece kept.
 
-White space is dropped by this tokenizer and no piece spans it, so a text is cut at white space, and each
-chunk's ids come from a dictionary of bounded size. A chunk not met before is normalised and cut into
-pieces as the tokenizer's own normaliser and pre-tokenizer would, and the library's model encodes each.
-Chunks for which that isn't plainly the same (marks that may combine, special tokens) go to the library whole.
+White space is dropped by this tokenizer and no piece spans it. Text of ASCII and Latin-1 letters is lower-cased
+and cut into pieces as the tokenizer's own normaliser and pre-tokenizer would, and each piece's ids come from a
+dictionary of bounded size; pieces not met before are encoded by the library's model. Chunks between white space
+for which that isn't plainly the same (marks that may combine, special tokens) go to the library whole, and are
+kept like pieces.
 """
 
 from __future__ import annotations
@@ -11,22 +12,37 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
-import regex
 
 #: Characters that Rust's \\s takes as white space and those only; str.split() also cuts at \\x1c-\\x1f.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CUT, _CONTROL = re.compile(f"[{_SPACE}]+"), re.compile("[\x1c-\x1f]")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 #: Latin text whose normal form and lower case are letter by letter.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
+_PLAIN, _PLAIN_TEXT = re.compile("[\x21-\x7e\xa1-\xff]*"), re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff]*")
+#: Letters and numbers of plain text in lower case.
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_L}{_N}]+")
+
+
+class _Kept(dict):
+    """Ids of pieces met of late; asks the generation before. What neither has is listed, and gets an array to be filled."""
+
+    def __init__(self, before: dict[str, bytes]):
+        self.before, self.missed = before, []
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.before.get(piece)
+        if ids is None:
+            self.missed.append(piece)
+            ids = bytearray()
+        self[piece] = ids
+        return ids
 
 
 class WordTokenizer:
-    """kept and before: ids of chunks met of late, at most about KEPT; STEP: characters whose new chunks are encoded together."""
+    """KEPT: pieces kept, of two generations; LONGEST: characters of those; STEP: characters whose new pieces are encoded together."""
 
     KEPT, LONGEST, STEP = 400_000, 48, 1 << 20
 
@@ -38,70 +54,59 @@ class WordTokenizer:
         plain = json.loads(self.lib.to_str()) | {"normalizer": None, "added_tokens": []}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][-1]]}
         self.pieces_only = Tokenizer.from_str(json.dumps(plain))  # the same model, for pieces that are cut already
-        self.kept: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _model(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, by the library's model."""
-        out = dict.fromkeys(pieces, b"")
-        enc = self.pieces_only.encode(" ".join(pieces), add_special_tokens=False)
-        ids, words = np.array(enc.ids, "<u4"), np.array(enc.word_ids)
-        ends = np.searchsorted(words, np.arange(len(pieces)), "right").tolist()
-        data, at = ids.tobytes(), 0
-        for piece, end in zip(pieces, ends, strict=True):
-            out[piece] = data[4 * at : 4 * end]
-            at = end
-        return out
-
-    def _meet(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not met before."""
-        out: dict[str, bytes] = {}
-        plain = []
-        for c in chunks:
-            if _PLAIN.fullmatch(c) and "<|" not in c:
-                plain.append(c)
-            else:
-                out[c] = np.array(self.lib.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECES.findall("\n".join(plain).lower())
-        known = self._model(list(dict.fromkeys(p for p in pieces if p != "\n")))
-        known["\n"] = None
-        row: list[bytes] = []
-        rows = iter(plain)
-        for ids in map(known.__getitem__, pieces):
-            if ids is None:
-                out[next(rows)] = b"".join(row)
-                row = []
-            else:
-                row.append(ids)
-        for c in rows:  # the last one
-            out[c] = b"".join(row)
-        return out
+        self.kept = _Kept({})
+
+    def _meet(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pieces and odd chunks, by the library."""
+        plain = [p for p in pieces if _is_plain(p)]
+        if len(plain) < len(pieces):
+            for p in set(pieces).difference(plain):
+                yield p, np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        enc = self.pieces_only.encode(" ".join(plain), add_special_tokens=False)
+        data, words = np.array(enc.ids, "<u4").tobytes(), np.array(enc.word_ids, np.int64)
+        ends = (4 * np.searchsorted(words, np.arange(len(plain)), "right")).tolist()
+        yield from zip(plain, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of whole texts (null: none)."""
         out: list[bytes] = []
         for some in _by_size(texts, self.STEP):
-            cut = [[] if not t else t.split() if _CONTROL.search(t) is None else [c for c in _CUT.split(t) if c] for t in some]
             if len(self.kept) > self.KEPT // 2:  # what isn't met again for as long goes
-                self.kept, self.before = {}, self.kept
-            kept, before = self.kept, self.before
-            missing = [c for c in set().union(*cut) if c not in kept]  # a set less a dictionary's keys would go through all of these
-            if before:
-                kept.update((c, before[c]) for c in missing if c in before)
-                missing = [c for c in missing if c not in before]
-            if missing:
-                met = self._meet(missing)
-                short = {c: v for c, v in met.items() if len(c) <= self.LONGEST}
-                kept.update(short)
-                if len(short) < len(met):
-                    kept = ChainMap(met, kept)
-            out += [b"".join(map(kept.__getitem__, chunks)) for chunks in cut]
+                self.kept.before = {}
+                self.kept = _Kept(dict(self.kept))
+            kept = self.kept
+            rows = [[*map(kept.__getitem__, _cut(t))] for t in some]
+            for p, ids in self._meet(kept.missed):
+                kept[p] += ids
+            out += map(b"".join, rows)
+            for p in kept.missed:
+                if len(p) > self.LONGEST:
+                    del kept[p]
+                else:
+                    kept[p] = bytes(kept[p])
+            kept.missed.clear()
         return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
+def _is_plain(chunk: str) -> bool:
+    return _PLAIN.fullmatch(chunk) is not None and "<|" not in chunk
+
+
+def _cut(text: str | None) -> list[str]:
+    """Pieces of a text in lower case, and odd chunks as they are: the latter aren't plain, so the two can't be mistaken."""
+    if not text:
+        return []
+    if _PLAIN_TEXT.fullmatch(text) is not None and "<|" not in text:
+        return _PIECES.findall(text.lower())
+    out: list[str] = []
+    for c in text.split() if _CONTROL.search(text) is None else filter(None, _CUT.split(text)):
+        out += _PIECES.findall(c.lower()) if _is_plain(c) else [c]
+    return out
+
+
 def _by_size(texts: list, step: int) -> Iterator[list]:
     """Runs of texts of about `step` characters; a longer one by itself."""
     run, size = [], 0
