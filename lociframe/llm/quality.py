@@ -5,12 +5,14 @@ and by hashed word counts, and one tanh layer turns that into h. Gated attention
 w . (tanh(V h) * sigmoid(U h)), is learned from document labels alone; the document's score is the logistic
 function of c . sum(a h) + b. So one bad passage can decide, and no passage needs a label.
 
-Training takes a bounded sample: the SAMPLE labelled documents of least hash of doc_id, and of a longer one
-BAG passages at equal distances. Everything else covers whole texts. Encoding and scoring run where rows are
-read; the driver holds the sample's encoded passages and a few thousand weights.
-
-Null and empty texts are one empty passage. Null labels or doc_ids aren't learned from; labels of one doc_id
-are averaged. Without labels of both kinds, all scores are their mean (without any: 0.5). Repeated rows get
+Training takes a bounded sample of labelled documents, in order of a hash of doc_id: SAMPLE of them, or as many
+as it takes to reach PASSAGES passages. All passages of each are learned from. Everything else covers all rows.
+Encoding and scoring run where rows are read; the driver holds the sample's encoded passages, some 200 bytes
+each, and a few thousand weights.
+
+Null and empty texts are one empty passage; a very long one is as many passages as it takes. Null labels or
+doc_ids aren't learned from; labels of one doc_id are averaged, and of several texts of one the least is learned
+from. Without labels of both kinds, all scores are their mean (without any: 0.5). Repeated rows get
 equal scores. An empty table gives an empty table. Extra columns are kept by `score`.
 """
 
@@ -22,13 +24,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
 PASSAGE, HASHED, HIDDEN, ATTENTION = 96, 32, 24, 12
-SAMPLE, BAG, STEPS = 5000, 48, 160
+SAMPLE, PASSAGES, STEPS = 5000, 200_000, 160
 THRESHOLD = 0.3
 
 
@@ -132,24 +134,22 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
     """docs(doc_id, text), labels(doc_id, label). The sample's ids, at most `sample` rows, are broadcast, so no text is shuffled."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learnable()).groupBy("doc_id").agg(F.avg(label).alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                x = encode(text)
-                out.append((x if len(x) <= BAG else x[np.linspace(0, len(x) - 1, BAG).astype(int)]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
+            bags = [encode(text) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array(map(len, bags), pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "label", "n", "bag"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(tidy(run), "doc_id long, label double, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
-    # rows of one doc_id may be many; the first is enough
-    rows = [r for i, r in enumerate(rows) if not i or r.doc_id != rows[i - 1].doc_id]
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    # at most `sample` rows, so the window over all of them stays small
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
+    bags = texts.mapInArrow(tidy(run), "doc_id long, label double, n long, bag binary").withColumn("before", before).where(F.col("before") < passages)
+    rows = sorted(bags.select("doc_id", "label", "bag").collect(), key=lambda r: r.doc_id)
     return Model().fit([np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
 
 

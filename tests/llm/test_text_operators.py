@@ -391,3 +391,20 @@ def test_stages_carry_odd_columns_and_rows(spark, tmp_path):
     cut = {(r.doc_id, r.text) for r in left["substring dedup"]}
     assert {(1, a), (2, ""), (2, b), (3, None), (None, a), (5, "x y password=abcdefgh12")} <= cut
     assert {r.text for r in left["secret scans"] if r.doc_id == 5} == {"x " + b + " y <secret>"}
+
+
+def test_quality_learns_from_all_passages_of_whole_documents(spark, monkeypatch):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:6]
+    texts = {d: " ".join(f"w{d}x{i % 7}" for i in range(300 * (k + 1) * quality.PASSAGE // 10)) for k, d in enumerate(ids)}
+    rows = [*texts.items(), (ids[0], None), (ids[1], texts[ids[1]])]
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, labels: seen.append((sorted(map(len, bags)), len(labels))) or self)
+    whole = sorted(len(quality.encode(t)) for t in texts.values())
+    assert whole[0] >= 30 and whole[-1] > 100
+    quality.train(docs_of(spark, rows), labels)
+    quality.train(docs_of(spark, rows), labels, passages=1)
+    quality.train(docs_of(spark, rows), labels, passages=whole[0] + whole[1])
+    assert seen[0] == (whole, 6)
+    assert len(seen[1][0]) == 1 and seen[1][0][0] in whole
+    assert 1 <= len(seen[2][0]) <= 2 and all(n in whole for n in seen[2][0])
