@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, fingerprints, hosts, ngramjoin, packing, quality, secrets, substrings, tokenfiles
+from . import bpe, chat, embeddings, fingerprints, hosts, ngramjoin, packing, periodic, quality, secrets, substrings, tokenfiles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_near_embeddings": embeddings.op9_near_embeddings,
         "op10_url_filter": hosts.op10_url_filter,
+        "op11_chat_format": chat.op11_chat_format,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
