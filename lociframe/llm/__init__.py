@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, fingerprints, hosts, ngramjoin, packing, periodic, quality, secrets, substrings, tokenfiles
+from . import bpe, chat, embeddings, fingerprints, hosts, ngramjoin, packing, periodic, quality, secrets, spelling, substrings, tokenfiles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_embeddings": embeddings.op9_near_embeddings,
         "op10_url_filter": hosts.op10_url_filter,
         "op11_chat_format": chat.op11_chat_format,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
