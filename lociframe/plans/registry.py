@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["interval_queries", "graph_queries", "alignment_queries", "sequence_queries", "variant_queries", "pileup_queries", "calling_queries", "record_queries", "layout_queries", "misc_queries"]
+MODULES = ["interval_queries", "graph_queries", "alignment_queries", "sequence_queries", "variant_queries", "pileup_queries", "calling_queries", "record_queries", "ordering_queries", "layout_queries", "misc_queries"]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
