@@ -8,8 +8,10 @@ probability equal to their generalised Jaccard similarity, sum of least over sum
 
 Only texts meet in a task that follow each other: documents are dealt by ranges of doc_id, and the first
 of the next range comes along. Null texts count as empty. Texts without words have the one fingerprint of
-zeros, are alike to one another (1) and to no other (0). Repeated doc_ids are ordered by text. The last
-document is followed by the first, an only one by itself. Extra columns aren't used.
+zeros, are alike to one another (1) and to no other (0). Rows without doc_id come first; repeated doc_ids are
+ordered by text. The last document is followed by the first, an only one by itself. Of equal terms of least a any
+gives the same sample. Texts of any length are taken whole; an empty table gives no rows. Extra columns aren't used,
+but `fingerprints` keeps them and replaces one that is named like its result.
 """
 
 from __future__ import annotations
@@ -106,9 +108,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     n = len(splits) + 1
     docs = docs.select(bucket_of(key, splits).alias("part"), key, text)
     around = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # over one row a range
-    firsts = docs.groupBy("part").agg(F.min(key).alias("_first"))
-    firsts = firsts.select(F.coalesce(F.lag("part").over(Window.orderBy("part")), F.last("part").over(around)).alias("_to"), "_first")
-    both = docs.join(F.broadcast(firsts), docs[key] == firsts["_first"], "left")
+    firsts = docs.groupBy("part").agg(F.min(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("key"))).alias("_f"))  # null keys come first
+    firsts = firsts.select(F.coalesce(F.lag("part").over(Window.orderBy("part")), F.last("part").over(around)).alias("_to"), F.col("_f.key").alias("_first"))
+    both = docs.join(F.broadcast(firsts), docs[key].eqNullSafe(firsts["_first"]), "left")
     both = both.select(F.explode(F.when(F.col("_to").isNull(), F.array(F.struct("part", F.lit(False).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(False).alias("extra")), F.struct(F.col("_to").alias("part"), F.lit(True).alias("extra"))))).alias("_at"), key, text)
     return both.select("_at.part", "_at.extra", key, text).repartitionById(n, F.col("part")).sortWithinPartitions("part", "extra", F.col(key).asc_nulls_first(), text)
 
@@ -140,7 +142,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def alone(s: Sampler, held: list, sig: np.ndarray) -> pa.RecordBatch:
-        """A last row that no key leads on from (null keys only) is followed by itself."""
+        """A last row that nothing leads on from is followed by itself."""
         return pairs(s, held * 2, np.concatenate([sig, sig]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,17 +7,24 @@ how often each is used, is laid over the pieces by their rank within their lengt
 The search takes the largest length left, enumerates fillings of the room beside it, least waste and large
 items first, leaves out those that another dominates (their items fit into the other's items), and uses the
 best as often as the counts allow. It goes back to the next filling when the waste so far can't beat the
-incumbent. The first incumbent is best-fit decreasing. It ends at the lower bound, or after `nodes` steps
-with the best packing found; all pieces are packed in any case.
-
-Null texts count as empty: one end id. Repeated rows are packed as often as they occur. An empty table
-gives no sequences. Extra columns of pieces are kept by `pack`.
+incumbent. The first incumbent is best-fit decreasing; a quick dive, which looks at a few fillings of each room
+only, mostly reaches the lower bound. Where it doesn't, the search itself goes through all undominated fillings
+and all numbers of times that each may be used. It ends at the lower bound, when there is nothing left to try, or
+after `nodes` steps with the best packing found; all pieces are packed in any case. The result says how many
+sequences are needed at least, and whether no packing has fewer (`bound`, `proved`): short of a proof there may be
+a gap, as with several hundred sequences that only fill up without any waste.
+
+Null texts count as empty: one end id. Repeated rows are packed as often as they occur; which of equally long
+pieces goes where follows from the keys, and from nothing for rows that are the same in all of them. Texts of any
+length are cut. Rows without doc_id are packed like others. An empty table gives no sequences. Extra columns of
+pieces are kept by `pack`, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import Scratch, partitions, small_batches, tidy
+from .common import Scratch, carried, partitions, small_batches, tidy
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), descending
 
@@ -70,13 +77,21 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [(tuple(e[0]), e[1]) for entries in open_.values() for e in entries]
 
 
+#: Steps after which a filling counts as not dominated, which costs time only; fillings that a new one is held against.
+DOMINANCE, AGAINST = 500, 40
+
+
 def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the items of a can be put into the items of b as if these were bins."""
 
+    tries = DOMINANCE
+
     def place(i: int, rooms: tuple[int, ...]) -> bool:
-        return i == len(a) or any(rooms[j] >= a[i] and place(i + 1, rooms[:j] + (rooms[j] - a[i],) + rooms[j + 1 :]) for j in range(len(rooms)))
+        nonlocal tries
+        tries -= 1
+        return i == len(a) or (tries > 0 and any(rooms[j] >= a[i] and place(i + 1, rooms[:j] + (rooms[j] - a[i],) + rooms[j + 1 :]) for j in range(len(rooms))))
 
-    return sum(a) <= sum(b) and len(a) <= 6 and len(b) <= 6 and place(0, b)
+    return sum(a) <= sum(b) and place(0, b)
 
 
 def fillings(room: int, counts: np.ndarray, lengths: list[int], most: int, tries: int = 400) -> list[tuple[int, ...]]:
@@ -119,11 +134,8 @@ def fillings(room: int, counts: np.ndarray, lengths: list[int], most: int, tries
     return out or [()]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 12_000, most: int = 4) -> list[tuple[Pattern, int]]:
-    """Patterns with how often each is used, covering exactly the counts."""
-    counts = {int(k): int(n) for k, n in counts.items() if n}
-    if not counts:
-        return []
+def _dive(counts: dict[int, int], capacity: int, nodes: int, most: int = 4) -> list[tuple[Pattern, int]]:
+    """A good packing soon: `most` fillings of each room, each as often as it goes, from best-fit decreasing on."""
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(n for _, n in best), lower_bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
@@ -177,6 +189,155 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 12_000, most: int =
     return best
 
 
+class Packing(NamedTuple):
+    """Patterns with how often each is used; sequences needed at least; whether no packing has fewer than this one."""
+
+    patterns: list[tuple[Pattern, int]]
+    bound: int
+    proved: bool
+
+    @property
+    def size(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
+class _Spent(Exception):
+    """The steps are used up."""
+
+
+class _Search:
+    """All packings that may beat the incumbent: sequences with the same largest item in the order of their fillings."""
+
+    STEPS = 200  # of enumeration, for each node
+
+    def __init__(self, counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]], bound: int, nodes: int):
+        self.capacity, self.best, self.bound, self.nodes, self.steps = capacity, best, bound, nodes, nodes * self.STEPS
+        self.size, self.total = sum(n for _, n in best), sum(k * n for k, n in counts.items())
+        self.left = dict(counts)
+        self.used = self.waste = 0
+        self.chosen: list[tuple[Pattern, int]] = []
+
+    def budget(self) -> int:
+        """Waste that a better packing may still have."""
+        return (self.size - 1) * self.capacity - self.total - self.waste
+
+    def fillings(self, room: int, least: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(waste, items descending) of every full, undominated filling, by waste from `least` on, then large items first."""
+        lengths = sorted((k for k, n in self.left.items() if n and k <= room), reverse=True)
+        left = {k: self.left[k] for k in lengths}
+        reach = 1  # sums that the lengths can make at all
+        for k in lengths:
+            step = k
+            while step <= room:
+                reach |= reach << step
+                step *= 2
+        seen: list[tuple[int, ...]] = []
+
+        def exactly(want: int, at: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+            self.steps -= 1
+            if self.steps <= 0:
+                raise _Spent
+            if want == 0:
+                yield items
+                return
+            for i in range(at, len(lengths)):
+                k = lengths[i]
+                if k <= want and left[k] and reach >> (want - k) & 1:
+                    left[k] -= 1
+                    yield from exactly(want - k, i, (*items, k))
+                    left[k] += 1
+
+        waste = least
+        while waste <= min(room, self.budget()):
+            if reach >> (room - waste) & 1:
+                for items in exactly(room - waste, 0, ()):
+                    if waste and any(left[k] and k <= waste for k in lengths):
+                        continue  # not full
+                    if any(dominated(items, o) for o in seen):
+                        continue
+                    if len(seen) < AGAINST:
+                        seen.append(items)
+                    yield waste, items
+            waste += 1
+
+    def run(self) -> bool:
+        """Whether the search came to its end, so that the best packing is proved to be one of the least."""
+        stack: list[Iterator[bool]] = [self.level(None, None)]
+        try:
+            while stack and self.size > self.bound:
+                if next(stack[-1], None) is None:
+                    stack.pop()
+                elif not any(self.left.values()):
+                    if self.used < self.size:
+                        self.best, self.size = list(self.chosen), self.used
+                else:
+                    top = max(k for k, n in self.left.items() if n)
+                    last = self.last
+                    stack.append(self.level(top, last if last and last[0] == top else None))
+        except _Spent:
+            return self.size == self.bound
+        return True
+
+    def level(self, top: int | None, after: tuple | None) -> Iterator[bool]:
+        """Applies one choice after the other; between two, what hangs on the first is tried. after: the filling that the sequences with the same largest item have had."""
+        if top is None:
+            top, after = max(self.left), None
+        self.left[top] -= 1
+        choices = self.fillings(self.capacity - top, after[1] if after else 0)
+        while True:
+            found = next(choices, None)  # the largest item is out of the counts while the room beside it is filled
+            self.left[top] += 1
+            if found is None:
+                return
+            waste, items = found
+            order = (top, waste, tuple(-x for x in items))
+            if not after or order > after:
+                names, many = np.unique([top, *items], return_counts=True)
+                pattern = tuple(zip(names[::-1].tolist(), many[::-1].tolist(), strict=True))
+                times = min(self.left[k] // m for k, m in pattern)
+                if waste:
+                    times = min(times, self.budget() // waste)
+                while times > 0 and self.used + times < self.size and waste * times <= self.budget():
+                    self.nodes -= 1
+                    if self.nodes < 0:
+                        raise _Spent
+                    self._use(pattern, times, waste)
+                    self.last = order
+                    yield True
+                    self._use(pattern, -times, waste)
+                    times -= 1
+            self.left[top] -= 1
+
+    def _use(self, pattern: Pattern, times: int, waste: int) -> None:
+        for k, m in pattern:
+            self.left[k] -= m * times
+        self.used += times
+        self.waste += waste * times
+        if times > 0:
+            self.chosen.append((pattern, times))
+        else:
+            self.chosen.pop()
+
+
+def search(counts: dict[int, int], capacity: int, nodes: int = 12_000) -> Packing:
+    """The best packing found in `nodes` steps, and how good it is at least."""
+    counts = {int(k): int(n) for k, n in counts.items() if n}
+    if not counts:
+        return Packing([], 0, True)
+    bound = lower_bound(counts, capacity)
+    best = _dive(counts, capacity, nodes)
+    if sum(n for _, n in best) == bound:
+        return Packing(best, bound, True)
+    whole = _Search(counts, capacity, best, bound, nodes)
+    proved = whole.run()
+    return Packing(whole.best, bound, proved)
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 12_000) -> list[tuple[Pattern, int]]:
+    """Patterns with how often each is used, covering exactly the counts."""
+    return search(counts, capacity, nodes).patterns
+
+
 class Layout:
     """The plan as arrays by length: ranks from `first` on go to a pattern's slots for that length, sequence after sequence."""
 
@@ -204,29 +365,36 @@ class Layout:
 
 
 def pack(pieces: DataFrame, capacity: int, keys: list[str], length: str = "length", nodes: int = 12_000) -> DataFrame:
-    """pieces (lengths from 1 to capacity) with sequence_id and offset. `keys` tell pieces apart, for ranks that are the same when a task is run again.
+    """pieces (lengths from 1 to capacity) with sequence_id and offset, and how good the packing is: sequences_least, the number of sequences needed at least, and proved, whether none has fewer than this one. `keys` tell pieces apart, for ranks that are the same when a task is run again.
 
     The driver gets one count for each length. Ranks within a length are counted in slices of it, so that a frequent
     length isn't in one task, and the slices' sums, as many as lengths times slices, are carried on.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = pieces.drop("sequence_id", "offset", "sequences_least", "proved")
     hist = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count("*")).collect()}  # at most `capacity` rows
-    layout = Layout(plan(hist, capacity, nodes), capacity)
+    found = search(hist, capacity, nodes)
+    layout = Layout(found.patterns, capacity)
     slices = max(8, partitions(spark))
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)))
-    sums = sliced.groupBy(length, "_slice").agg(F.count("*").alias("_n"))
-    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(length).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
-    ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(length, "_slice").orderBy(*keys)))
-    ranked = ranked.join(sums, [length, "_slice"]).withColumn("_rank", F.col("_rank") - 1 + F.coalesce("_before", F.lit(0)))
-    kept = pieces.columns
+    own = [*dict.fromkeys([length, *keys])]
+    held = carried(pieces, *own).toDF(*(f"k{i}" for i in range(len(own))), "carried")  # no name of theirs can clash with ours
+    size, order = "k0", [f"k{own.index(k)}" for k in keys]
+    sliced = held.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    sums = sliced.groupBy(size, "_slice").agg(F.count("*").alias("_n"))
+    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(size).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
+    ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(size, "_slice").orderBy(*order)))
+    ranked = ranked.join(sums, [size, "_slice"]).withColumn("_rank", F.col("_rank") - 1 + F.coalesce("_before", F.lit(0)))
+    kept = held.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = layout.place(b.column(length).to_numpy(zero_copy_only=False).astype(np.int64), b.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64))
+            sequence, offset = layout.place(b.column(size).to_numpy(zero_copy_only=False).astype(np.int64), b.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "_rank").mapInArrow(tidy(place), ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"]))
+    placed = ranked.select(*kept, "_rank").mapInArrow(tidy(place), ", ".join([*(f"`{c}` {t}" for c, t in held.dtypes), "sequence_id long", "offset long"]))
+    own_columns = {c: F.col(f"k{i}") for i, c in enumerate(own)}
+    others = {c: F.col("carried")[f"c{i}"] for i, c in enumerate(pieces.columns) if c not in own}
+    return placed.select(*((own_columns.get(c, others.get(c))).alias(c) for c in pieces.columns), "sequence_id", "offset", F.lit(found.bound).alias("sequences_least"), F.lit(found.proved).alias("proved"))
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -268,4 +436,4 @@ def packed_documents(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     import public_tokenizers
 
     pieces = Scratch(docs.sparkSession, "packing").table(cut(docs, public_tokenizers.path("word_bpe_49k.json"), capacity), "pieces")
-    return pack(pieces, capacity, ["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity, ["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences_least", "proved")

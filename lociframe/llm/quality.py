@@ -13,7 +13,9 @@ each, and a few thousand weights.
 Null and empty texts are one empty passage; a very long one is as many passages as it takes. Null labels or
 doc_ids aren't learned from; labels of one doc_id are averaged, and of several texts of one the least is learned
 from. Without labels of both kinds, all scores are their mean (without any: 0.5). Repeated rows get
-equal scores. An empty table gives an empty table. Extra columns are kept by `score`.
+equal scores, which also settles ties: a score at the threshold counts as label 1. An empty table gives an empty
+table. Extra columns are kept by `score`, which replaces one that is named like its result. doc_ids are integers
+of any width.
 """
 
 from __future__ import annotations
@@ -92,6 +94,21 @@ class Model:
         p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"][0], -30, 30)))
         return {"h": h, "v": v, "u": u, "att": att, "bag": bag, "z": z, "p": p}
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over bags, for each weight."""
+        w, f = self.w, self.forward(x, starts)
+        h, v, u, att, bag = f["h"], f["v"], f["u"], f["att"], f["bag"]
+        out = (f["p"] - labels) / len(labels)
+        dz = out[:, None] * w["c"]
+        dh = att[:, None] * dz[bag]
+        along = (h * dz[bag]).sum(1)
+        ds = att * (along - np.add.reduceat(att * along, starts)[bag])
+        dvu = ds[:, None] * w["a"]
+        dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
+        dh += dv @ w["V"].T + du @ w["U"].T
+        dpre = dh * (1 - h * h)
+        return {"E": x.T @ dpre, "e": dpre.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": f["z"].T @ out, "b": np.array([out.sum()])}
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4) -> Model:
         if not len(labels) or labels.min() == labels.max():
             self.prior = float(labels.mean()) if len(labels) else 0.5
@@ -103,18 +120,7 @@ class Model:
         w = self.w
         m, q = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
         for i in range(1, steps + 1):
-            f = self.forward(x, starts)
-            h, v, u, att, bag = f["h"], f["v"], f["u"], f["att"], f["bag"]
-            out = (f["p"] - labels) / len(labels)
-            dz = out[:, None] * w["c"]
-            dh = att[:, None] * dz[bag]
-            along = (h * dz[bag]).sum(1)
-            ds = att * (along - np.add.reduceat(att * along, starts)[bag])
-            dvu = ds[:, None] * w["a"]
-            dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
-            dh += dv @ w["V"].T + du @ w["U"].T
-            dpre = dh * (1 - h * h)
-            grads = {"E": x.T @ dpre, "e": dpre.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": f["z"].T @ out, "b": np.array([out.sum()])}
+            grads = self.gradients(x, starts, labels)
             for k, g in grads.items():  # Adam
                 g = g + decay * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -136,7 +142,7 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
     """docs(doc_id, text), labels(doc_id, label). The sample's ids, at most `sample` rows, are broadcast, so no text is shuffled."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learnable()).groupBy("doc_id").agg(F.avg(label).alias("_label"))
+    known = labels.withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learnable()).groupBy("doc_id").agg(F.avg(label).alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array(map(len, bags), pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "label", "n", "bag"])
 
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     # at most `sample` rows, so the window over all of them stays small
     before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
     bags = texts.mapInArrow(tidy(run), "doc_id long, label double, n long, bag binary").withColumn("before", before).where(F.col("before") < passages)

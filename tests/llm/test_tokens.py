@@ -110,6 +110,64 @@ def test_plan_beats_best_fit():
     assert sum(n for _, n in packing.plan(counts, 10)) == 4
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_search_equals_brute_force(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 20, 40, 60])
+    items = sorted((rng.randint(1, capacity) if seed % 2 else rng.randint(capacity // 5, capacity * 3 // 5) for _ in range(rng.randint(1, 12))), reverse=True)
+    least = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= least[0]:
+            return
+        if i == len(items):
+            least[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[i]:
+                go(i + 1, sorted(_replaced(rooms, room, room - items[i])))
+        go(i + 1, sorted([*rooms, capacity - items[i]]))
+
+    go(0, [])
+    counts = Counter(items)
+    found = packing.search(counts, capacity)
+    assert found.proved and found.size == least[0] >= found.bound
+    alone = [(((k, 1),), n) for k, n in counts.items()]
+    whole = packing._Search(dict(counts), capacity, alone, found.bound, 100_000)  # without a good start
+    assert whole.run() and whole.size == least[0]
+
+
+def _replaced(rooms, old, new):
+    at = rooms.index(old)
+    return [*rooms[:at], new, *rooms[at + 1 :]]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_full_sequences_are_found_or_the_gap_is_told(seed):
+    rng = random.Random(seed)
+    capacity, n = ((1000, 60), (4096, 300))[seed % 2]
+    counts = Counter()
+    for _ in range(n):
+        a, b = sorted(rng.sample(range(1, capacity), 2))
+        counts.update([a, b - a, capacity - b])
+    found = packing.search(counts, capacity)
+    assert found.bound == n and (found.size == n) == found.proved and found.size <= n + 1
+    cover = Counter()
+    for p, times in found.patterns:
+        assert sum(k * m for k, m in p) <= capacity
+        cover.update({k: m * times for k, m in p})
+    assert cover == counts
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = [(i, 3 + i % 5, "s", i * 2, "r") for i in range(40)] + [(None, 4, "s", 1, None), (None, 4, "s", 1, None)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, _slice string, _rank long, k0 string")
+    got = packing.pack(pieces, 10, ["doc_id"])
+    assert got.columns == [*pieces.columns, "sequence_id", "offset", "sequences_least", "proved"]
+    assert sorted(map(tuple, got.select(*pieces.columns).collect()), key=str) == sorted(rows, key=str)
+    assert {r.proved for r in got.collect()} == {True} and got.select("sequence_id").distinct().count() == got.first().sequences_least
+
+
 def test_dominance():
     assert packing.dominated((3, 2), (5,)) and packing.dominated((3,), (4, 1)) and not packing.dominated((4, 4), (5, 3))
 
