@@ -68,8 +68,18 @@ def allele_frequency(likelihoods: list[np.ndarray], steps: int = 50, enough: flo
     return np.array(out)
 
 
-def frequency_posterior(g: np.ndarray, theta: float = 1e-3) -> np.ndarray:
-    """Posterior of the number of second alleles in diploid samples, (samples, 3) likelihoods, under a prior of theta / count."""
+def prior_of_counts(m: int, kind: str = "full", theta: float = 1e-3) -> np.ndarray:
+    """Chances of 0 to m second alleles before anything is seen: `full`: theta / count, and none with what is left; `cond2`: falling evenly, as for a site found in two other chromosomes; `flat`: all alike."""
+    k = np.arange(m + 1)
+    if kind == "flat":
+        return np.full(m + 1, 1 / (m + 1))
+    if kind == "cond2":
+        return 2 * (m - k + 1) / ((m + 1) * (m + 2))
+    return np.concatenate([[1 - theta * (1 / k[1:]).sum()], theta / k[1:]])
+
+
+def frequency_posterior(g: np.ndarray, theta: float = 1e-3, kind: str = "full") -> np.ndarray:
+    """Posterior of the number of second alleles in diploid samples, (samples, 3) likelihoods, under a prior of prior_of_counts."""
     with np.errstate(divide="ignore"):
         logs = np.log(np.asarray(g, float)) + np.log([1.0, 2.0, 1.0])
         z = np.zeros(1)  # all in logarithms: counts of many samples leave the range of doubles
@@ -82,12 +92,51 @@ def frequency_posterior(g: np.ndarray, theta: float = 1e-3) -> np.ndarray:
         m = len(logs) * 2
         k = np.arange(m + 1)
         lf = _log_factorials(m)
-        prior = np.concatenate([[1 - theta * (1 / np.arange(1, m + 1)).sum()], theta / np.arange(1, m + 1)])
-        p = z - (lf[m] - lf[k] - lf[m - k]) + np.log(prior)
+        p = z - (lf[m] - lf[k] - lf[m - k]) + np.log(prior_of_counts(m, kind, theta))
     p = np.exp(p - p.max())
     return p / p.sum()
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, terms: int = 300) -> np.ndarray:
+    """Regularised incomplete beta function of arrays, by its continued fraction on the side where that converges fast."""
+    a, b, x = np.broadcast_arrays(np.asarray(a, float), b, x)
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(z), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
+    f = d.copy()
+    for n in range(1, terms):
+        for step in (n * (q - n) * z / ((p + 2 * n - 1) * (p + 2 * n)), -(p + n) * (p + q + n) * z / ((p + 2 * n) * (p + 2 * n + 1))):
+            d = 1 + step * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + step / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            f = f * d * c
+        if np.abs(d * c - 1).max(initial=0) < 1e-15:
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    part = np.where(z > 0, front * f, 0.0)
+    return np.where(turned, 1 - part, part)
+
+
+def lower_mean(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, q1: np.ndarray, s2: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    """One-sided t-test, variances taken as equal, of the second mean being lower: counts, sums and sums of squares of two groups. 1 where one is empty, both hold less than three, or the second isn't lower."""
+    n1, n2, s1, q1, s2, q2 = (np.asarray(x, float) for x in (n1, n2, s1, q1, s2, q2))
+    some = (n1 > 0) & (n2 > 0) & (n1 + n2 >= 3)
+    m1, m2, v = s1 / np.where(some, n1, 1), s2 / np.where(some, n2, 1), np.where(some, n1 + n2 - 2, 1)
+    spread = np.maximum(q1 - n1 * m1 * m1, 0) + np.maximum(q2 - n2 * m2 * m2, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (m1 - m2) / np.sqrt(spread / v * (1 / np.where(some, n1, 1) + 1 / np.where(some, n2, 1)))
+    t = np.where(np.isfinite(t), t, 1e150)
+    p = 0.5 * incomplete_beta(v / 2, 0.5, v / (v + t * t))
+    return np.where(some & (m1 > m2), p, 1.0)
+
+
 def pair_frequencies(a: np.ndarray, b: np.ndarray, steps: int = 50, enough: float = 1e-5) -> tuple[np.ndarray, float]:
     """Frequencies of the four haplotypes of two sites, and their correlation r (-1: none), from (samples, 3) likelihoods of each."""
     fa, fb = allele_frequency([a])[0], allele_frequency([b])[0]
@@ -134,3 +183,8 @@ def posterior(likelihoods: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def linkage(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([pair_frequencies(np.asarray(x, float).reshape(-1, 3), np.asarray(y, float).reshape(-1, 3))[1] for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def falls(n1: pd.Series, n2: pd.Series, s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.Series:
+    return pd.Series(lower_mean(*(x.to_numpy(float) for x in (n1, n2, s1, q1, s2, q2))))

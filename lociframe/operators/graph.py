@@ -41,6 +41,114 @@ def mate_graph(reads: DataFrame, exons: DataFrame, limit: DataFrame) -> DataFram
     return r.groupBy("u", "v", "dir").agg(F.count("*").alias("n"), F.sum(F.when(F.col("nh") <= 1, 1).otherwise(0)).alias("uniq"), F.sum("nm").alias("nm_sum"), F.min("pos").alias("left_pos"), F.max("mpos").alias("right_pos"), F.countDistinct("pos").alias("coords"))
 
 
+def repeat_classes(reads: DataFrame, exons: DataFrame, least: int, write) -> DataFrame:
+    """(node, root): classes of gene blocks that at least `least` reads place in both: reads(tid, pos, ctid, cpos) have a second place, exons as in mate_graph."""
+    node = F.col("tid") * NUMBERS + F.col("gid")
+    ends = lambda x, tid: exons.select(F.col("tid").alias(tid), node.alias(x), F.col("start").alias(f"_{x}s"), F.col("end").alias(f"_{x}e"))
+    r = point_join(reads.select("tid", "pos", "ctid", "cpos"), "pos", ends("u", "tid"), "_us", "_ue", "tid")
+    r = point_join(r, "cpos", ends("v", "ctid"), "_vs", "_ve", "ctid").where("u <> v")
+    return components(r.groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= least), write)
+
+
+def clipped_graph(reads: DataFrame, exons: DataFrame, limit: DataFrame, shortest: int) -> DataFrame:
+    """Edges (u, v, dir, n) that other hits of clipped reads tell of.
+
+    reads(rid, tid, pos, rev, first, mtid, mpos, mrev, supplementary, hits): first is the length of the first segment,
+    hits an array of (tid, pos, rev, len) in order. Reads whose first segment is longer than `shortest` count, if they
+    lie in an exon and their mate does. Where the mate lies on another sequence than the read, the read's own place
+    counts. Else the first hit of at least `shortest` letters takes its place: one of another block than the read's, if
+    the mate lies in that one (supplementary reads don't count then), or one on another sequence than the mate; it has
+    to lie in an exon, and the read and its mate change their roles. exons and limit are as in mate_graph.
+    """
+    length = F.coalesce("right_splice", "end") - F.coalesce("left_splice", "start") + 1
+    w = Window.partitionBy("tid", "gid").orderBy("start")
+    side = lambda *rows: F.coalesce(F.sum(length).over(w.rowsBetween(*rows)), F.lit(0))
+    e = exons.withColumns({"_after": side(1, Window.unboundedFollowing), "_before": side(Window.unboundedPreceding, -1), "_node": F.col("tid") * NUMBERS + F.col("gid")})
+    ends = lambda x, tid: e.select(F.col("tid").alias(tid), F.col("_node").alias(x), F.col("start").alias(f"_{x}s"), F.col("end").alias(f"_{x}e"), F.col("_after").alias(f"{x}_after"), F.col("_before").alias(f"{x}_before"))
+    r = point_join(reads.where(F.col("first") > shortest), "pos", ends("u", "tid"), "_us", "_ue", "tid").drop("_us", "_ue")
+    r = point_join(r, "mpos", ends("v", "mtid"), "_vs", "_ve", "mtid").drop("_vs", "_ve")
+    far = F.col("tid") != F.col("mtid")
+    beyond = lambda x, rev: F.when(F.col(rev) == 1, F.col(f"{x}_before")).otherwise(F.col(f"{x}_after"))
+    own = r.where(far).select("u", "v", (2 * F.col("rev") + F.col("mrev")).alias("dir"), (beyond("u", "rev") + beyond("v", "mrev")).alias("room"))
+    hit = r.where(~far & ~((F.col("u") == F.col("v")) & F.col("supplementary"))).select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", F.posexplode("hits").alias("_nth", "_h"))
+    hit = hit.select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", "_nth", F.col("_h.tid").alias("htid"), F.col("_h.pos").alias("hpos"), F.col("_h.rev").alias("hrev"), F.col("_h.len").alias("hlen")).where(F.col("hlen") >= shortest)
+    hit = point_join(hit, "hpos", ends("h", "htid"), "_hs", "_he", "htid").where(F.when(F.col("u") == F.col("v"), F.col("h") != F.col("u")).otherwise(F.col("htid") != F.col("mtid")))
+    first = hit.withColumn("_r", F.row_number().over(Window.partitionBy("rid").orderBy("_nth"))).where("_r = 1")
+    moved = first.select(F.col("v").alias("u"), F.col("h").alias("v"), (2 * F.col("hrev") + F.col("mrev")).bitwiseXOR(F.lit(3)).alias("dir"), (beyond("h", "hrev") + beyond("v", "mrev")).alias("room"))
+    both = own.unionByName(moved).where("u <> v").crossJoin(F.broadcast(limit.select("residual"))).where(F.coalesce(F.col("room") <= F.col("residual"), F.lit(True)))
+    return both.groupBy("u", "v", F.col("dir").cast("int").alias("dir")).agg(F.count("*").alias("n"))
+
+
+def family_edges(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges(u, v, ...) whose ends lie in one class of repeats."""
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+    return edges.join(of("u"), "u").join(of("v"), "v").where("_u = _v").select(*edges.columns)
+
+
+def misassembled(paths: DataFrame, contigs: DataFrame, write) -> DataFrame:
+    """(contig, u, v): contigs that a way leaves from one block, u, and comes back to at another, v, along path edges(u, v) between blocks and from block to block within other contigs (contigs: node, contig).
+
+    Such a way exists just where two edges of a ring of contigs meet a contig at different blocks: two edges lie on one
+    ring if they are in one biconnected part of the graph of contigs. Components are found by joins; the parts of a
+    component, as large as its paths, in one task. u and v are the least pair.
+    """
+    import pandas as pd
+
+    of = lambda x: contigs.select(F.col("node").alias(x), F.col("contig").alias(f"c{x}"))
+    edges = write(paths.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("cu <> cv"), "between-contigs")
+    labels = components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), write)
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf[["u", "v", "cu", "cv"]].drop_duplicates().itertuples(index=False, name=None))
+        near: dict = {}
+        for i, (_, _, a, b) in enumerate(rows):
+            near.setdefault(a, []).append((b, i))
+            near.setdefault(b, []).append((a, i))
+        found: dict = {}
+        depth: dict = {}
+        low: dict = {}
+        open_edges: list[int] = []
+        seen: set[int] = set()
+        for root in sorted(near):
+            if root in depth:
+                continue
+            depth[root] = low[root] = 0
+            stack = [(root, iter(near[root]), 0)]  # with the number of edges that were open when the contig was entered
+            while stack:
+                at, rest, opened = stack[-1]
+                for b, i in rest:
+                    if i in seen:
+                        continue
+                    seen.add(i)
+                    open_edges.append(i)
+                    if b in depth:
+                        low[at] = min(low[at], depth[b])
+                        continue
+                    depth[b] = low[b] = depth[at] + 1
+                    stack.append((b, iter(near[b]), len(open_edges) - 1))
+                    break
+                else:
+                    stack.pop()
+                    if not stack:
+                        continue
+                    above = stack[-1][0]
+                    low[above] = min(low[above], low[at])
+                    if low[at] >= depth[above]:  # the edges since the one that led here are a part
+                        part: dict = {}
+                        for i in open_edges[opened:]:
+                            for block, contig in ((rows[i][0], rows[i][2]), (rows[i][1], rows[i][3])):
+                                part.setdefault(contig, set()).add(block)
+                        del open_edges[opened:]
+                        for contig, blocks in part.items():
+                            if len(blocks) > 1:
+                                pair = tuple(sorted(blocks)[:2])
+                                found[contig] = min(found.get(contig, pair), pair)
+        return pd.DataFrame([(c, *p) for c, p in sorted(found.items())], columns=["contig", "u", "v"], dtype="int64")
+
+    rooted = edges.join(labels.select(F.col("node").alias("cu"), "root"), "cu")
+    return rooted.groupBy("root").applyInPandas(parts, "contig long, u long, v long")
+
+
 def best_orientation(edges: DataFrame, length: int) -> DataFrame:
     """edges(u, v, dir, n): u, v, best dir or -1 if the second is too near, and both counts. Ties go to the lower dir."""
     w = Window.partitionBy("u", "v").orderBy(F.desc("n"), "dir")

@@ -30,6 +30,21 @@ def _runs(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> Dat
     return df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _before(df: DataFrame, key: str, total: Column, bucket: str = "_b") -> DataFrame:
+    """(_key, _bucket, _before): sum of `total` over the buckets of a key before each, from one row a bucket."""
+    w = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(key, bucket).agg(total.alias("_n"))
+    return sums.select(F.col(key).alias("_key"), F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+
+
+def ranked(df: DataFrame, key: str, pos: str, order: list, name: str, width: int = 1 << 16) -> DataFrame:
+    """Rank of each row along its key (null: a key too), from 1, by `order`, which begins with pos. Rows are put in order within buckets of positions only; how many lie in the buckets before is added."""
+    d = df.withColumn("_b", F.floor(F.col(pos) / width))
+    place = d.withColumn(name, F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)))
+    both = place.join(_before(d, key, F.count("*")), F.col(key).eqNullSafe(F.col("_key")) & F.col("_b").eqNullSafe(F.col("_bucket")))
+    return both.withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_key", "_bucket", "_before")
+
+
 def number(df: DataFrame, key: str, start: str, name: str) -> DataFrame:
     """Rank of an interval along its key, from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(start)).cast("long"))
@@ -74,11 +89,13 @@ def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0) + 1, F.lit(0))
 
 
-def coverage_changes(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Depth as a step function: (key, pos, depth) where it changes. Events are summed by position before they are put in order."""
+def coverage_changes(df: DataFrame, key: str, start: str, end: str, width: int = 1 << 16) -> DataFrame:
+    """Depth as a step function: (key, pos, depth) where it changes. Events are summed by position, put in order within buckets of positions, and what the buckets before come to is added."""
     events = df.select(key, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     summed = events.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    return summed.select(key, "pos", F.sum("d").over(Window.partitionBy(key).orderBy("pos")).alias("depth"))
+    b = summed.withColumn("_b", F.floor(F.col("pos") / width))
+    own = b.withColumn("_own", F.sum("d").over(Window.partitionBy(key, "_b").orderBy("pos")))
+    return own.join(_before(b, key, F.sum("d")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket"))).select(key, "pos", (F.col("_own") + F.col("_before")).alias("depth"))
 
 
 def ucsc_bin(beg: Column, end: Column) -> Column:

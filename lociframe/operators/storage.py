@@ -21,10 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def writer(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """write(df, name): writes df as Parquet and reads it again, which cuts its lineage and outlives any executor. The tables go when the driver's Python ends."""
-    root = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex[:12]}"
-
+def _removed_at_exit(spark: SparkSession, root: str) -> None:
     def remove() -> None:
         try:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -34,6 +31,21 @@ def writer(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
 
     atexit.register(remove)
 
+
+def kept(df: DataFrame, name: str) -> str:
+    """Writes df as the Parquet table `name` of a folder of its own in the shared one, and returns that folder. It goes when the driver's Python ends."""
+    root = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex[:12]}"
+    _removed_at_exit(df.sparkSession, root)
+    df.write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+def writer(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """write(df, name): writes df as Parquet and reads it again, which cuts its lineage and outlives any executor. The tables go when the driver's Python ends."""
+    root = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex[:12]}"
+
+    _removed_at_exit(spark, root)
+
     def write(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import support as S
+from ..operators import intervals as I
 from . import reads as R
 
 KEY = ["qname", "ln", "pk", "sk", "pos"]
@@ -146,8 +147,8 @@ select r tid, r * 1000 + 500 length, coalesce(mapped, 0) mapped, coalesce(unmapp
 def sort_coord(spark, sf_dir):
     """By sequence (unmapped last), place and strand; each read with its rank within its sequence."""
     r = R.raw(spark, sf_dir).withColumn("ref", F.when(S.has_all(F.col("flag"), 4), None).otherwise(F.col("tid")))
-    w = Window.partitionBy("ref").orderBy("pos", "rev", "qname", *R.TIES)
-    return r.select("ref", F.row_number().over(w).alias("place"), *KEY).orderBy(F.col("ref").asc_nulls_last(), "place")
+    r = I.ranked(r, "ref", "pos", ["pos", "rev", "qname", *R.TIES], "place")
+    return r.select("ref", F.col("place").cast("int").alias("place"), *KEY).orderBy(F.col("ref").asc_nulls_last(), "place")
 
 
 SORT_COORD = f"""with {R.RAW_SQL}, r as (select *, case when (flag & 4) <> 0 then null else tid end ref from raw)
@@ -169,8 +170,7 @@ def merge_sorted(spark, sf_dir):
     """Two sorted inputs as one; the source breaks ties."""
     r = R.raw(spark, sf_dir)
     two = r.where("rev = 0").withColumn("src", F.lit(0)).unionByName(r.where("rev = 1").withColumn("src", F.lit(1)))
-    w = Window.partitionBy("tid").orderBy("pos", "src", "qname", *R.TIES)
-    return two.select("tid", "src", F.row_number().over(w).alias("place"), *KEY)
+    return I.ranked(two, "tid", "pos", ["pos", "src", "qname", *R.TIES], "place").select("tid", "src", F.col("place").cast("int").alias("place"), *KEY)
 
 
 MERGE_SORTED = f"with {R.RAW_SQL} select tid, rev src, row_number() over (partition by tid order by pos, rev, qname, {', '.join(R.TIES)})::int place, qname, ln, pk, sk, pos from raw"

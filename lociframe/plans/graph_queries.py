@@ -7,14 +7,14 @@ queries whose names begin with gene_ are the whole operator: nodes are gene bloc
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import support as S
 from ..operators import graph as G
-from ..operators.storage import writer
+from ..operators.storage import kept, writer
 from . import interval_queries as Q
 from . import reads as R
 
@@ -162,17 +162,18 @@ def island_components(spark, sf_dir):
     return G.components(e, writer(spark)).select((F.col("node") / 10_000_000).cast("long").alias("tid"), F.col("node"), F.col("root"))
 
 
-def component_validity(spark, sf_dir):
+def component_validity(spark, sf_dir, labels=None):
     """Classes of islands with at least one good island and a fifth of them good."""
-    labels = island_components(spark, sf_dir)
+    labels = island_components(spark, sf_dir) if labels is None else labels
     q = Q.support_quality(spark, sf_dir).select((F.col("tid") * 10_000_000 + F.col("bid")).alias("node"), F.col("good").cast("int").alias("g"))
     return q.join(labels.select("node", "root"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("n"), F.sum("g").alias("good")).withColumn("valid", (F.col("good") >= 1) & (F.col("good") >= 0.2 * F.col("n")))
 
 
 def block_exons(spark, sf_dir):
     """Valid islands with the number of their gene block."""
-    labels = island_components(spark, sf_dir).select("node", "root")
-    valid = component_validity(spark, sf_dir).where("valid").select("root")
+    labels = writer(spark)(island_components(spark, sf_dir).select("tid", "node", "root"), "labels")
+    valid = component_validity(spark, sf_dir, labels).where("valid").select("root")
+    labels = labels.drop("tid")
     b = Q.exon_blocks(spark, sf_dir).withColumn("node", F.col("tid") * 10_000_000 + F.col("bid"))
     b = b.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).join(valid, "root", "left_semi")
     w = Window.partitionBy("tid").orderBy("bid")
@@ -185,18 +186,99 @@ def gene_blocks(spark, sf_dir):
     return b.groupBy("tid", "gid", "root").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("islands"), F.sum("n").alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("effective"))
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(make):
+    """make(spark, sf_dir), whose result lies in tables of the shared folder, is made once for an application and folder; all queries that begin with gene_ read these tables."""
+
+    @wraps(make)
+    def get(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = make(spark, sf_dir)
+        return _KEPT[key]
+
+    return get
+
+
+#: Loci that the rows of an order lie at, and how many of them a sequence has.
+LOCI, SEQUENCES = 60, 5
+
+
+@_once
+def genes(spark, sf_dir) -> str:
+    """Folder of a lineitem table whose reads lie at LOCI loci: those of an order at two that follow each other in a ring, the odd lines at the second, on the reverse strand; a tenth of the rows lies up to three loci further. So many pairs join the same two loci, from either side."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    odd = F.col("l_linenumber") % 2
+    further = F.when(F.col("l_partkey") % 10 == 0, 1 + F.expr("l_partkey div 10") % 3).otherwise(0)
+    locus = (F.col("l_orderkey") * 7 + odd + further) % LOCI
+    changed = {"l_suppkey": locus % SEQUENCES + 10 * (F.col("l_suppkey") % 100), "l_partkey": F.floor(locus / SEQUENCES) * 60 + F.col("l_partkey") % 3, "l_linestatus": F.when(odd == 1, "F").otherwise("O"), "l_linenumber": 4 * F.col("l_linenumber") + 1}  # such lines have few differences and aren't spliced
+    kinds = dict(li.dtypes)
+    return kept(li.select(*(changed[c].cast(kinds[c]).alias(c) if c in changed else F.col(c) for c in li.columns)), "lineitem")
+
+
+@_once
+def gene_exons(spark, sf_dir):
+    """Valid islands of `genes` with the number of their gene block."""
+    return writer(spark)(block_exons(spark, genes(spark, sf_dir)).select("tid", "gid", "start", "end", "left_splice", "right_splice", "plus", "minus"), "exons")
+
+
+@_once
 def gene_mate_edges(spark, sf_dir):
-    """Edges between gene blocks by the strands of each read and its mate, whose residuals come to at most a fragment and two deviations over all pairs inside islands."""
+    """Edges between gene blocks of `genes` by the strands of each read and its mate, whose residuals come to at most a fragment and two deviations over all pairs inside islands."""
+    return edges_of_blocks(spark, genes(spark, sf_dir), gene_exons(spark, sf_dir))
+
+
+def edges_of_blocks(spark, sf_dir, exons=None):
     write = writer(spark)
-    exons = write(block_exons(spark, sf_dir).select("tid", "gid", "start", "end", "left_splice", "right_splice"), "exons")
+    exons = write(block_exons(spark, sf_dir).select("tid", "gid", "start", "end", "left_splice", "right_splice"), "exons") if exons is None else exons
     s = Q.inner_pairs(spark, sf_dir).agg(F.floor(F.avg("f")).alias("f"), F.avg(F.col("f") * F.col("f")).alias("sq"))
     limit = s.select((F.col("f") + 2 * F.floor(F.sqrt(F.greatest(F.col("sq") - F.col("f") * F.col("f"), F.lit(0.0))))).alias("residual"))
     return write(G.mate_graph(R.reads(spark, sf_dir).where(R.admitted() & F.col("mtid").isNotNull()), exons, limit), "mates")
 
 
+def _locus_place(row: int, locus):
+    """Where the reads of a locus of `genes` lie, some letters into them."""
+    return F.floor(locus % LOCI / SEQUENCES) * 3000 + row
+
+
+def gene_repeat_classes(spark, sf_dir):
+    """Classes of gene blocks that many reads with several hits place in both: the second hit lies seven loci on."""
+    folder = genes(spark, sf_dir)
+    locus = F.floor(F.col("pos") / 3000) * SEQUENCES + F.col("tid") + 7
+    r = R.reads(spark, folder).where(R.admitted() & (F.col("nh") > 1)).select("tid", "pos", (locus % LOCI % SEQUENCES).alias("ctid"), (_locus_place(40, locus)).alias("cpos"))
+    return G.repeat_classes(r, gene_exons(spark, sf_dir), 3, writer(spark))
+
+
+def gene_clipped_edges(spark, sf_dir):
+    """Edges between gene blocks from other hits of clipped reads: every third read has one three loci on, and one too short before it."""
+    folder = genes(spark, sf_dir)
+    locus = F.floor(F.col("pos") / 3000) * SEQUENCES + F.col("tid") + 3
+    hit = lambda row, length: F.struct((locus % LOCI % SEQUENCES).alias("tid"), _locus_place(row, locus).alias("pos"), (1 - F.col("rev")).alias("rev"), F.lit(length).alias("len"))
+    s = R.spans(spark, folder).where(R.admitted() & F.col("mtid").isNotNull())
+    r = s.select(F.struct("qname", "ord").alias("rid"), "tid", "pos", "rev", F.when(F.col("gap") > 0, F.col("half") + 1).otherwise(F.col("end_pos") - F.col("pos") + 1).alias("first"), "mtid", "mpos", "mrev",
+                 (F.col("qname") % 13 == 0).alias("supplementary"), F.when(F.col("qname") % 3 == 0, F.array(hit(30, 20), hit(40, 36))).otherwise(F.array().cast("array<struct<tid: bigint, pos: bigint, rev: int, len: int>>")).alias("hits"))
+    return G.clipped_graph(r, gene_exons(spark, sf_dir), spark.range(1).select(F.lit(None).cast("long").alias("residual")), 34)
+
+
+def gene_family_edges(spark, sf_dir):
+    """Edges between gene blocks of one class of repeats."""
+    return G.family_edges(gene_clipped_edges(spark, sf_dir), gene_repeat_classes(spark, sf_dir))
+
+
+def gene_misassembled(spark, sf_dir):
+    """Sequences that paths of gene blocks leave and come back to at another block."""
+    write = writer(spark)
+    w = Window.partitionBy("root", "path").orderBy("place")
+    p = write(greedy_paths(spark, sf_dir, gene_mate_edges).select(F.col("node").alias("u"), F.lead("node").over(w).alias("v")), "path-edges")
+    nodes = p.select(F.col("u").alias("node")).distinct()
+    return G.misassembled(p.where("v is not null"), nodes.select("node", F.floor(F.col("node") / G.NUMBERS).alias("contig")), write)
+
+
 def _gene_votes(spark, sf_dir):
     node = F.col("tid") * G.NUMBERS + F.col("gid")
-    return block_exons(spark, sf_dir).groupBy(node.alias("node")).agg(F.sum("plus").alias("p"), F.sum("minus").alias("q"))
+    return gene_exons(spark, sf_dir).groupBy(node.alias("node")).agg(F.sum("plus").alias("p"), F.sum("minus").alias("q"))
 
 
 def _ends(spark, sf_dir, edges=mate_edges) -> tuple[DataFrame, DataFrame]:
@@ -301,6 +383,7 @@ QUERIES = {
 #: What is built on mate edges, over gene blocks.
 QUERIES |= {f"gene_{q.__name__}": (partial(q, edges=gene_mate_edges), None) for q in (edge_orientation, reciprocal_edges, one_way_edges, single_coordinate_edges, ambiguous_sides, bubble_triangles, terminal_nodes, greedy_paths, scaffold_order, path_layers, end_assignment)}
 QUERIES |= {
+    "gene_repeat_classes": (gene_repeat_classes, None), "gene_clipped_edges": (gene_clipped_edges, None), "gene_family_edges": (gene_family_edges, None), "gene_misassembled": (gene_misassembled, None),
     "gene_mate_edges": (gene_mate_edges, None), "gene_strand_consistency": (partial(strand_consistency, edges=gene_mate_edges, votes=_gene_votes), None),
     "gene_reachability": (partial(reachability, edges=gene_mate_edges, numbers=G.NUMBERS), None),
 }

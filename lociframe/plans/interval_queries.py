@@ -88,8 +88,8 @@ def segment_containment(spark, sf_dir):
     return I.point_join(segs, "a", blocks, "start", "end", "tid").where("b <= end").select("qname", "ord", "i", "tid", "bid")
 
 
-SEGMENT_CONTAINMENT = f"""with {BLOCKS_SQL}
-select s.qname, s.ord::int ord, s.i, s.tid, k.bid from segs s join blocks k on s.tid = k.tid and s.a between k.start and k.end and s.b <= k.end"""
+SEGMENT_CONTAINMENT = f"""with {BLOCKS_SQL}, listed as (select tid, bid, "start", "end", unnest(range("start" // 4096, "end" // 4096 + 1)) q from blocks)
+select s.qname, s.ord::int ord, s.i, s.tid, k.bid from segs s join listed k on s.tid = k.tid and s.a // 4096 = k.q and s.a between k.start and k.end and s.b <= k.end"""
 
 
 def splice_edges(spark, sf_dir):

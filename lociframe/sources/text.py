@@ -42,6 +42,23 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part(0).alias("chrom"), (part(1).cast("long") - 1).alias("pos"), given(part(2)).alias("id"), part(3).alias("ref"), F.split(part(4), ",").alias("alt"), F.expr("try_cast(get(f, 5) as double)").alias("qual"), given(part(6)).alias("filter"), F.map_from_entries(info).alias("info"), F.split(F.coalesce(part(8), F.lit("")), ":").alias("format"), F.slice("f", 10, 100_000).alias("samples"))
 
 
+def to_vcf(variants: DataFrame) -> DataFrame:
+    """Lines (value) of variants as read_vcf gives them: INFO by key, a quality in as few digits as it takes, '.' for what isn't there."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    listed = lambda c, sep: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, sep))
+    info = F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
+    qual = F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit("."))
+    samples = F.when(F.coalesce(F.size("samples"), F.lit(0)) > 0, F.concat(F.array(F.array_join("format", ":")), F.col("samples"))).otherwise(F.array().cast("array<string>"))
+    fields = F.array(F.col("chrom"), (F.col("pos") + 1).cast("string"), dot("id"), F.col("ref"), F.coalesce(listed("alt", ","), F.lit(".")), qual, dot("filter"), F.coalesce(listed(info, ";"), F.lit(".")))
+    return variants.select(F.array_join(F.concat(fields, samples), "\t").alias("value"))
+
+
+def vcf_header(lengths: dict[str, int], samples: list[str]) -> list[str]:
+    """First lines of a file of these sequences and samples."""
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
+    return ["##fileformat=VCFv4.1", *(f"##contig=<ID={n},length={k}>" for n, k in lengths.items()), "\t".join(columns)]
+
+
 def genotypes(variants: DataFrame) -> DataFrame:
     """One row for each sample of a site: its values by format key."""
     v = variants.select("chrom", "pos", "format", F.posexplode("samples").alias("sample", "value"))

@@ -90,3 +90,11 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     whole = {(r.user_id, r.start, r.n) for r in sessions(e).collect()}
     closed = {(r.user_id, r.start, r.n) for r in spark.table("closed_sessions").collect()}
     assert closed and closed <= whole
+
+
+def test_vcf_round_trip(spark, tmp_path):
+    lines = ["c\t5\t.\tA\tC,G\t30.5\tPASS\tDB;DP=7\tGT:PL\t0/1:1,2,3\t./.", "c\t9\trs1\tT\t.\t999\t.\t.", "d\t1\t.\tG\tA\t.\tq10;s50\tAC=2"]
+    head = text.vcf_header({"c": 100, "d": 50}, ["s1", "s2"])
+    assert head[0].startswith("##fileformat") and head[-1].endswith("FORMAT\ts1\ts2") and "##contig=<ID=d,length=50>" in head
+    (tmp_path / "b.vcf").write_text("\n".join([*head, *lines]) + "\n")
+    assert sorted(r.value for r in text.to_vcf(text.read_vcf(spark, str(tmp_path / "b.vcf"))).collect()) == sorted(lines)
