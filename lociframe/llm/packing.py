@@ -78,7 +78,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
 
 
 #: Steps after which a filling counts as not dominated, which costs time only; fillings that a new one is held against.
-DOMINANCE, AGAINST = 500, 40
+DOMINANCE, AGAINST = 100, 20
 
 
 def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -127,7 +127,7 @@ def fillings(room: int, counts: np.ndarray, lengths: list[int], most: int, tries
     found.sort(key=lambda f: (f[0], tuple(-x for x in f[1])))
     out: list[tuple[int, ...]] = []
     for _, items in found:
-        if items not in out and not any(dominated(items, o) for o in out):
+        if items not in out and not any(len(items) <= 6 and len(o) <= 6 and dominated(items, o) for o in out):  # a dive only asks where it costs little
             out.append(items)
             if len(out) >= most:
                 break
@@ -208,7 +208,7 @@ class _Spent(Exception):
 class _Search:
     """All packings that may beat the incumbent: sequences with the same largest item in the order of their fillings."""
 
-    STEPS = 200  # of enumeration, for each node
+    STEPS = 600  # lengths looked at, for each node
 
     def __init__(self, counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]], bound: int, nodes: int):
         self.capacity, self.best, self.bound, self.nodes, self.steps = capacity, best, bound, nodes, nodes * self.STEPS
@@ -221,22 +221,26 @@ class _Search:
         """Waste that a better packing may still have."""
         return (self.size - 1) * self.capacity - self.total - self.waste
 
+    def _spend(self, steps: int) -> None:
+        self.steps -= steps
+        if self.steps <= 0:
+            raise _Spent
+
     def fillings(self, room: int, least: int) -> Iterator[tuple[int, tuple[int, ...]]]:
         """(waste, items descending) of every full, undominated filling, by waste from `least` on, then large items first."""
         lengths = sorted((k for k, n in self.left.items() if n and k <= room), reverse=True)
+        self._spend(10 * len(self.left))  # what follows looks at each length several times
         left = {k: self.left[k] for k in lengths}
-        reach = 1  # sums that the lengths can make at all
+        reach, sums = 1, (1 << room + 1) - 1  # sums that the lengths can make at all
         for k in lengths:
             step = k
             while step <= room:
-                reach |= reach << step
+                reach |= reach << step & sums
                 step *= 2
         seen: list[tuple[int, ...]] = []
 
         def exactly(want: int, at: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-            self.steps -= 1
-            if self.steps <= 0:
-                raise _Spent
+            self._spend(len(lengths) - at + 1)
             if want == 0:
                 yield items
                 return
@@ -251,9 +255,10 @@ class _Search:
         while waste <= min(room, self.budget()):
             if reach >> (room - waste) & 1:
                 for items in exactly(room - waste, 0, ()):
+                    self._spend(len(lengths) + DOMINANCE * len(seen))
                     if waste and any(left[k] and k <= waste for k in lengths):
                         continue  # not full
-                    if any(dominated(items, o) for o in seen):
+                    if len(items) <= 8 and any(len(o) <= 8 and dominated(items, o) for o in seen):  # of longer ones it isn't asked, which costs time only
                         continue
                     if len(seen) < AGAINST:
                         seen.append(items)
