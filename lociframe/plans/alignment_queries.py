@@ -378,8 +378,18 @@ def placement_errors(spark, sf_dir):
 PLACEMENT_ERRORS = f"""with {R.RAW_SQL}, s as (select mapq // 10 q, count(*) n, sum(case when pk % 13 = sk % 13 then 1 else 0 end) bad from raw group by all)
 select q::bigint q, sum(n) over (order by q desc rows unbounded preceding)::bigint n, sum(bad) over (order by q desc rows unbounded preceding)::bigint bad from s"""
 
+def read_strand(spark, sf_dir):
+    """Strand that the tag of each admitted spliced read tells, 0 without a tag or of one segment; a third of the reads has no tag."""
+    xs = F.when(F.col("qname") % 3 == 1, "-").when(F.col("qname") % 3 == 2, "+")
+    s = R.spans(spark, sf_dir).where(R.admitted())
+    return s.select(*KEY, S.strand(F.when(F.col("gap") > 0, 2).otherwise(1), xs).alias("strand"))
+
+
+READ_STRAND = f"""with {R.SEGS_SQL}
+select qname, ln, pk, sk, pos, case when gap = 0 or qname % 3 = 0 then 0 when qname % 3 = 1 then -1 else 1 end strand from spans where {R.ADMITTED}"""
+
 QUERIES = {
-    "alignment_admission": (alignment_admission, ALIGNMENT_ADMISSION), "mate_in_intron": (mate_in_intron, MATE_IN_INTRON), "low_complexity": (low_complexity, LOW_COMPLEXITY), "view_filter": (view_filter, VIEW_FILTER),
+    "alignment_admission": (alignment_admission, ALIGNMENT_ADMISSION), "read_strand": (read_strand, READ_STRAND), "mate_in_intron": (mate_in_intron, MATE_IN_INTRON), "low_complexity": (low_complexity, LOW_COMPLEXITY), "view_filter": (view_filter, VIEW_FILTER),
     "hash_subsample": (hash_subsample, HASH_SUBSAMPLE), "pileup_read_filter": (pileup_read_filter, PILEUP_READ_FILTER), "region_parse": (region_parse, REGION_PARSE), "flag_letters": (flag_letters, FLAG_LETTERS),
     "strand_weights": (strand_weights, STRAND_WEIGHTS), "flagstat": (flagstat, FLAGSTAT), "idxstats": (idxstats, IDXSTATS), "sort_coord": (sort_coord, SORT_COORD), "sort_name": (sort_name, SORT_NAME),
     "merge_sorted": (merge_sorted, MERGE_SORTED), "depth": (depth, DEPTH), "depth_histogram": (depth_histogram, DEPTH_HISTOGRAM), "fixmate": (fixmate, FIXMATE), "fixmate_all": (fixmate_all, None), "rmdup_pe": (rmdup_pe, RMDUP_PE), "rmdup_se": (rmdup_se, RMDUP_SE),

@@ -183,3 +183,24 @@ def test_gene_queries_of_repeats(spark):
     clipped = GQ.gene_clipped_edges(spark, SF).collect()
     assert clipped and all(r.u != r.v and 0 <= r.dir <= 3 for r in clipped)
     assert GQ.gene_repeat_classes(spark, SF).count() > 10
+
+
+def test_classes_of_islands_and_their_validity(spark):
+    """By plain union of the edges, and by counting."""
+    pairs = [((r.tid, r.u), (r.tid, r.v)) for r in Q.splice_edges(spark, SF).unionByName(Q.mate_edges_within(spark, SF)).collect()]
+    good = {(r.tid, r.bid): r.good for r in Q.support_quality(spark, SF).select("tid", "bid", "good").collect()}
+    label = {x: x for x in good}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    classes = {}
+    for x in good:
+        classes.setdefault(root(x), []).append(good[x])
+    want = {t * 10_000_000 + b: (len(g), sum(g), sum(g) >= 1 and sum(g) >= 0.2 * len(g)) for (t, b), g in classes.items()}
+    assert {r.root: (r.n, r.good, r.valid) for r in GQ.component_validity(spark, SF).collect()} == want and len(want) < len(good)
