@@ -240,3 +240,13 @@ def test_fingerprint_query(spark):
         assert r.fingerprint == fingerprints.written(own[i])
         assert r.near_next == fingerprints.likeness(own[i], own[(i + 1) % len(docs)])
     assert np.mean([r.near_edited for r in got]) > 0.2 > np.mean([r.near_next for r in got])
+
+
+def test_the_last_document_is_followed_by_one_without_id(spark):
+    rows = [(None, "first text of all " * 4), (1, "another one " * 5), (2, "the last text " * 3)]
+    got = {r.doc_id: r for r in fingerprints.compare_with_edits(table(spark, rows)).collect()}
+    texts = [t for _, t in rows]
+    for (doc, t), after in zip(rows, texts[1:] + texts[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[doc].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert fingerprints.compare_with_edits(table(spark, [])).collect() == []
