@@ -257,6 +257,6 @@ def _letters(rows: list[tuple], name: pa.DataType) -> pa.RecordBatch:
 def indel_records(letters: DataFrame) -> DataFrame:
     """Records of gap_letters' rows, one a place: kinds of gaps by the qualities of their reads, after the one without; shares; samples with likelihoods."""
     texts = letters.groupBy("tid", "place").agg(F.first("kinds").alias("kinds"))
-    s = K.sites(K.with_likelihoods(K.site_samples(letters, least=0)), unseen=False)
+    s = K.sites(K.site_samples(letters, least=0), unseen=False)
     named = F.transform("alleles", lambda i: F.get(F.split("kinds", ","), i))
     return s.where("size(alleles) > 1").join(texts, ["tid", "place"]).select("tid", "place", F.array_join(F.slice(named, 2, 4), ",").alias("alts"), "qs", "samples", "depth")
