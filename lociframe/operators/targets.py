@@ -28,7 +28,7 @@ LOW = -(1 << 60)
 def consensus(letters: DataFrame) -> DataFrame:
     """(tid, place, letter, quality, kind) of letters(tid, place, base, rev, q, mapq): the letter that explains a site best, by how much (at most 63), and its kind: 2 clear, 1 doubtful. Sites without letters of enough quality are left out."""
     known = letters.where(K.code(F.col("base")) < 4)
-    one = K.site_samples(known.select("tid", "place", F.lit("N").alias("ref"), F.lit(0).alias("sample"), "base", "rev", "q", F.least("mapq", F.lit(K.HIGH)).alias("mapq"), F.lit(0).alias("tail")), capped=K.HIGH)
+    one = K.site_samples(known.select(*(c for c in ("tid", "bucket", "place") if c in known.columns), F.lit("N").alias("ref"), F.lit(0).alias("sample"), "base", "rev", "q", F.least("mapq", F.lit(K.HIGH)).alias("mapq"), F.lit(0).alias("tail")), capped=K.HIGH)
     p = K.with_likelihoods(one.select("tid", "place", "cells"))
     ranked = F.sort_array(F.array(*(F.struct(F.floor(F.get("p", F.lit(6 * i)) + 0.499).alias("v"), F.lit(i).alias("i")) for i in range(4))))
     best = F.get("r", F.lit(0))

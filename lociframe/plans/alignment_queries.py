@@ -178,8 +178,9 @@ MERGE_SORTED = f"with {R.RAW_SQL} select tid, rev src, row_number() over (partit
 
 def depth(spark, sf_dir):
     """Depth by strand at each covered place; segments only, not gaps."""
-    s = R.segs(spark, sf_dir).where(S.has_none(F.col("flag"), 0x704)).select("tid", "rev", F.explode(F.sequence("a", "b")).alias("pos"))
-    return s.groupBy("tid", "pos").agg(F.count_if(F.col("rev") == 0).alias("forward"), F.count_if(F.col("rev") == 1).alias("reverse"))
+    s = R.segs(spark, sf_dir).where(S.has_none(F.col("flag"), 0x704)).select("tid", "rev", "a", "b")
+    p = I.places(s, "tid", "a", "b", R.tasks(spark, sf_dir)).withColumnRenamed("place", "pos")
+    return p.groupBy("tid", "bucket", "pos").agg(F.count_if(F.col("rev") == 0).alias("forward"), F.count_if(F.col("rev") == 1).alias("reverse")).drop("bucket")
 
 
 DEPTH = f"""with {R.SEGS_SQL}, p as (select tid, rev, unnest(range(a, b + 1)) pos from segs where (flag & 1796) = 0)
