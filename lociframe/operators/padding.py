@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
+from . import realign
 
 PADS = "*-"
+WIDTH = 1024
 
 
 def gap_map(pieces: DataFrame, stride: int) -> DataFrame:
@@ -31,8 +33,25 @@ def _at(mapped: DataFrame, prefix: str) -> DataFrame:
     return mapped.select(*(F.col(c).alias(f"{prefix}{c}") for c in ("name", "piece", "seq", "letters", "last")))
 
 
+def _finer(mapped: DataFrame, stride: int, width: int) -> DataFrame:
+    """gap_map's rows cut to pieces of `width` places, which reach as far as theirs: to the end of the reference, if theirs do."""
+    end = F.col("piece") * stride + F.length("seq")
+    whole = mapped.withColumn("_end", F.max(end).over(Window.partitionBy("name")))
+    parts = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride // width - 1))).alias("_i")).withColumn("_at", F.col("_i") * width)
+    before = F.expr("substring(seq, 1, _at)")
+    stripped = F.length(F.regexp_replace(before, "[*-]+$", ""))
+    size = F.when(end >= F.col("_end"), F.length("seq")).otherwise(F.length("seq") - stride + width)
+    return parts.select(
+        "name", (F.col("piece") * (stride // width) + F.col("_i")).alias("piece"), F.substr("seq", F.col("_at") + 1, size).alias("seq"),
+        (F.col("letters") + F.length(F.translate(before, PADS, ""))).alias("letters"), F.when(stripped > 0, F.col("piece") * stride + stripped - 1).otherwise(F.col("last")).alias("last"),
+    )
+
+
 def _joined(df: DataFrame, mapped: DataFrame, name: str, pos: str, stride: int, prefix: str) -> DataFrame:
-    return df.join(_at(mapped, prefix), (F.col(name) == F.col(f"{prefix}name")) & (F.expr(f"`{pos}` div {stride}") == F.col(f"{prefix}piece")), "left")
+    at = realign.piece_or_none(F.when(F.col(name).isNotNull(), F.expr(f"`{pos}` div {stride}")), "qname", "pos", "cigar")
+    # joined by a name that is never null: rows without one would all meet in one task
+    rows = df.withColumns({f"{prefix}j": at, f"{prefix}k": F.coalesce(name, F.lit(""))})
+    return rows.join(_at(mapped, prefix).hint("merge"), (F.col(f"{prefix}k") == F.col(f"{prefix}name")) & (F.col(f"{prefix}j") == F.col(f"{prefix}piece")), "left").drop(f"{prefix}j", f"{prefix}k")
 
 
 def _head(pos: str, stride: int, prefix: str) -> Column:
@@ -92,6 +111,8 @@ def without_pads(records: DataFrame, pieces: DataFrame, stride: int) -> DataFram
     a sequence is cleared. pieces(name, piece, seq) have to reach as far beyond the next piece's start as a read is long.
     """
     mapped = gap_map(pieces, stride)
+    if stride % WIDTH == 0 and stride > WIDTH:  # what comes before a record within its piece is looked through for each
+        mapped, stride = _finer(mapped, stride, WIDTH), WIDTH
     ops = C.ops(F.col("cigar"))
     kinds, names = dict(records.dtypes), records.columns
     r = _joined(_joined(records, mapped, "rname", "pos", stride, "_o_"), mapped, "rnext", "pnext", stride, "_m_")

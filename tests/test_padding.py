@@ -80,3 +80,36 @@ def test_odd_records(spark):
     got = {r.qname: (r.pos, r.cigar, r.rnext, r.pnext) for r in padding.without_pads(spark.createDataFrame(rows, KIND), realign.pieces_of(seqs, 4, 100), 4).collect()}
     assert got == {"r": (0, "4M", None, None), "a": (2, "2I", None, None), "b": (None, None, "r", 3), "c": (None, None, None, None), "d": (2, None, None, None), "e": (2, "1P1I2M", "r", 2)}
     assert padding.without_pads(spark.createDataFrame([], KIND), realign.pieces_of(seqs, 4, 100), 4).collect() == []
+
+
+def test_no_reference_in_the_driver_and_no_crowd_without_mates(spark):
+    """A few rows unfold to all pieces, so Spark takes them for small; rows without a mate's place don't meet in one task."""
+    from pyspark.sql import functions as F
+
+    from lociframe.plans import record_queries as Q
+
+    df = Q.unpadded_records(spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    crowd = spark.range(1000).select(padding.realign.piece_or_none(F.lit(None).cast("long"), "id").alias("j"))
+    assert crowd.distinct().count() > 900 and crowd.where("j >= 0").count() == 0
+
+
+def test_finer_pieces_say_the_same(spark):
+    import random
+
+    random.seed(3)
+    stride, reach = 4 * padding.WIDTH, 300
+    rows = []
+    for name, n in (("long", 3 * stride + 40), ("edge", stride + 5), ("short", 700)):
+        seq = "".join(random.choice("ACGT*-") for _ in range(n))
+        rows += [(name, j, seq[j * stride : (j + 1) * stride + reach]) for j in range(-(-n // stride))]
+    pieces = spark.createDataFrame(rows, "name string, piece long, seq string")
+    coarse = padding.gap_map(pieces, stride)
+    whole = {n: "".join(s[:stride] for m, _, s in rows if m == n) for n in ("long", "edge", "short")}
+    for r in padding._finer(coarse, stride, padding.WIDTH).collect():
+        text, at = whole[r.name], r.piece * padding.WIDTH
+        head = text[:at]
+        assert r.letters == sum(c not in "*-" for c in head)
+        assert r["last"] == max((i for i, c in enumerate(head) if c not in "*-"), default=-1)
+        assert text[at:].startswith(r.seq) and len(r.seq) >= min(padding.WIDTH + reach, len(text) - at)
