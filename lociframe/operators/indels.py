@@ -3,14 +3,15 @@
 Places with gaps come from the CIGARs. A place meets the reads over it in a join on (sequence, bucket of positions) and
 its stretch of the reference in another; places deeper than `deepest` reads a sample are left out, as the feature has
 it, so what comes together for a place is bounded. There each read is scored against each kind of gap by the forward
-rows of the profile model, all reads of like size at once. What follows is as for letters: a read shows the kind of
+rows of the profile model, all reads of like size of many places at once. What follows is as for letters: a read shows the kind of
 gap that suits it best, with a quality, and kinds take the place of letters in likelihoods and records.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ AROUND, OPENED, EXTENDED, TANDEM, SHARE, READS, DEEPEST, KINDS, AGREE, STRICT, W
 LOOSE, TIGHT = (1e-4, 1e-2), (1e-6, 1e-3)
 #: Letters beyond the place on either side that homopolymers are followed for.
 FAR, BUCKET = 500, 4096
+#: Reads whose places are scored in one go, and alignments that go through the model together, at most.
+TOGETHER, JOBS = 4096, 4096
 
 Ops = list[tuple[str, int]]
 
@@ -125,7 +128,7 @@ def _scores(jobs: list[tuple[str, str, np.ndarray, int]], gaps: tuple[float, flo
     for i, (window, query, _, band) in enumerate(jobs):
         if window and query:
             groups[len(window), len(query), band].append(i)
-    for (places, n, band), some in groups.items():
+    for (places, n, band), some in ((size, of_size[a : a + JOBS]) for size, of_size in groups.items() for a in range(0, len(of_size), JOBS)):
         letters = lambda k: realign.codes("".join(jobs[i][k] for i in some)).reshape(len(some), -1)  # noqa: E731, B023
         wrong = 10.0 ** (-np.stack([jobs[i][2] for i in some]) / 10)
         for i, s in zip(some, realign.scores(letters(0), letters(1), wrong, band, *gaps).tolist(), strict=True):
@@ -135,6 +138,32 @@ def _scores(jobs: list[tuple[str, str, np.ndarray, int]], gaps: tuple[float, flo
 
 def site_calls(place: int, ref: str, lo: int, reads: list[dict]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
     """Kinds of gaps at a place, the one without first, then by the qualities of their reads, at most four, each with the letters it puts in; and for each read the kind's number (4: another), the gap's and the sequence's quality. Nothing if no read has a gap of a kind."""
+    return scored_together([_site_steps(place, ref, lo, reads)])[0]
+
+
+def scored_together(sites: list[Generator]) -> list:
+    """What sites' steps return. Each of their rounds of scores is made for all sites at once, as many reads of like size go through the model in one go."""
+    done: list = [None] * len(sites)
+    answers: list = [None] * len(sites)
+    left = list(range(len(sites)))
+    while left:
+        asked = []
+        for i in left:
+            try:
+                asked.append((i, sites[i].send(answers[i])))
+            except StopIteration as e:
+                done[i] = e.value
+        for gaps in (LOOSE, TIGHT):
+            some = [(i, jobs) for i, (jobs, g) in asked if g == gaps]
+            scores = iter(_scores([j for _, jobs in some for j in jobs], gaps))
+            for i, jobs in some:
+                answers[i] = list(itertools.islice(scores, len(jobs)))
+        left = [i for i, _ in asked]
+    return done
+
+
+def _site_steps(place: int, ref: str, lo: int, reads: list[dict]) -> Generator:
+    """site_calls in steps: yields alignments to score with their gaps' chances, is sent the scores."""
     at = place - lo
     shown = [gap_at(r["pos"], r["ops"], place) for r in reads]
     longest = max(len(r["seq"]) for r in reads)
@@ -162,10 +191,10 @@ def site_calls(place: int, ref: str, lo: int, reads: list[dict]) -> tuple[list[t
             start = max(ta + min(kind, 0), left) if kind < 0 else ta
             loose.append((text[start - left : tb - left + abs(kind)], r["seq"][a:b], quals, abs(kind) + 3))
         spans.append(max(1, b - a))
-    first = _scores(loose, LOOSE)
+    first = yield loose, LOOSE
     doubtful = [i for i, s in enumerate(first) if s > STRICT]
     second = list(first)
-    for i, s in zip(doubtful, _scores([loose[i] for i in doubtful], TIGHT), strict=True):
+    for i, s in zip(doubtful, (yield [loose[i] for i in doubtful], TIGHT), strict=True):
         second[i] = s
     none, calls, sums = kinds.index(0), [], Counter()
     for i, n in enumerate(spans):
@@ -207,45 +236,52 @@ def gap_letters(records: DataFrame, pieces: DataFrame, stride: int, deepest: int
     piled = spread.alias("r").join(places.alias("p"), over).groupBy("p.rname", "p.place").agg(F.count("*").alias("n"), F.countDistinct("r.sample").alias("samples"))
     sites = piled.where(F.col("n") <= deepest * F.col("samples")).select("rname", "place", F.greatest(F.col("place") - far, F.lit(0)).alias("lo"))
     at = pieces.select(F.col("name").alias("rname"), F.col("piece"), F.col("seq").alias("text"))
-    sites = sites.withColumn("piece", F.expr(f"lo div {stride}")).join(at, ["rname", "piece"]).select("rname", "place", "lo", F.upper(F.expr(f"substring(text, cast(lo - piece * {stride} + 1 as int), {2 * far + 1})")).alias("ref"))
+    sites = sites.withColumn("piece", F.expr(f"lo div {stride}")).join(at.hint("merge"), ["rname", "piece"]).select("rname", "place", "lo", F.upper(F.expr(f"substring(text, cast(lo - piece * {stride} + 1 as int), {2 * far + 1})")).alias("ref"))
     both = pairs.join(sites, ["rname", "place"])
     key = ["rname", "place"]
-    sorted_ = both.select(*key, "lo", "ref", "pos", "rev", "mapq", "cigar", "seq", "qual", F.col("sample").cast("string").alias("sample")).repartition(*key).sortWithinPartitions(*key, "sample", "pos", "seq", "cigar", "qual")
+    sorted_ = both.select(*key, "lo", "ref", "pos", "rev", "mapq", "cigar", "seq", "qual", F.col("sample").cast("string").alias("sample")).repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "sample", "pos", "seq", "cigar", "qual")
     columns = ["rname", "place", "lo", "ref", "pos", "rev", "mapq", "cigar", "seq", "qual", "sample"]
     kind = dict(records.dtypes)["rname"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        whole: list[list[tuple]] = []  # places that are complete
+        rows_in = 0
         for b in batches:
-            out: list[tuple] = []
+            last = b.schema.field("rname").type
             for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if held and held[0][:2] != row[:2]:
-                    out += _called(held)
+                    whole.append(held)
+                    rows_in += len(held)
                     held = []
+                    if rows_in >= TOGETHER:
+                        yield _letters(_called(whole), last)
+                        whole, rows_in = [], 0
                 held.append(row)
-            yield _letters(out, b.schema.field("rname").type)
-            last = b.schema.field("rname").type
         if held:
-            yield _letters(_called(held), last)
+            yield _letters(_called([*whole, held]), last)
 
     return sorted_.mapInArrow(run, f"tid {kind}, place long, ref string, sample string, base string, rev int, q int, mapq int, tail int, kinds string")
 
 
-def _called(rows: list[tuple]) -> list[tuple]:
-    name, place, lo, ref = rows[0][:4]
-    reads = [{"pos": r[4], "ops": parsed(r[7]), "seq": r[8], "quals": np.frombuffer(r[9].encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33, "sample": r[10]} for r in rows]
-    with_gap = sum(gap_at(r["pos"], r["ops"], place)[0] != 0 for r in reads)
-    if with_gap < READS or with_gap / len(reads) < SHARE:
-        return []
-    kinds, calls = site_calls(place, ref, lo, reads)
-    if not any(0 < c[0] < 4 for c in calls):
-        return []
-    text = ",".join(f"{n:+d}{letters}" if n else "0" for n, letters in kinds)
+def _called(places: list[list[tuple]]) -> list[tuple]:
+    used = []
+    for rows in places:
+        _, place, lo, ref = rows[0][:4]
+        reads = [{"pos": r[4], "ops": parsed(r[7]), "seq": r[8], "quals": np.frombuffer(r[9].encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33, "sample": r[10]} for r in rows]
+        with_gap = sum(gap_at(r["pos"], r["ops"], place)[0] != 0 for r in reads)
+        if with_gap >= READS and with_gap / len(reads) >= SHARE:
+            used.append((rows, reads))
     out = []
-    for row, r, (number, quality, own) in zip(rows, reads, calls, strict=True):
-        if quality >= K.LEAST and number < 4:
-            y = query_place(r["pos"], r["ops"], place, True)[0]
-            out.append((name, place, "A", row[10], K.LETTERS[number], int(row[5] != 0), min(quality, own), row[6], min(y, len(r["seq"]) - 1 - y), text))
+    for (rows, reads), (kinds, calls) in zip(used, scored_together([_site_steps(rows[0][1], rows[0][3], rows[0][2], reads) for rows, reads in used]), strict=True):
+        if not any(0 < c[0] < 4 for c in calls):
+            continue
+        name, place = rows[0][:2]
+        text = ",".join(f"{n:+d}{letters}" if n else "0" for n, letters in kinds)
+        for row, r, (number, quality, own) in zip(rows, reads, calls, strict=True):
+            if quality >= K.LEAST and number < 4:
+                y = query_place(r["pos"], r["ops"], place, True)[0]
+                out.append((name, place, "A", row[10], K.LETTERS[number], int(row[5] != 0), min(quality, own), row[6], min(y, len(r["seq"]) - 1 - y), text))
     return out
 
 

@@ -90,3 +90,18 @@ def test_odd_reads(spark):
     assert got[0].samples[0].pl[1] == 0
     assert indels.indel_records(indels.gap_letters(df, pieces, 64, deepest=3)).collect() == []
     assert indels.indel_records(indels.gap_letters(df.limit(0), pieces, 64)).collect() == []
+
+
+def test_places_are_scored_together(spark, monkeypatch):
+    """Places of a task share a round of scores, and get what they get alone."""
+    from lociframe.plans import record_queries as Q
+
+    calls, plain = [], indels._scores
+    monkeypatch.setattr(indels, "_scores", lambda jobs, gaps: calls.append(len(jobs)) or plain(jobs, gaps))
+    reads = [{"pos": 5 + i, "ops": [("M", 20), ("D", 2), ("M", 20)] if i % 2 else [("M", 40)], "seq": "ACGTTGCAAC" * 4, "quals": np.full(40, 30), "sample": i % 3} for i in range(6)]
+    ref = "ACGGTTACGATCGATTACGA" * 20
+    alone = [indels.site_calls(p, ref, 0, reads) for p in (24, 25, 26, 27)]
+    n = len(calls)
+    together = indels.scored_together([indels._site_steps(p, ref, 0, reads) for p in (24, 25, 26, 27)])
+    assert together == alone and any(a[0] for a in alone)
+    assert len(calls) - n <= 6 < n
