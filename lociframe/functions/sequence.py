@@ -1,7 +1,8 @@
-"""Column expressions over nucleotide strings."""
+"""Column expressions over nucleotide strings, and k-mers of one as numbers."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,24 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def kmer_codes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs of k letters A, C, G, T, and each run's number or that of its reverse complement, whichever is less: two bits a letter, in the order of the letters. One pass over the text for each letter of a run, k at most 31."""
+    codes = np.full(256, 4, np.int64)
+    codes[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    letters = codes[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    forward, reverse, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k):
+        x = letters[j : j + n]
+        known &= x < 4
+        forward = forward << 2 | x & 3
+        reverse |= (3 - (x & 3)) << 2 * j
+    at = np.nonzero(known)[0]
+    return at, np.minimum(forward, reverse)[at]
+
+
 def colours(seq: Column) -> Column:
     """Colour-space code of each pair of neighbours: 0 same letter, 1 AC or GT, 2 AG or CT, 3 AT or CG, 4 with N."""
     code = lambda c: F.instr(F.lit("ACGT"), c) - 1

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +59,21 @@ s as (select *, coalesce(sum(length(piece) + coalesce(length(g[i]), 0)) over (pa
 select doc_id, "start", length(piece)::int n from s where piece <> ''"""
 
 
-def _kmers(spark, sf_dir) -> DataFrame:
-    d = docs_dna(spark, sf_dir).select("doc_id", F.posexplode(Q.kmers(F.col("seq"), K)).alias("i", "kmer"))
-    return d.where(~F.col("kmer").contains("N")).withColumn("kmer", Q.canonical(F.col("kmer")))
+def _known(spark, sf_dir) -> DataFrame:
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select(F.regexp_replace(F.translate(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), FROM, TO), "[^ACGTN]", "").alias("seq"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(kmer, n) of canonical k-mers in rows' seq, summed up within batches of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Q.kmer_codes(seq, K)[1] for seq in b.column("seq").to_pylist() if seq]
+            kmers, n = np.unique(np.concatenate(found or [np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kmers, pa.int64()), pa.array(n, pa.int64())], names=["kmer", "n"])
+
+    return rows.select("seq").mapInArrow(run, "kmer long, n long")
 
 
 KMERS_SQL = f"""{DNA_SQL}, km as (select doc_id, i, least(k, translate(reverse(k), 'ACGT', 'TGCA')) kmer from (select doc_id, i - 1 i, substr(seq, i, {K}) k from (select doc_id, seq, unnest(range(1, length(seq) - {K - 2})) i from dna)) where not contains(k, 'N'))"""
@@ -65,7 +81,7 @@ KMERS_SQL = f"""{DNA_SQL}, km as (select doc_id, i, least(k, translate(reverse(k
 
 def canonical_kmers(spark, sf_dir):
     """Canonical k-mers of the corpus by how often they occur: how many distinct ones occur so often."""
-    return _kmers(spark, sf_dir).groupBy("kmer").agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias("kmers"))
+    return _counted(docs_dna(spark, sf_dir)).groupBy("kmer").agg(F.sum("n").alias("times")).groupBy("times").agg(F.count("*").alias("kmers"))
 
 
 CANONICAL_KMERS = f"with {KMERS_SQL}, c as (select kmer, count(*) times from km group by kmer) select times, count(*) kmers from c group by times"
@@ -73,10 +89,27 @@ CANONICAL_KMERS = f"with {KMERS_SQL}, c as (select kmer, count(*) times from km
 
 def kmer_coverage(spark, sf_dir):
     """Letters of a sequence that k-mers cover which also occur in a benchmark text, overlaps counted once."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    known = b.select(F.regexp_replace(F.translate(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), FROM, TO), "[^ACGTN]", "").alias("seq"))
-    known = known.select(F.explode(Q.kmers(F.col("seq"), K)).alias("k")).where(~F.col("k").contains("N")).select(Q.canonical(F.col("k")).alias("kmer")).distinct()
-    hits = _kmers(spark, sf_dir).join(known, "kmer", "left_semi")
+    known = _counted(_known(spark, sf_dir)).select("kmer").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for doc, seq in zip(b.column("doc_id").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                at, kmers = Q.kmer_codes(seq or "", K)
+                for column, x in zip(out, ([doc] * len(at), at, kmers), strict=True):
+                    column.append(np.asarray(x, object if column is out[0] else np.int64))
+                if sum(map(len, out[1])) >= 1 << 16:
+                    yield _rows(out)
+                    out = [[], [], []]
+            if out[0]:
+                yield _rows(out)
+
+    def _rows(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]), pa.int64()), *(pa.array(np.concatenate(c), pa.int64()) for c in out[1:])], names=["doc_id", "i", "kmer"])
+
+    found = docs_dna(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "seq").mapInArrow(run, "doc_id long, i long, kmer long")
+    # the benchmark has at most 4^11 k-mers, however long it is
+    hits = found.join(F.broadcast(known), "kmer", "left_semi")
     w = Window.partitionBy("doc_id").orderBy("i")
     hits = hits.withColumn("new", F.least(F.lit(K), F.col("i") - F.coalesce(F.lag("i").over(w), F.lit(-K))))
     return hits.groupBy("doc_id").agg(F.sum("new").alias("covered"), F.count("*").alias("hits"))
@@ -90,9 +123,37 @@ select doc_id, sum(fresh)::bigint covered, count(*) hits from h group by doc_id"
 
 def kmer_compare(spark, sf_dir):
     """Of neighbouring sequences: k-mers of both, and sums of lesser and greater counts over them."""
-    c = _kmers(spark, sf_dir).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
-    both = c.join(c.select((F.col("doc_id") - 1).alias("doc_id"), "kmer", F.col("n").alias("m")), ["doc_id", "kmer"])
-    return both.groupBy("doc_id").agg(F.count("*").alias("shared"), F.sum(F.least("n", "m")).alias("least"), F.sum(F.greatest("n", "m")).alias("most"))
+    packed = "doc_id long, c struct<kmer: array<int>, n: array<int>>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, seq in zip(b.column("doc_id").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                kmers, n = np.unique(Q.kmer_codes(seq or "", K)[1], return_counts=True)
+                if len(kmers):
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "c": pa.array([{"kmer": kmers.astype(np.int32), "n": n.astype(np.int32)}])})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = lambda lists: _merged([(x["kmer"].values.to_numpy(), x["n"].values.to_numpy()) for x in lists])
+        for b in batches:
+            for doc, own, following in zip(b.column("doc_id").to_pylist(), b.column("own"), b.column("following"), strict=True):
+                (a, m), (c, n) = (merged(side.values) for side in (own, following))
+                _, i, j = np.intersect1d(a, c, assume_unique=True, return_indices=True)
+                if len(i):
+                    row = (doc, len(i), int(np.minimum(m[i], n[j]).sum()), int(np.maximum(m[i], n[j]).sum()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["doc_id", "shared", "least", "most"])
+
+    rows = docs_dna(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "seq").where("doc_id is not null")
+    each = rows.mapInArrow(count, packed).groupBy("doc_id").agg(F.collect_list("c").alias("own"))  # rows that share a doc_id are one sequence
+    both = each.join(each.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("following")), "doc_id")
+    return both.mapInArrow(compare, "doc_id long, shared long, least long, most long")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-mers of several lists, and their counts summed up."""
+    if len(parts) == 1:
+        return parts[0]
+    kmers, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return kmers, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
 KMER_COMPARE = f"""with {KMERS_SQL}, c as (select doc_id, kmer, count(*) n from km group by all)
