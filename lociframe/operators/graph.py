@@ -70,10 +70,12 @@ def clipped_graph(reads: DataFrame, exons: DataFrame, limit: DataFrame, shortest
     far = F.col("tid") != F.col("mtid")
     beyond = lambda x, rev: F.when(F.col(rev) == 1, F.col(f"{x}_before")).otherwise(F.col(f"{x}_after"))
     own = r.where(far).select("u", "v", (2 * F.col("rev") + F.col("mrev")).alias("dir"), (beyond("u", "rev") + beyond("v", "mrev")).alias("room"))
-    hit = r.where(~far & ~((F.col("u") == F.col("v")) & F.col("supplementary"))).select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", F.posexplode("hits").alias("_nth", "_h"))
-    hit = hit.select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", "_nth", F.col("_h.tid").alias("htid"), F.col("_h.pos").alias("hpos"), F.col("_h.rev").alias("hrev"), F.col("_h.len").alias("hlen")).where(F.col("hlen") >= shortest)
+    long = r.where(~far & ~((F.col("u") == F.col("v")) & F.col("supplementary"))).withColumn("hits", F.filter("hits", lambda h: h["len"] >= shortest))
+    hit = long.select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", (F.size("hits") == 1).alias("_only"), F.posexplode("hits").alias("_nth", "_h"))
+    hit = hit.select("rid", "u", "v", "mtid", "mrev", "v_after", "v_before", "_only", "_nth", F.col("_h.tid").alias("htid"), F.col("_h.pos").alias("hpos"), F.col("_h.rev").alias("hrev"), F.col("_h.len").alias("hlen"))
     hit = point_join(hit, "hpos", ends("h", "htid"), "_hs", "_he", "htid").where(F.when(F.col("u") == F.col("v"), F.col("h") != F.col("u")).otherwise(F.col("htid") != F.col("mtid")))
-    first = hit.withColumn("_r", F.row_number().over(Window.partitionBy("rid").orderBy("_nth"))).where("_r = 1")
+    # only reads with several such hits have to be brought together to find the first
+    first = hit.where(~F.col("_only")).withColumn("_r", F.row_number().over(Window.partitionBy("rid").orderBy("_nth"))).where("_r = 1").drop("_r").unionByName(hit.where("_only"))
     moved = first.select(F.col("v").alias("u"), F.col("h").alias("v"), (2 * F.col("hrev") + F.col("mrev")).bitwiseXOR(F.lit(3)).alias("dir"), (beyond("h", "hrev") + beyond("v", "mrev")).alias("room"))
     both = own.unionByName(moved).where("u <> v").crossJoin(F.broadcast(limit.select("residual"))).where(F.coalesce(F.col("room") <= F.col("residual"), F.lit(True)))
     return both.groupBy("u", "v", F.col("dir").cast("int").alias("dir")).agg(F.count("*").alias("n"))
@@ -164,23 +166,38 @@ def reciprocal(edges: DataFrame, dir_: str = "dir") -> DataFrame:
 
 
 def components(edges: DataFrame, write, a: str = "u", b: str = "v") -> DataFrame:
-    """(node, root): the least node that edges lead to, found by least labels with pointer jumping.
+    """(node, root): the least node that edges lead to, found by contraction.
 
-    `write(df, name)` keeps a round's labels in storage that survives executors and gives them back.
+    In each round every node goes to the neighbour that comes first in an order drawn for the round, if that comes
+    before itself, four such steps are taken at once, and the edges between what is left go on. As the order is drawn,
+    ways to its first nodes are short and at most half of the nodes are such, whatever their numbers are; the edges
+    shrink with them, so all rounds together cost a few times the first. `write(df, name)` keeps a round's tables in
+    storage that survives executors and gives them back.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = write(both, "edges")
-    labels = write(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")), "labels-0")
-    for i in count(1):  # ends, as labels only fall
-        near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("near"))
-        step = labels.join(near, "x").select("x", F.least("l", "near").alias("l"), F.col("l").alias("old"))
-        above = step.select(F.col("x").alias("l"), F.col("l").alias("up"))
-        jumped = write(step.join(above, "l", "left").select("x", F.coalesce("up", "l").alias("l"), "old"), f"labels-{i}")
-        moved = jumped.where("l <> old").limit(1).count()
-        labels = jumped.drop("old")
-        if not moved:
+    every = write(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "edges")
+    rest, rounds = every.where("x < y"), []
+    to = lambda table, node, up: table.select(F.col("node").alias(node), F.col("up").alias(up))
+    for i in count():  # ends, as an edge's later end always goes
+        drawn = lambda c, i=i: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("node"))
+        both = rest.select(F.col("x").alias("node"), drawn("y").alias("to")).unionByName(rest.select(F.col("y").alias("node"), drawn("x").alias("to")))
+        first = both.groupBy("node").agg(F.min("to").alias("to")).where(F.col("to") < drawn("node"))
+        up = write(first.select("node", F.col("to.node").alias("up")), f"first-{i}")
+        if up.isEmpty():
             break
-    return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))
+        for _ in range(2):
+            up = up.join(to(up, "up", "_up"), "up", "left").select("node", F.coalesce("_up", "up").alias("up"))
+        up = write(up, f"up-{i}")
+        rounds.append(up)
+        moved = rest.join(to(up, "x", "_x"), "x", "left").join(to(up, "y", "_y"), "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y")).where("x <> y")
+        rest = write(moved.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"edges-{i}")
+    found = every.select(F.col("x").alias("node")).unionByName(every.select(F.col("y").alias("node"))).distinct()
+    if not rounds:
+        return found.select("node", F.col("node").alias("root"))
+    ends = rounds.pop()
+    for i, up in enumerate(reversed(rounds)):  # a node that has gone in a round may still name others in the next
+        ends = write(up.join(to(ends, "up", "_up"), "up", "left").select("node", F.coalesce("_up", "up").alias("up")).unionByName(ends.join(up, "node", "left_anti")), f"ends-{i}")
+    found = write(found.join(ends, "node", "left").select("node", F.coalesce("up", "node").alias("up")), "ends")
+    return found.join(found.groupBy("up").agg(F.min("node").alias("root")), "up").select("node", "root")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, write) -> DataFrame:

@@ -154,27 +154,35 @@ TERMINAL_NODES = f"""with {RECIPROCAL_SQL}, s as (select u node, sum(case when d
 select * from s where "left" = 0 or "right" = 0"""
 
 
-def island_components(spark, sf_dir):
+def islands(spark, sf_dir):
+    """Islands of the reads as a table that all steps of a query read."""
+    return writer(spark)(Q.exon_blocks(spark, sf_dir), "islands")
+
+
+def island_components(spark, sf_dir, blocks=None):
     """Classes of islands that splices and mates within sequences join: sequence, island, least island of the class."""
     number = F.col("tid") * 10_000_000
-    e = Q.splice_edges(spark, sf_dir).unionByName(Q.mate_edges_within(spark, sf_dir))
+    blocks = islands(spark, sf_dir) if blocks is None else blocks
+    e = Q.splice_edges(spark, sf_dir, blocks).unionByName(Q.mate_edges_within(spark, sf_dir, blocks))
     e = e.select((number + F.col("u")).alias("u"), (number + F.col("v")).alias("v")).distinct()
     return G.components(e, writer(spark)).select((F.col("node") / 10_000_000).cast("long").alias("tid"), F.col("node"), F.col("root"))
 
 
-def component_validity(spark, sf_dir, labels=None):
+def component_validity(spark, sf_dir, labels=None, blocks=None):
     """Classes of islands with at least one good island and a fifth of them good."""
-    labels = island_components(spark, sf_dir) if labels is None else labels
-    q = Q.support_quality(spark, sf_dir).select((F.col("tid") * 10_000_000 + F.col("bid")).alias("node"), F.col("good").cast("int").alias("g"))
+    blocks = islands(spark, sf_dir) if blocks is None else blocks
+    labels = island_components(spark, sf_dir, blocks) if labels is None else labels
+    q = Q.support_quality(spark, sf_dir, blocks).select((F.col("tid") * 10_000_000 + F.col("bid")).alias("node"), F.col("good").cast("int").alias("g"))
     return q.join(labels.select("node", "root"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("n"), F.sum("g").alias("good")).withColumn("valid", (F.col("good") >= 1) & (F.col("good") >= 0.2 * F.col("n")))
 
 
-def block_exons(spark, sf_dir):
+def block_exons(spark, sf_dir, blocks=None):
     """Valid islands with the number of their gene block."""
-    labels = writer(spark)(island_components(spark, sf_dir).select("tid", "node", "root"), "labels")
-    valid = component_validity(spark, sf_dir, labels).where("valid").select("root")
+    blocks = islands(spark, sf_dir) if blocks is None else blocks
+    labels = writer(spark)(island_components(spark, sf_dir, blocks).select("tid", "node", "root"), "labels")
+    valid = component_validity(spark, sf_dir, labels, blocks).where("valid").select("root")
     labels = labels.drop("tid")
-    b = Q.exon_blocks(spark, sf_dir).withColumn("node", F.col("tid") * 10_000_000 + F.col("bid"))
+    b = blocks.withColumn("node", F.col("tid") * 10_000_000 + F.col("bid"))
     b = b.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).join(valid, "root", "left_semi")
     w = Window.partitionBy("tid").orderBy("bid")
     return b.withColumn("new", F.when(F.lag("root").over(w).eqNullSafe(F.col("root")), 0).otherwise(1)).withColumn("gid", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -215,25 +223,33 @@ def genes(spark, sf_dir) -> str:
     locus = (F.col("l_orderkey") * 7 + odd + further) % LOCI
     changed = {"l_suppkey": locus % SEQUENCES + 10 * (F.col("l_suppkey") % 100), "l_partkey": F.floor(locus / SEQUENCES) * 60 + F.col("l_partkey") % 3, "l_linestatus": F.when(odd == 1, "F").otherwise("O"), "l_linenumber": 4 * F.col("l_linenumber") + 1}  # such lines have few differences and aren't spliced
     kinds = dict(li.dtypes)
-    return kept(li.select(*(changed[c].cast(kinds[c]).alias(c) if c in changed else F.col(c) for c in li.columns)), "lineitem")
+    folder = kept(li.select(*(changed[c].cast(kinds[c]).alias(c) if c in changed else F.col(c) for c in li.columns)), "lineitem")
+    R.keep_reads(spark, folder)
+    return folder
+
+
+@_once
+def gene_islands(spark, sf_dir):
+    """Islands of `genes`."""
+    return islands(spark, genes(spark, sf_dir))
 
 
 @_once
 def gene_exons(spark, sf_dir):
     """Valid islands of `genes` with the number of their gene block."""
-    return writer(spark)(block_exons(spark, genes(spark, sf_dir)).select("tid", "gid", "start", "end", "left_splice", "right_splice", "plus", "minus"), "exons")
+    return writer(spark)(block_exons(spark, genes(spark, sf_dir), gene_islands(spark, sf_dir)).select("tid", "gid", "start", "end", "left_splice", "right_splice", "plus", "minus"), "exons")
 
 
 @_once
 def gene_mate_edges(spark, sf_dir):
     """Edges between gene blocks of `genes` by the strands of each read and its mate, whose residuals come to at most a fragment and two deviations over all pairs inside islands."""
-    return edges_of_blocks(spark, genes(spark, sf_dir), gene_exons(spark, sf_dir))
+    return edges_of_blocks(spark, genes(spark, sf_dir), gene_exons(spark, sf_dir), gene_islands(spark, sf_dir))
 
 
-def edges_of_blocks(spark, sf_dir, exons=None):
+def edges_of_blocks(spark, sf_dir, exons=None, blocks=None):
     write = writer(spark)
     exons = write(block_exons(spark, sf_dir).select("tid", "gid", "start", "end", "left_splice", "right_splice"), "exons") if exons is None else exons
-    s = Q.inner_pairs(spark, sf_dir).agg(F.floor(F.avg("f")).alias("f"), F.avg(F.col("f") * F.col("f")).alias("sq"))
+    s = Q.inner_pairs(spark, sf_dir, blocks).agg(F.floor(F.avg("f")).alias("f"), F.avg(F.col("f") * F.col("f")).alias("sq"))
     limit = s.select((F.col("f") + 2 * F.floor(F.sqrt(F.greatest(F.col("sq") - F.col("f") * F.col("f"), F.lit(0.0))))).alias("residual"))
     return write(G.mate_graph(R.reads(spark, sf_dir).where(R.admitted() & F.col("mtid").isNotNull()), exons, limit), "mates")
 

@@ -204,3 +204,53 @@ def test_classes_of_islands_and_their_validity(spark):
         classes.setdefault(root(x), []).append(good[x])
     want = {t * 10_000_000 + b: (len(g), sum(g), sum(g) >= 1 and sum(g) >= 0.2 * len(g)) for (t, b), g in classes.items()}
     assert {r.root: (r.n, r.good, r.valid) for r in GQ.component_validity(spark, SF).collect()} == want and len(want) < len(good)
+
+
+def test_components_shrink_from_round_to_round(spark):
+    """All rounds together write little more than the edges, whatever the numbers are; self-loops and repeated edges count once."""
+    rng = random.Random(3)
+    path = [(i, i + 1) for i in range(1500)]
+    names = rng.sample(range(10**6), 1501)
+    mixed = [(names[a], names[b]) for a, b in path]
+    star = [(5000, i) for i in range(4000, 4900)]
+    for edges in (path, mixed, star, [(7, 7), (9, 8), (8, 9)], []):
+        write, rows = writer(spark), []
+
+        def counted(df, name, write=write, rows=rows):
+            kept = write(df, name)
+            rows.append(kept.count())
+            return kept
+
+        out = graph.components(spark.createDataFrame(edges, "u long, v long"), counted).collect()
+        got = {r.node: r.root for r in out}
+        assert len(got) == len(out)
+        root = {x: x for e in edges for x in e}
+
+        def top(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        assert got == {x: top(x) for x in root}
+        assert sum(rows) <= 9 * len(edges) + 10
+
+
+def test_islands_are_made_once(spark, monkeypatch):
+    made, whole = [], Q.exon_blocks
+    monkeypatch.setattr(Q, "exon_blocks", lambda *a: (made.append(a), whole(*a))[1])
+    GQ.block_exons(spark, SF)
+    assert len(made) == 1
+
+
+def test_first_of_several_hits(spark):
+    """A hit that lies in no exon doesn't count; the first that does is taken, whether or not a read has others."""
+    exons = spark.createDataFrame([(0, 1, 0, 99, None, None), (0, 2, 200, 299, None, None), (1, 1, 0, 99, None, None), (1, 2, 200, 299, None, None)], "tid long, gid long, start long, end long, left_splice long, right_splice long")
+    hit = lambda tid, pos, n=40: (tid, pos, 0, n)
+    rows = [(1, [hit(1, 10)]), (2, [hit(1, 150), hit(1, 210), hit(1, 10)]), (3, [hit(1, 210, 20), hit(1, 10)]), (4, []), (5, [hit(1, 150)])]
+    df = spark.createDataFrame([(i, 0, 10, 0, 50, 0, 210, 1, False, h) for i, h in rows], "rid long, tid long, pos long, rev int, first long, mtid long, mpos long, mrev int, supplementary boolean, hits array<struct<tid: bigint, pos: bigint, rev: int, len: int>>")
+    got = {(r.u, r.v): r.n for r in graph.clipped_graph(df, exons, spark.createDataFrame([(None,)], "residual long"), 34).collect()}
+    n = graph.NUMBERS
+    assert got == {(2, n + 1): 2, (2, n + 2): 1}
