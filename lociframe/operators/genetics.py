@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,25 +48,45 @@ def hwe_exact(hom1: np.ndarray, hom2: np.ndarray, het: np.ndarray) -> np.ndarray
     return out
 
 
+#: Samples of like sites that go through a model together, a site at least.
+TOGETHER = 1 << 15
+
+
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the sites that go through a model together: sites of one number of samples, in pieces of about TOGETHER samples."""
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        step = max(1, TOGETHER // max(1, int(n)))
+        yield from (at[i : i + step] for i in range(0, len(at), step))
+
+
+def _frequencies(g: np.ndarray, steps: int, enough: float) -> np.ndarray:
+    """allele_frequency of (sites, samples, 3) likelihoods; a site that has come to rest leaves the steps."""
+    informed = (g != 1).any(2)
+    some = informed.sum(1)
+    f = np.clip((g.argmax(2) * informed).sum(1) / np.maximum(some, 1) / 2, 1e-3, 1 - 1e-3)
+    f[some == 0] = -1.0
+    at = np.flatnonzero(some)
+    g = g[at]
+    for _ in range(steps):
+        if not len(at):
+            break
+        p = f[at]
+        w = g * np.stack([(1 - p) ** 2, 2 * p * (1 - p), p * p], 1)[:, None]
+        new = ((w[..., 1] + 2 * w[..., 2]) / w.sum(2)).mean(1) / 2
+        f[at] = new
+        on = ~(np.abs(new - p) < enough)
+        if not on.all():
+            at, g = at[on], g[on]
+    return f
+
+
 def allele_frequency(likelihoods: list[np.ndarray], steps: int = 50, enough: float = 1e-5) -> np.ndarray:
     """Greatest-likelihood frequency of the second allele, by expectation and maximisation; a site is (samples, 3) likelihoods of 0, 1, 2 copies."""
-    out = []
-    for g in likelihoods:
-        informed = g[(g != 1).any(1)]
-        if not len(informed):
-            out.append(-1.0)
-            continue
-        best = informed.argmax(1)
-        f = min(max(best.mean() / 2, 1e-3), 1 - 1e-3)
-        for _ in range(steps):
-            w = g * np.array([(1 - f) ** 2, 2 * f * (1 - f), f * f])
-            new = float(((w[:, 1] + 2 * w[:, 2]) / w.sum(1)).mean() / 2)
-            done = abs(new - f) < enough
-            f = new
-            if done:
-                break
-        out.append(f)
-    return np.array(out)
+    out = np.full(len(likelihoods), -1.0)
+    for at in _alike(np.array([len(g) for g in likelihoods], int)):
+        out[at] = _frequencies(np.stack([likelihoods[i] for i in at]), steps, enough)
+    return out
 
 
 def prior_of_counts(m: int, kind: str = "full", theta: float = 1e-3) -> np.ndarray:
@@ -137,26 +158,45 @@ def lower_mean(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, q1: np.ndarray, s
     return np.where(some & (m1 > m2), p, 1.0)
 
 
-def pair_frequencies(a: np.ndarray, b: np.ndarray, steps: int = 50, enough: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Frequencies of the four haplotypes of two sites, and their correlation r (-1: none), from (samples, 3) likelihoods of each."""
-    fa, fb = allele_frequency([a])[0], allele_frequency([b])[0]
-    if fa < 0 or fb < 0:
-        return np.full(4, -1.0), -1.0
-    f = np.array([(1 - fa) * (1 - fb), (1 - fa) * fb, fa * (1 - fb), fa * fb])
+def _pairs(a: np.ndarray, b: np.ndarray, steps: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
+    """pair_frequencies of (pairs, samples, 3) likelihoods; a pair that has come to rest leaves the steps."""
+    fa, fb = _frequencies(a, steps, enough), _frequencies(b, steps, enough)
+    f = np.stack([(1 - fa) * (1 - fb), (1 - fa) * fb, fa * (1 - fb), fa * fb], 1)
+    none = (fa < 0) | (fb < 0)
+    f[none] = -1.0
+    at = np.flatnonzero(~none)
     h1, h2 = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
-    like = a[:, h1[:, None] + h1[None]] * b[:, h2[:, None] + h2[None]]  # (samples, 4, 4)
+    like = a[at][:, :, h1[:, None] + h1[None]] * b[at][:, :, h2[:, None] + h2[None]]  # (pairs, samples, 4, 4)
     for _ in range(steps):
-        w = like * f[:, None] * f[None]
-        w /= w.sum((1, 2), keepdims=True)
-        new = (w.sum(2) + w.sum(1)).sum(0) / (2 * len(a))
-        done = np.abs(new - f).max() < enough
-        f = new
-        if done:
+        if not len(at):
             break
-    p, q = f[0] + f[1], f[0] + f[2]
-    d = f[0] * f[3] - f[1] * f[2]
+        p = f[at]
+        w = like * p[:, None, :, None] * p[:, None, None]
+        w /= w.sum((2, 3), keepdims=True)
+        new = (w.sum(3) + w.sum(2)).sum(1) / (2 * a.shape[1])
+        f[at] = new
+        on = ~(np.abs(new - p).max(1) < enough)
+        if not on.all():
+            at, like = at[on], like[on]
+    p, q = f[:, 0] + f[:, 1], f[:, 0] + f[:, 2]
+    d = f[:, 0] * f[:, 3] - f[:, 1] * f[:, 2]
     spread = p * (1 - p) * q * (1 - q)
-    return f, math.sqrt(d * d / spread) if spread > 0 else -1.0
+    some = ~none & (spread > 0)
+    return f, np.where(some, np.sqrt(d * d / np.where(some, spread, 1.0)), -1.0)
+
+
+def pair_frequencies(a: np.ndarray, b: np.ndarray, steps: int = 50, enough: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Frequencies of the four haplotypes of two sites, and their correlation r (-1: none), from (samples, 3) likelihoods of each."""
+    f, r = _pairs(a[None], b[None], steps, enough)
+    return f[0], float(r[0])
+
+
+def pair_correlations(a: list[np.ndarray], b: list[np.ndarray], steps: int = 50, enough: float = 1e-5) -> np.ndarray:
+    """The correlations of pair_frequencies for many pairs of sites; both of a pair have the same samples."""
+    out = np.full(len(a), -1.0)
+    for at in _alike(np.array([len(x) for x in a], int)):
+        out[at] = _pairs(np.stack([a[i] for i in at]), np.stack([b[i] for i in at]), steps, enough)[1]
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -182,7 +222,7 @@ def posterior(likelihoods: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def linkage(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([pair_frequencies(np.asarray(x, float).reshape(-1, 3), np.asarray(y, float).reshape(-1, 3))[1] for x, y in zip(a, b, strict=True)])
+    return pd.Series(pair_correlations(*([np.asarray(x, float).reshape(-1, 3) for x in col] for col in (a, b))))
 
 
 @F.pandas_udf(T.DoubleType())

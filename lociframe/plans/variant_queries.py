@@ -104,22 +104,31 @@ s as (select a.site, count(*) n, sum(a.g) sx, sum(b.g) sy, sum(a.g * a.g) xx, su
 select site, n, round(case when n * xx - sx * sx > 1e-9 and n * yy - sy * sy > 1e-9 then pow(n * xy - sx * sy, 2) / ((n * xx - sx * sx) * (n * yy - sy * sy)) else -1.0 end, 6) r2 from s where n > 1"""
 
 
-def sample_likelihoods(lines):
-    """lines(site, s, gt, gq): likelihoods of the three genotypes from all lines of a sample at a site, the greatest as 1."""
+def sample_likelihoods(lines, *keys):
+    """lines(*keys, site, s, gt, gq): likelihoods of the three genotypes from all lines of a sample at a site, the greatest as 1."""
     miss = F.pow(F.lit(10.0), -F.col("gq") / 10)
     logs = [F.log(F.greatest(F.when(F.col("gt") == g, 1 - miss).otherwise(miss / 2), F.lit(1e-300))) for g in range(3)]
-    sums = lines.groupBy("site", "s").agg(*(F.sum(x).alias(f"l{g}") for g, x in enumerate(logs)))
-    return sums.select("site", "s", F.array(*(F.exp(F.col(f"l{g}") - F.greatest("l0", "l1", "l2")) for g in range(3))).alias("l"))
+    sums = lines.groupBy(*keys, "site", "s").agg(*(F.sum(x).alias(f"l{g}") for g, x in enumerate(logs)))
+    return sums.select(*keys, "site", "s", F.array(*(F.exp(F.col(f"l{g}") - F.greatest("l0", "l1", "l2")) for g in range(3))).alias("l"))
+
+
+#: Sites of a stretch, which are paired in one task.
+STRETCH = 128
 
 
 def linkage_em(spark, sf_dir):
     """Linkage of neighbouring sites from likelihoods of the samples that both have, all lines of a sample combined, by expectation and maximisation over haplotypes."""
-    return _linked(sample_likelihoods(samples(spark, sf_dir).withColumn("s", F.col("sample") % 50)))
+    return _linked(samples(spark, sf_dir).select("site", (F.col("sample") % 50).alias("s"), "gt", "gq"))
 
 
-def _linked(one):
-    both = one.join(one.select((F.col("site") - 1).alias("site"), "s", F.col("l").alias("m")), ["site", "s"])
-    arr = both.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("s", "l", "m"))).alias("x"))
+def _linked(lines):
+    """Lines move once, to the task of their stretch of sites, and those of its first site to the stretch before too: there they are combined, paired along the sites of a sample, and gathered."""
+    stretch = lambda site: F.floor(site / STRETCH)
+    both = F.array_distinct(F.array(stretch(F.col("site")), stretch(F.col("site") - 1)))
+    one = sample_likelihoods(lines.where("site is not null and s is not null").withColumn("stretch", F.explode(both)).repartition("stretch"), "stretch")
+    w = Window.partitionBy("stretch", "s").orderBy("site")
+    pairs = one.withColumns({"next": F.lead("site").over(w), "m": F.lead("l").over(w)}).where("next = site + 1")
+    arr = pairs.groupBy("stretch", "site").agg(F.sort_array(F.collect_list(F.struct("s", "l", "m"))).alias("x"))
     flat = lambda f: F.flatten(F.transform("x", lambda x: x[f]))
     return arr.select("site", F.round(G.linkage(flat("l"), flat("m")), 4).alias("r"))
 
