@@ -3,7 +3,7 @@
 A contig has a left (0) and a right (1) end. Neighbours along a raw scaffold are linked right to left, connections link
 any two ends. Runs of contigs without connections are one node, so a component's graph is as large as its connections;
 finding the runs, the components and the contigs behind the result is work for joins and windows. Ordering a component
-is sequential (a contig taken by a longer scaffold is gone for the others) and is one group. Components without
+is sequential (a contig taken by a longer scaffold is gone for the others) and is within one group. Components without
 connections never go there.
 """
 
@@ -252,6 +252,7 @@ def runs_of_contigs(contigs: DataFrame, links: DataFrame, merge: bool = True) ->
 
 def _graph(contigs: DataFrame, links: DataFrame, write, merge: bool) -> DataFrame:
     """Nodes and links of each component with connections, in one table by root: kind 0: node, scaffold, first, last, length, gap behind it, scaffold's length; 1: raw link; 2: connection (a, end, b, end, number)."""
+    links = write(links, "links")
     placed = write(runs_of_contigs(contigs, links, merge), "placed")
     w = Window.partitionBy("scaffold").orderBy("first")
     n = placed.groupBy("node", "scaffold").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.min("start").alias("s"), F.max("end").alias("e"), F.sum(F.col("end") - F.col("start") + 1).alias("length"))
@@ -261,9 +262,9 @@ def _graph(contigs: DataFrame, links: DataFrame, write, merge: bool) -> DataFram
     flip = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("ea") > F.col("eb")))
     pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
     once = links.select(pick("a", "b").alias("a"), pick("ea", "eb").alias("ea"), pick("b", "a").alias("b"), pick("eb", "ea").alias("eb"), "nth").groupBy("a", "ea", "b", "eb").agg(F.min("nth").alias("nth"))
-    once = once.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "ea", "v", "eb", "nth")
+    once = write(once.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", F.col("ea").cast("int"), "v", F.col("eb").cast("int"), F.col("nth").cast("long")), "connections")
     raw = n.where("next is not null").select(F.col("node").alias("u"), F.lit(1).alias("ea"), F.col("next").alias("v"), F.lit(0).alias("eb"), F.lit(None).cast("long").alias("nth"))
-    edges = write(raw.unionByName(once.select("u", F.col("ea").cast("int"), "v", F.col("eb").cast("int"), F.col("nth").cast("long"))), "all-links")
+    edges = write(raw.unionByName(once), "all-links")
     # only components with connections, so runs of scaffolds without any aren't labelled
     busy = once.select(F.col("u").alias("node")).unionByName(once.select(F.col("v").alias("node"))).distinct().join(n.select("node", "scaffold"), "node").select("scaffold").distinct()
     known = n.join(busy, "scaffold").select(F.col("node").alias("u"))
@@ -271,30 +272,48 @@ def _graph(contigs: DataFrame, links: DataFrame, write, merge: bool) -> DataFram
     labels = known.join(labels, F.col("u") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("root"))
     long = lambda *cols: [F.col(c).cast("long").alias(f"x{i}") for i, c in enumerate(cols)]
     rows = n.join(labels, "node").select("root", F.lit(0).alias("kind"), *long("node", "scaffold", "first", "last", "length", "gap", "size"))
-    ends = edges.join(labels.withColumnRenamed("node", "u"), "u").select("root", F.when(F.col("nth").isNull(), 1).otherwise(2).alias("kind"), *long("u", "ea", "v", "eb", "nth"), *(F.lit(None).cast("long").alias(c) for c in ("x5", "x6")))
-    return rows.unionByName(ends)
+    ends = edges.join(labels.withColumnRenamed("node", "u"), "u").select("root", F.when(F.col("nth").isNull(), 1).otherwise(2).alias("kind"), *long("u", "ea", "v", "eb"), F.coalesce("nth", F.lit(0)).alias("x4"), *(F.lit(0).cast("long").alias(c) for c in ("x5", "x6")))
+    return write(rows.unionByName(ends), "graphs")
 
 
-def _read(pdf: pd.DataFrame) -> Graph:
-    rows = list(pdf[["kind", *(f"x{i}" for i in range(7))]].astype(object).where(pdf.notna(), None).itertuples(index=False, name=None))
-    g = Graph({int(r[1]): tuple(int(x) for x in r[2:]) for r in rows if r[0] == 0})
-    for kind, u, ea, v, eb, *_ in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[5] or 0, r[1], r[3])):
-        g.link((int(u), int(ea)), (int(v), int(eb)), kind == 1)
+#: Rows of a group: small components share one, as a call costs more than they do; a larger component is in one with what falls to it.
+GROUP = 1 << 12
+
+
+def _each(rows: DataFrame, run: Callable[[Graph], list[tuple]], schema: str) -> DataFrame:
+    """Rows that `run` makes of the graph of each component."""
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts: dict[int, list[tuple]] = {}
+        for root, *row in zip(*(pdf[c].tolist() for c in ("root", "kind", *(f"x{i}" for i in range(7)))), strict=True):
+            parts.setdefault(root, []).append(tuple(row))
+        made = [row for root in sorted(parts) for row in run(_read(parts.pop(root)))]
+        return pd.DataFrame({c: [row[i] for row in made] for i, c in enumerate(columns)})
+
+    groups = max(1, rows.count() // GROUP)
+    return rows.groupBy(F.pmod(F.xxhash64("root"), F.lit(groups)).alias("_group")).applyInPandas(several, schema)
+
+
+def _read(rows: list[tuple]) -> Graph:
+    g = Graph({r[1]: r[2:] for r in rows if r[0] == 0})
+    for kind, u, ea, v, eb, *_ in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[5], r[1], r[3], r[2], r[4])):
+        g.link((u, ea), (v, eb), kind == 1)
     return g
 
 
 def cyclic_contigs(contigs: DataFrame, links: DataFrame, write, merge: bool = True) -> DataFrame:
     """(cid) of contigs on a cycle of links and connections: a way through opposite ends that comes back. Within a component nodes are tried in order, those of a cycle found before aren't."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _read(pdf)
-        return pd.DataFrame([(c,) for n in g.cyclic() for c in range(g.nodes[n][1], g.nodes[n][2] + 1)], columns=["cid"], dtype="int64")
+    def run(g: Graph) -> list[tuple]:
+        return [(c,) for n in g.cyclic() for c in range(g.nodes[n][1], g.nodes[n][2] + 1)]
 
-    return _graph(contigs, links, write, merge).groupBy("root").applyInPandas(run, "cid long")
+    return _each(_graph(contigs, links, write, merge), run, "cid long")
 
 
 def acyclic_links(contigs: DataFrame, links: DataFrame, write) -> DataFrame:
     """links without those of contigs on a cycle, but for links that follow the raw scaffold."""
+    links = write(links, "given")
     c = cyclic_contigs(contigs, links, write).withColumn("_cyclic", F.lit(True))
     at = contigs.select("cid", "scaffold")
     side = lambda df, x: df.join(c.select(F.col("cid").alias(x), F.col("_cyclic").alias(f"_{x}")), x, "left").join(at.select(F.col("cid").alias(x), F.col("scaffold").alias(f"_s{x}")), x)
@@ -310,18 +329,17 @@ def ordered_contigs(contigs: DataFrame, links: DataFrame, write, ignore_gaps: bo
     looked at first. Connections of contigs that aren't there don't count. Contigs on rings aren't reported.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _read(pdf)
+    def run(g: Graph) -> list[tuple]:
         g.without_connections(g.cyclic())
         g.without_connections(g.turned())
         rows = []
         for path in Ordering(g, ignore_gaps).paths():
             n, e = path[0]
             rows += [(g.nodes[n][1 + e], i, *g.nodes[m][1:3], "+" if f == 0 else "-") for i, (m, f) in enumerate(path)]
-        return pd.DataFrame(rows, columns=["new", "step", "first", "last", "way"]).astype({"new": "int64", "step": "int64", "first": "int64", "last": "int64"})
+        return rows
 
     rows = _graph(contigs, links, write, merge)
-    done = write(rows.groupBy("root").applyInPandas(run, "new long, step long, first long, last long, way string"), "ordered")
+    done = write(_each(rows, run, "new long, step long, first long, last long, way string"), "ordered")
     ways = F.when(F.col("way") == "+", F.sequence("first", "last")).otherwise(F.sequence("last", "first", F.lit(-1)))
     moved = done.select("new", "step", "way", F.posexplode(F.when(F.col("first") == F.col("last"), F.array("first")).otherwise(ways)).alias("i", "cid"))
     known = rows.where("kind = 0").select(F.explode(F.sequence("x2", "x3")).alias("cid"))
