@@ -251,28 +251,24 @@ def runs_of_contigs(contigs: DataFrame, links: DataFrame, merge: bool = True) ->
 
 
 def _graph(contigs: DataFrame, links: DataFrame, write, merge: bool) -> DataFrame:
-    """Nodes and links of each component with connections, in one table by root: kind 0: node, scaffold, first, last, length, gap behind it, scaffold's length; 1: raw link; 2: connection (a, end, b, end, number)."""
+    """Nodes and links of each component with connections, in one table by root, the least scaffold: kind 0: node, scaffold, first, last, length, gap behind it, scaffold's length; 1: raw link; 2: connection (a, end, b, end, number)."""
     links = write(links, "links")
     placed = write(runs_of_contigs(contigs, links, merge), "placed")
     w = Window.partitionBy("scaffold").orderBy("first")
     n = placed.groupBy("node", "scaffold").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.min("start").alias("s"), F.max("end").alias("e"), F.sum(F.col("end") - F.col("start") + 1).alias("length"))
     n = write(n.withColumns({"next": F.lead("node").over(w), "gap": F.coalesce(F.lead("s").over(w) - F.col("e") - 1, F.lit(-1)), "size": F.max("e").over(Window.partitionBy("scaffold")) + 1}), "nodes")
-    of = lambda c, out: placed.select(F.col("cid").alias(c), F.col("node").alias(out))
+    of = lambda c, out: placed.select(F.col("cid").alias(c), F.col("node").alias(out), F.col("scaffold").alias(f"s{out}"))
     # each connection once, by its first number
     flip = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("ea") > F.col("eb")))
     pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
     once = links.select(pick("a", "b").alias("a"), pick("ea", "eb").alias("ea"), pick("b", "a").alias("b"), pick("eb", "ea").alias("eb"), "nth").groupBy("a", "ea", "b", "eb").agg(F.min("nth").alias("nth"))
-    once = write(once.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", F.col("ea").cast("int"), "v", F.col("eb").cast("int"), F.col("nth").cast("long")), "connections")
-    raw = n.where("next is not null").select(F.col("node").alias("u"), F.lit(1).alias("ea"), F.col("next").alias("v"), F.lit(0).alias("eb"), F.lit(None).cast("long").alias("nth"))
-    edges = write(raw.unionByName(once), "all-links")
-    # only components with connections, so runs of scaffolds without any aren't labelled
-    busy = once.select(F.col("u").alias("node")).unionByName(once.select(F.col("v").alias("node"))).distinct().join(n.select("node", "scaffold"), "node").select("scaffold").distinct()
-    known = n.join(busy, "scaffold").select(F.col("node").alias("u"))
-    labels = components(edges.join(known, "u").where("u <> v").select("u", "v"), write)
-    labels = known.join(labels, F.col("u") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("root"))
+    once = write(once.join(of("a", "u"), "a").join(of("b", "v"), "b").select("su", "sv", "u", F.col("ea").cast("int"), "v", F.col("eb").cast("int"), F.col("nth").cast("long")), "connections")
+    raw = n.where("next is not null").select(F.col("scaffold").alias("su"), F.col("node").alias("u"), F.lit(1).alias("ea"), F.col("next").alias("v"), F.lit(0).alias("eb"), F.lit(None).cast("long").alias("nth"))
+    # a scaffold's nodes are linked with each other, so components are those of scaffolds, and only scaffolds with connections are labelled
+    labels = components(once.select(F.col("su").alias("u"), F.col("sv").alias("v")), write).select(F.col("node").alias("scaffold"), "root")
     long = lambda *cols: [F.col(c).cast("long").alias(f"x{i}") for i, c in enumerate(cols)]
-    rows = n.join(labels, "node").select("root", F.lit(0).alias("kind"), *long("node", "scaffold", "first", "last", "length", "gap", "size"))
-    ends = edges.join(labels.withColumnRenamed("node", "u"), "u").select("root", F.when(F.col("nth").isNull(), 1).otherwise(2).alias("kind"), *long("u", "ea", "v", "eb"), F.coalesce("nth", F.lit(0)).alias("x4"), *(F.lit(0).cast("long").alias(c) for c in ("x5", "x6")))
+    rows = n.join(labels, "scaffold").select("root", F.lit(0).alias("kind"), *long("node", "scaffold", "first", "last", "length", "gap", "size"))
+    ends = raw.unionByName(once.drop("sv")).join(labels.withColumnRenamed("scaffold", "su"), "su").select("root", F.when(F.col("nth").isNull(), 1).otherwise(2).alias("kind"), *long("u", "ea", "v", "eb"), F.coalesce("nth", F.lit(0)).alias("x4"), *(F.lit(0).cast("long").alias(c) for c in ("x5", "x6")))
     return write(rows.unionByName(ends), "graphs")
 
 
