@@ -30,7 +30,7 @@ LOOSE, TIGHT = (1e-4, 1e-2), (1e-6, 1e-3)
 #: Letters beyond the place on either side that homopolymers are followed for.
 FAR, BUCKET = 500, 4096
 #: Reads whose places are scored in one go, and alignments that go through the model together, at most.
-TOGETHER, JOBS = 4096, 4096
+TOGETHER, JOBS = 1 << 15, 4096
 
 Ops = list[tuple[str, int]]
 
@@ -292,7 +292,7 @@ def _letters(rows: list[tuple], name: pa.DataType) -> pa.RecordBatch:
 
 def indel_records(letters: DataFrame) -> DataFrame:
     """Records of gap_letters' rows, one a place: kinds of gaps by the qualities of their reads, after the one without; shares; samples with likelihoods."""
-    texts = letters.groupBy("tid", "place").agg(F.first("kinds").alias("kinds"))
+    # kinds go along with the site: a second look at the letters would score all reads again
     s = K.sites(K.site_samples(letters, least=0), unseen=False)
     named = F.transform("alleles", lambda i: F.get(F.split("kinds", ","), i))
-    return s.where("size(alleles) > 1").join(texts, ["tid", "place"]).select("tid", "place", F.array_join(F.slice(named, 2, 4), ",").alias("alts"), "qs", "samples", "depth")
+    return s.where("size(alleles) > 1").select("tid", "place", F.array_join(F.slice(named, 2, 4), ",").alias("alts"), "qs", "samples", "depth")
