@@ -99,23 +99,28 @@ def prior_of_counts(m: int, kind: str = "full", theta: float = 1e-3) -> np.ndarr
     return np.concatenate([[1 - theta * (1 / k[1:]).sum()], theta / k[1:]])
 
 
-def frequency_posterior(g: np.ndarray, theta: float = 1e-3, kind: str = "full") -> np.ndarray:
-    """Posterior of the number of second alleles in diploid samples, (samples, 3) likelihoods, under a prior of prior_of_counts."""
+def frequency_posteriors(g: np.ndarray, theta: float = 1e-3, kind: str = "full") -> np.ndarray:
+    """frequency_posterior of many sites of as many samples: (sites, samples, 3) likelihoods."""
     with np.errstate(divide="ignore"):
         logs = np.log(np.asarray(g, float)) + np.log([1.0, 2.0, 1.0])
-        z = np.zeros(1)  # all in logarithms: counts of many samples leave the range of doubles
-        for like in logs:
-            new = np.full((3, len(z) + 2), -np.inf)
+        z = np.zeros((len(logs), 1))  # all in logarithms: counts of many samples leave the range of doubles
+        for i in range(logs.shape[1]):
+            new = np.full((3, len(z), z.shape[1] + 2), -np.inf)
             for copies in range(3):
-                new[copies, copies : copies + len(z)] = z + like[copies]
+                new[copies, :, copies : copies + z.shape[1]] = z + logs[:, i, copies, None]
             z = np.logaddexp.reduce(new)
-            z -= z.max()
-        m = len(logs) * 2
+            z -= z.max(1, keepdims=True)
+        m = logs.shape[1] * 2
         k = np.arange(m + 1)
         lf = _log_factorials(m)
         p = z - (lf[m] - lf[k] - lf[m - k]) + np.log(prior_of_counts(m, kind, theta))
-    p = np.exp(p - p.max())
-    return p / p.sum()
+    p = np.exp(p - p.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def frequency_posterior(g: np.ndarray, theta: float = 1e-3, kind: str = "full") -> np.ndarray:
+    """Posterior of the number of second alleles in diploid samples, (samples, 3) likelihoods, under a prior of prior_of_counts."""
+    return frequency_posteriors(np.asarray(g, float)[None], theta, kind)[0]
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
