@@ -21,7 +21,7 @@ from . import calling as K
 
 #: Scores of an uncovered, a doubtful and a clear position on target (off target all count nothing), and what entering a target costs.
 UNCOVERED, DOUBTFUL, CLEAR, ENTER = -4, 1, 6, 14_000
-WIDTH, TOGETHER = 4096, 256
+WIDTH, PART, TOGETHER = 4096, 1024, 256
 LOW = -(1 << 60)
 
 
@@ -48,6 +48,13 @@ def _dense(batch: pa.RecordBatch, scores: np.ndarray) -> tuple[np.ndarray, np.nd
     n = batch.column("length").to_numpy(zero_copy_only=False)
     kinds = np.zeros((batch.num_rows, WIDTH), np.int8)
     sites = batch.column("sites")
+    if pa.types.is_binary(sites.type.value_type.field(1).type):  # parts of a bucket, a byte a place
+        flat = sites.flatten()
+        rows = np.repeat(np.arange(batch.num_rows), sites.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        parts = [np.frombuffer(x, np.int8) for x in flat.field("kind").to_pylist()]
+        if parts:
+            kinds.reshape(batch.num_rows, -1, len(parts[0]))[rows, flat.field("at").to_numpy(zero_copy_only=False)] = np.stack(parts)
+        return scores[kinds], n
     rows = np.repeat(np.arange(batch.num_rows), sites.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     flat = sites.flatten()
     kinds[rows, flat.field("at").to_numpy(zero_copy_only=False)] = flat.field("kind").to_numpy(zero_copy_only=False)
@@ -61,21 +68,26 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def buckets(sites: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(tid, bucket, length, sites) for all buckets of lengths(tid, length), those without sites too; sites is an array of (at, kind), of WIDTH at most."""
-    rows = sites.groupBy("tid", F.expr(f"place div {WIDTH}").alias("bucket")).agg(F.collect_list(F.struct((F.col("place") % WIDTH).cast("int").alias("at"), F.col("kind").cast("int").alias("kind"))).alias("sites"))
+    """(tid, bucket, length, sites) for all buckets of lengths(tid, length), those without sites too; sites is an array of (at, kind), of WIDTH at most: of sites, or of their parts with a kind for each place of these (PART places)."""
+    if "kinds" in sites.columns:
+        at, kind, many, none = F.col("part"), F.col("kinds"), WIDTH // PART, "array<struct<at: int, kind: binary>>"
+    else:
+        at, kind, many, none = F.col("place"), F.col("kind").cast("int"), WIDTH, "array<struct<at: int, kind: int>>"
+    rows = sites.groupBy("tid", F.floor(at / many).alias("bucket")).agg(F.collect_list(F.struct((at % many).cast("int").alias("at"), kind.alias("kind"))).alias("sites"))
     every = lengths.where("length > 0").select("tid", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {WIDTH}"))).alias("bucket"), F.col("length").alias("_all"))
     every = every.select("tid", "bucket", F.least(F.col("_all") - F.col("bucket") * WIDTH, F.lit(WIDTH)).cast("int").alias("length"))
-    return every.join(rows, ["tid", "bucket"], "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<struct<at: int, kind: int>>")))
+    return every.join(rows, ["tid", "bucket"], "left").withColumn("sites", F.coalesce("sites", F.array().cast(none)))
 
 
 def targets(sites: DataFrame, lengths: DataFrame, enter: int = ENTER, uncovered: int = UNCOVERED, doubtful: int = DOUBTFUL, clear: int = CLEAR) -> DataFrame:
-    """(tid, start, end) of the stretches on target, half-open, from sites(tid, place, kind) and lengths(tid, length).
+    """(tid, start, end) of the stretches on target, half-open, from sites(tid, place, kind), or packed ones as sitecounts.consensus has them, and lengths(tid, length).
 
     Of equally good paths the one that is on target later holds. The first position of a sequence is never on target.
     Sites beyond their sequence's length, or of sequences without length, don't count.
     """
     scores = np.array([uncovered, doubtful, clear], np.int64)
-    inside = buckets(sites.join(lengths, "tid").where("place >= 0 and place < length").select("tid", "place", "kind"), lengths)
+    # places beyond a length within its last bucket aren't looked at
+    inside = buckets(sites.where("part >= 0") if "kinds" in sites.columns else sites.join(lengths, "tid").where("place >= 0 and place < length").select("tid", "place", "kind"), lengths)
     key = dict(lengths.dtypes)["tid"]
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
