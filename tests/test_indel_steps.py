@@ -49,3 +49,23 @@ def test_rows_without_a_place_have_no_text(spark):
     df = spark.createDataFrame([(3, 1), (None, 2), (0, 3), (-4, 4)], "n long, x long")
     rows = Q.with_texts(df, "n", {"t": lambda r, k: 65 + k + r["x"]}, ["n", "x"]).collect()
     assert [(r.x, r.t) for r in rows] == [(1, "BCD"), (2, None), (3, ""), (4, "")]
+
+
+def test_letters_of_records_by_definition(spark):
+    """Clipped reads, letters left out and put in, last letters one place off."""
+    raw = R.reads(spark, SF).where("qname < 300").collect()
+    want = set()
+    for r in raw:
+        n, clip = r.end_pos - r.pos + 1, 4 if r.qname % 7 == 0 else 0
+        gap, half = 2 if r.qname % 5 == 0 else -3 if r.qname % 5 == 1 else 0, (n - clip) // 2
+        text = ""
+        for k in range(n):
+            x = k - clip
+            shift = 2 if gap > 0 and x >= half else -3 if gap < 0 and x >= half + 3 else 0
+            own = _base(r.tid, r.pos + x + shift + (1 if k >= n - 4 and r.qname % 11 == 0 else 0))
+            text += "A" if x < 0 else "T" if gap < 0 and half <= x < half + 3 else own
+        want.add((r.qname, r.ord, text, "".join(chr(36 + (r.pos + k + r.qname) % 38) for k in range(n))))
+    got = {(r.qname, r.ord, r.seq, r.qual) for r in Q.records(spark, SF).where("qname < 300").collect()}
+    assert got == want and len(got) > 200
+    plan = Q.records(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # no letter is an expression that Spark evaluates by itself
